@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("intake",)
+AREAS = ("intake", "scalars", "cleaning", "panel", "profiling")
 
 
 def load_all():
