@@ -52,10 +52,9 @@ def model_format(model: Column) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(key == k, v) if out is None else out.when(key == k, v)
-    return out
+    """Constant map, so that ``key`` is evaluated once."""
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def is_feature(name: str, target: str) -> bool:
