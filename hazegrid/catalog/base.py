@@ -17,6 +17,7 @@ from hazegrid import constants as K
 from hazegrid.functions import aqi as A
 from hazegrid.operators.windows import future_targets, rolling_mean
 from hazegrid.sources.hourly import hourly_grid
+from hazegrid.session import checkpointed
 from hazegrid.sources.stores import read_store
 
 DIGITS = 6
@@ -135,6 +136,11 @@ grid AS (
   FROM axis a LEFT JOIN panel p ON p.series_id = a.series_id AND p.ts = a.ts)"""
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Panel written once: for operators that pass over their input several times."""
+    return checkpointed(df)
+
+
 def with_aqi(grid: DataFrame) -> DataFrame:
     rolled = rolling_mean(grid, {"pm2_5_24h": ("pm2_5", 24)})
     return rolled.withColumn("aqi", A.epa_aqi(F.col("pm2_5_24h"), "pm2_5", "ug/m3"))

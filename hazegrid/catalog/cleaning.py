@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazegrid.catalog.base import (
-    DAILY_SQL, aqi_grid, aqi_grid_sql, daily_region, grid_sql, gridded, query, readings, readings_sql, table,
+    DAILY_SQL, aqi_grid, aqi_grid_sql, daily_region, grid_sql, gridded, query, readings,
+    readings_sql, stored, table,
 )
 from hazegrid.operators import clean as C
 
@@ -123,7 +124,7 @@ FROM grid g JOIN means USING (series_id) {' '.join(f'LEFT JOIN near_{c} ON near_
 
 @query("impute_knn", f"WITH {ST}, {_knn_sql()}", KNN)
 def _(spark, d):
-    return C.impute_knn(_station(spark, d, *KNN), KNN)
+    return C.impute_knn(stored(_station(spark, d, *KNN)), KNN)
 
 
 @query("impute_mode", """WITH counts AS (SELECT l_returnflag || l_linestatus || l_quantity::INT AS v, count(*) AS n FROM lineitem
@@ -153,7 +154,7 @@ def _(spark, d):
     f"quantile_cont({c}, 0.5) AS q_{c}" for c in COLS)} FROM grid GROUP BY 1)
 SELECT series_id, ts, {', '.join(f"coalesce({c}, q_{c}) AS {c}" for c in COLS)} FROM grid JOIN q USING (series_id)""", COLS)
 def _(spark, d):
-    return C.impute_median(_station(spark, d, *COLS), COLS)
+    return C.impute_median(stored(_station(spark, d, *COLS)), COLS)
 
 
 OUT = ("aqi", "pm10", "o3", "wind_speed")
@@ -173,7 +174,7 @@ nulled AS (SELECT series_id, ts, {', '.join(f"CASE WHEN {c} BETWEEN lo_{c} AND h
   FROM aqi_grid JOIN bounds USING (series_id))
 {_both_sql('nulled', OUT, back_first=True)}""", OUT)
 def _(spark, d):
-    return C.outliers_to_null(aqi_grid(spark, d).select("series_id", "ts", *OUT), OUT, target="aqi")
+    return C.outliers_to_null(stored(aqi_grid(spark, d).select("series_id", "ts", *OUT)), OUT, target="aqi")
 
 
 def _clip_sql(src, cols, lo, hi, k):
@@ -187,19 +188,19 @@ CLIP = ("pm2_5", "pm10", "wind_speed")
 
 @query("outlier_clip_iqr", f"WITH {ST}, {_clip_sql('grid', CLIP, 0.25, 0.75, '1.5e0')}", CLIP)
 def _(spark, d):
-    return C.clip_iqr(_station(spark, d, *CLIP), CLIP, flags=True)
+    return C.clip_iqr(stored(_station(spark, d, *CLIP)), CLIP, flags=True)
 
 
 @query("outlier_winsorize", f"WITH {ST}, {_clip_sql('grid', CLIP, 0.01, 0.99, '0e0')}", CLIP)
 def _(spark, d):
-    return C.winsorize(_station(spark, d, *CLIP), CLIP, flags=True)
+    return C.winsorize(stored(_station(spark, d, *CLIP)), CLIP, flags=True)
 
 
 @query("outlier_counts", f"""WITH {ST}, clipped AS (WITH {_clip_sql('grid', CLIP, 0.25, 0.75, '1.5e0')})
 SELECT * FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, count_if({c}_clipped) AS clipped FROM clipped" for c in CLIP)})
 WHERE clipped > 0""")
 def _(spark, d):
-    return C.clipped_counts(C.clip_iqr(_station(spark, d, *CLIP), CLIP, flags=True), CLIP)
+    return C.clipped_counts(C.clip_iqr(stored(_station(spark, d, *CLIP)), CLIP, flags=True), CLIP)
 
 
 @query("anomaly_iqr", f"""WITH {readings_sql()}, b AS (SELECT city, quantile_cont(aqi, 0.25) AS q1, quantile_cont(aqi, 0.75) AS q3
@@ -207,7 +208,7 @@ def _(spark, d):
 SELECT city, ts, aqi FROM readings JOIN b USING (city) WHERE aqi < q1 - 1.5e0 * (q3 - q1) OR aqi > q3 + 1.5e0 * (q3 - q1)""",
        ["aqi"])
 def _(spark, d):
-    return C.iqr_anomalies(readings(spark, d).select("city", "ts", "aqi"), "aqi", keys=["city"])
+    return C.iqr_anomalies(stored(readings(spark, d).select("city", "ts", "aqi")), "aqi", keys=["city"])
 
 
 @query("anomaly_iqr_items", """WITH b AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1,

@@ -20,6 +20,18 @@ FEATURES = ["aqi", *BASE, "aqi_lag_24h", "aqi_lag_48h", "aqi_rolling_std_24h", "
             "temp_humidity_interaction", "wind_u", "wind_v", "pm25_pm10_ratio"]
 CORE = ["aqi", "pm2_5", "pm10", "temperature", "aqi_lag_24h", "hour_sin", "hour_cos"]
 
+# Fewer rounds and shallower trees than ``models.PRESETS`` (the tuned settings), over the same rows:
+# what is checked here is the procedure, and hundreds of rounds only repeat it.
+FEWER_ROUNDS = {
+    **M.PRESETS,
+    "random_forest": {**M.PRESETS["random_forest"], "numTrees": 30, "maxDepth": 8},
+    "forest_nobootstrap": {**M.PRESETS["forest_nobootstrap"], "numTrees": 30},
+    "forest_importance": {**M.PRESETS["forest_importance"], "numTrees": 20, "maxDepth": 6},
+    "forest_baseline": {**M.PRESETS["forest_baseline"], "numTrees": 20},
+    "gradient_boosting": {**M.PRESETS["gradient_boosting"], "maxIter": 20},
+    "gbt_leafy": {**M.PRESETS["gbt_leafy"], "maxIter": 20, "maxDepth": 5},
+}
+
 
 def training_table(spark, d, kind="city"):
     """Panel with a small set of lagged, cyclic and interaction features and the targets."""
@@ -36,17 +48,17 @@ def training_table(spark, d, kind="city"):
 
 @query("rf_importance")
 def _(spark, d):
-    return M.rf_importance(training_table(spark, d), FEATURES, LABEL, 15)
+    return M.rf_importance(training_table(spark, d), FEATURES, LABEL, 15, FEWER_ROUNDS)
 
 
 @query("hybrid_select")
 def _(spark, d):
-    return M.hybrid_select(training_table(spark, d), CORE, LABEL, 5)
+    return M.hybrid_select(training_table(spark, d), CORE, LABEL, 5, presets=FEWER_ROUNDS)
 
 
 @query("selection_stages")
 def _(spark, d):
-    return M.selection_stages(training_table(spark, d), FEATURES, LABEL, K.FEATURES_KEPT[24])[0]
+    return M.selection_stages(training_table(spark, d), FEATURES, LABEL, K.FEATURES_KEPT[24], presets=FEWER_ROUNDS)[0]
 
 
 
@@ -76,7 +88,7 @@ def _scored(spark, d, name):
         train = checkpointed(flagged)
     else:
         train = checkpointed(split.where(F.col("split") == "train"))
-    model = M.fit(train, name, FEATURES, LABEL)
+    model = M.fit(train, name, FEATURES, LABEL, FEWER_ROUNDS)
     preds = model.transform(M.as_double(split, [*FEATURES, LABEL])).select(
         F.lit(name).alias("model"), "split", F.col(LABEL).alias("y"), "yhat")
     return E.regression_metrics(preds, ["model", "split"])
@@ -119,7 +131,7 @@ def _(spark, d):
 
 @query("baseline_models")
 def _(spark, d):
-    return M.baseline_report(training_table(spark, d), CORE, LABEL)
+    return M.baseline_report(training_table(spark, d), CORE, LABEL, presets=FEWER_ROUNDS)
 
 
 @query("predict_batch")
@@ -142,7 +154,7 @@ def _(spark, d):
 @query("model_importance")
 def _(spark, d):
     t = training_table(spark, d)
-    models = M.train_final(t, ("decision_tree", "forest_baseline"), CORE, LABEL)
+    models = M.train_final(t, ("decision_tree", "forest_baseline"), CORE, LABEL, presets=FEWER_ROUNDS)
     parts = [M.importances(m, CORE, name, spark) for name, m in models.items()]
     return E.top_k_features(parts[0].unionByName(parts[1]), 5)
 
@@ -150,8 +162,8 @@ def _(spark, d):
 @query("train_run")
 def _(spark, d):
     """Whole training run of one horizon, models saved and a registry row returned."""
-    return M.run_training(training_table(spark, d), 24, FEATURES, ("linear", "decision_tree"), train=TRAIN, test=TEST,
-                          step=STEP, model_path=f"{scratch_dir(spark)}/models_24h").drop("description")
+    return M.run_training(training_table(spark, d), 24, CORE, ("linear", "decision_tree"), train=TRAIN, test=TEST,
+                          step=STEP, presets=FEWER_ROUNDS, model_path=f"{scratch_dir(spark)}/models_24h").drop("description")
 
 
 @query("forecast_horizons")

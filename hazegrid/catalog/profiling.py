@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from hazegrid.catalog.base import BASE, aqi_grid, aqi_grid_sql, grid_sql, gridded, query, targets_grid, targets_sql
+from hazegrid.catalog.base import BASE, aqi_grid, aqi_grid_sql, grid_sql, gridded, query, stored, targets_grid, targets_sql
 from hazegrid.functions.timefeat import calendar_features, interaction_features
 from hazegrid.operators import profile as P
 
@@ -28,7 +28,7 @@ def _(spark, d):
   min({c}) AS min, max({c}) AS max, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50,
   quantile_cont({c}, 0.75) AS q75""", "grid"), ["mean", "std", "min", "max", "q25", "q50", "q75"])
 def _(spark, d):
-    return P.describe(gridded(spark, d, "station"), BASE)
+    return P.describe(stored(gridded(spark, d, "station")), BASE)
 
 
 @query("profile_items", " UNION ALL ".join(f"""SELECT '{c}' AS feature, count({c}) AS count, avg({c}) AS mean,
@@ -87,7 +87,7 @@ WIDE_SQL = """wide AS (SELECT *, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week
 
 def _wide(spark, d):
     g = aqi_grid(spark, d, "station")
-    return g.select("*", *calendar_features(F.col("ts")), *interaction_features(g.columns))
+    return stored(g.select("*", *calendar_features(F.col("ts")), *interaction_features(g.columns)))
 
 
 @query("corr_pairs_wide", f"WITH {aqi_grid_sql('station')}, {WIDE_SQL} {pairs_sql(WIDE, 'wide')}", ["abs_corr"])
@@ -156,4 +156,4 @@ SELECT feature, greatest(sum(n / nn * ln(n * nn / (nx * ny))), 0) AS score FROM
 
 @query("mi_binned", f"WITH {aqi_grid_sql('station')}, {_mi_sql()}", ["score"])
 def _(spark, d):
-    return P.mutual_info(aqi_grid(spark, d, "station"), MI, "aqi", BINS)
+    return P.mutual_info(stored(aqi_grid(spark, d, "station").select(*MI, "aqi")), MI, "aqi", BINS)

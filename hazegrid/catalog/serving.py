@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hazegrid import constants as K
 from hazegrid.catalog.base import (
-    REGISTRY_SQL, persistence, persistence_sql, query, readings, readings_sql, registry, sql_bands, sql_strict, table,
+    REGISTRY_SQL, persistence, persistence_sql, query, readings, readings_sql, registry, stored, sql_bands, sql_strict, table,
 )
 from hazegrid.catalog.scalars import sql_best_model
 from hazegrid.operators import evaluate as E
@@ -308,7 +308,7 @@ SELECT model, avg(yhat) AS mean_prediction, quantile_cont(yhat, 0.5) AS median_p
   CASE WHEN model = 'persist_72h' THEN 'ensemble' ELSE 'individual' END AS model_type FROM preds GROUP BY 1""",
        [f"{k}_prediction" for k in ("mean", "median", "std", "min", "max", "q25", "q75")])
 def _(spark, d):
-    return E.prediction_summary(persistence(spark, d, "station"), ["persist_72h"])
+    return E.prediction_summary(stored(persistence(spark, d, "station")), ["persist_72h"])
 
 
 @query("ensemble_mean", f"""WITH {persistence_sql('station')}

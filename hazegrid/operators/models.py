@@ -37,7 +37,7 @@ PRESETS = {
     "decision_tree": dict(kind="tree", maxDepth=15, minInstancesPerNode=5),
     "random_forest": dict(kind="forest", numTrees=200, maxDepth=15, minInstancesPerNode=2),
     "forest_baseline": dict(kind="forest", numTrees=50, maxDepth=5),
-    "forest_importance": dict(kind="forest", numTrees=100, maxDepth=10),
+    "forest_importance": dict(kind="forest", numTrees=100, maxDepth=8),
     "forest_nobootstrap": dict(kind="forest", numTrees=251, maxDepth=9, minInstancesPerNode=20, bootstrap=False,
                                featureSubsetStrategy="0.6449383229836702"),
     "gradient_boosting": dict(kind="gbt", maxIter=115, maxDepth=3, stepSize=0.1436659003499937, minInstancesPerNode=2),
@@ -82,9 +82,19 @@ def needs_validation(name: str, presets: Mapping | None = None) -> bool:
     return bool((presets or PRESETS)[name].get("early"))
 
 
+ROWS_PER_PARTITION = 20_000
+
+
 def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets: Mapping | None = None) -> PipelineModel:
-    """Fit on rows with a label; early-stopped models read ``is_validation``."""
-    return estimator(name, features, label, presets).fit(as_double(df, [*features, label]).where(F.col(label).isNotNull()))
+    """Fit on rows with a label; early-stopped models read ``is_validation``.
+
+    Tree statistics cost the same per partition however few rows it has, so a small training set
+    is packed into few partitions; a large one keeps its own.
+    """
+    extra = [F.col("is_validation")] if "is_validation" in df.columns else []
+    rows = as_double(df.select(*features, label, *extra), [*features, label]).where(F.col(label).isNotNull())
+    packed = rows.coalesce(max(1, -(-rows.count() // ROWS_PER_PARTITION)))
+    return estimator(name, features, label, presets).fit(packed)
 
 
 def importances(model: PipelineModel, features: Sequence[str], name: str, spark: SparkSession) -> DataFrame:
@@ -107,14 +117,14 @@ def hybrid_select(df: DataFrame, features: Sequence[str], label: str, k: int, sp
                   keys: Sequence[str] = KEY, ts: str = "ts", presets: Mapping | None = None) -> DataFrame:
     """Mutual information and forest importance on expanding folds, averaged, best ``k``."""
     placed = checkpointed(FO.assign_expanding(df.where(F.col(label).isNotNull()), splits, keys, ts))
-    mi, rf = [], []
-    for fold in range(splits):
-        part = placed.where((F.col("fold") == fold) & (F.col("split") == "train"))
-        scored = P.mutual_info(part, features, label).withColumn("fold", F.lit(fold))
-        mi.append(E.top_k_features(scored, k, ["fold"]).select("feature", "fold", "score"))
-        rf.append(rf_importance(part, features, label, k, presets).select("feature", F.lit(fold).alias("fold"), "score"))
-    stack = lambda parts: reduce(DataFrame.unionByName, parts)
-    return E.hybrid_scores(stack(mi), stack(rf), splits, k)
+    train = placed.where(F.col("split") == "train")
+    mi = E.top_k_features(P.mutual_info(train, features, label, by=["fold"]), k, ["fold"])
+    rf = [
+        rf_importance(train.where(F.col("fold") == fold), features, label, k, presets)
+        .select("feature", F.lit(fold).alias("fold"), "score")
+        for fold in range(splits)
+    ]
+    return E.hybrid_scores(mi.select("feature", "fold", "score"), reduce(DataFrame.unionByName, rf), splits, k)
 
 
 def selection_stages(df: DataFrame, features: Sequence[str], label: str, k: int, keys: Sequence[str] = KEY,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid.functions.names import suspicious_name
 from hazegrid.plans.attach import attach
 from hazegrid.plans.quantiles import exact_quantiles
+from hazegrid.session import checkpointed
 
 FEW_COLUMNS = 12  # up to here all pairs fit one generated aggregation
 
@@ -205,34 +206,39 @@ def leakage_check(df: DataFrame, features: Sequence[str], target: str, threshold
     )
 
 
-def mutual_info(df: DataFrame, features: Sequence[str], target: str, bins: int = 8) -> DataFrame:
-    """Mutual information (nats) between each feature and the target on quantile bins.
+def mutual_info(df: DataFrame, features: Sequence[str], target: str, bins: int = 8, by: Sequence[str] = ()) -> DataFrame:
+    """Mutual information (nats) between each feature and the target on quantile bins, per ``by``
+    group (e.g. fold) in one go.
 
     Bin edges are exact quantiles; a value belongs to the number of inner edges below it.
     Counts per (feature, bin, bin) are the only thing shuffled.
     """
-    cols = [*features, target]
-    edges = exact_quantiles(df.select(*cols), [], cols, [i / bins for i in range(1, bins)])
-    binned = attach(df.select(*[F.col(c).cast("double").alias(f"_x_{c}") for c in cols]), edges, [])
-
-    def bin_of(c):
-        steps = sum([(F.col(f"_x_{c}") > F.col(c)[i]).cast("int") for i in range(bins - 1)], F.lit(0))
-        return F.when(F.col(f"_x_{c}").isNotNull(), steps)
-
-    by = bin_of(target)
-    entry = [
-        F.when(bin_of(f).isNotNull() & by.isNotNull(), F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bx"), by.alias("by")))
-        for f in features
-    ]
+    by, cols = list(by), [*features, target]
+    slim = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    edges = checkpointed(exact_quantiles(slim, by, cols, [i / bins for i in range(1, bins)]))
+
+    def bin_of(x, inner):
+        return F.when(x.isNotNull(), F.size(F.filter(inner, lambda e: x > e)))
+
+    y = attach(slim, edges.select(*by, F.col(target).alias("_e")), by)
+    x = (
+        y.select(*by, *features, bin_of(F.col(target), F.col("_e")).alias("_by"))
+        .where(F.col("_by").isNotNull())
+        .unpivot([*by, "_by"], list(features), "feature", "x")
+        .where(F.col("x").isNotNull())
+    )
+    inner = edges.select(*by, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("e")) for f in features])))
     joint = (
-        binned.select(F.explode(F.array_compact(F.array(*entry))).alias("r")).select("r.*")
-        .groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
+        attach(x, inner, [*by, "feature"])
+        .groupBy(*by, "feature", bin_of(F.col("x"), F.col("e")).alias("_bx"), "_by")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    nx = joint.groupBy("feature", "bx").agg(F.sum("n").alias("nx"))
-    ny = joint.groupBy("feature", "by").agg(F.sum("n").alias("ny"))
-    nn = joint.groupBy("feature").agg(F.sum("n").alias("nn"))
+    whole = [*by, "feature"]  # at most bins x bins rows each
+
+    def total(*extra):
+        return F.sum("n").over(Window.partitionBy(*whole, *extra))
+
+    sums = joint.select(*whole, "n", "_bx", "_by", total().alias("nn")).select(
+        *whole, "n", "nn", total("_bx").alias("nx"), total("_by").alias("ny"))
     part = F.col("n") / F.col("nn") * F.log(F.col("n") * F.col("nn") / (F.col("nx") * F.col("ny")))
-    return (
-        joint.join(nx, ["feature", "bx"]).join(ny, ["feature", "by"]).join(nn, "feature")
-        .groupBy("feature").agg(F.greatest(F.sum(part), F.lit(0.0)).alias("score"))
-    )
+    return sums.groupBy(*whole).agg(F.greatest(F.sum(part), F.lit(0.0)).alias("score"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazegrid.session import checkpointed
 
@@ -16,15 +17,16 @@ SPREAD = 64
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Left-join ``small`` (unique on ``keys``) to ``df``.
 
-    ``small`` is computed once into the checkpoint folder and measured. Up to 64 MB it is
-    broadcast and the rows never move. Beyond that the rows are hashed on (keys, salt) against
+    Without keys ``small`` is one row; its values become literals of the plan. With keys it is
+    computed once into the checkpoint folder and measured: up to 64 MB it is broadcast and the
+    rows never move. Beyond that the rows are hashed on (keys, salt) against
     a copy of ``small`` per salt, so that one hot key still spreads over many tasks.
     """
+    if not keys:
+        row = small.first()
+        values = [_literal(row[f.name], f.dataType).alias(f.name) for f in small.schema.fields]
+        return df.select("*", *values)
     small = checkpointed(small)
-    if not keys:  # one row: a scalar subquery, no join at all
-        names = small.columns
-        box = small.select(F.struct(*names).alias("_s")).scalar()
-        return df.withColumn("_s", box).select("*", *[F.col(f"_s.{n}").alias(n) for n in names]).drop("_s")
     width = sum(_width(f.dataType.simpleString()) for f in small.schema.fields)
     if small.count() * width <= BROADCAST_BYTES:
         return df.join(F.broadcast(small), list(keys), how)
@@ -33,6 +35,16 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def _width(type_name: str) -> int:
     """Generous bytes per value: nested and text columns count far more than numbers."""
     return 1024 if any(t in type_name for t in ("array", "map", "struct", "string")) else 16

@@ -29,8 +29,8 @@ def grid_index(ts: str = "ts", step_seconds: int = HOUR) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(step_seconds)).cast("bigint")
 
 
-def with_block(df: DataFrame, pos: Column, rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    return df.withColumn(BLOCK, F.floor(pos / F.lit(rows)).cast("bigint"))
+def block_of(pos: Column, rows: int = DEFAULT_BLOCK_ROWS) -> Column:
+    return F.floor(pos / F.lit(rows)).cast("bigint")
 
 
 def row_positions(
@@ -93,20 +93,21 @@ def halo_window(
     ``after`` of its start are copied into the neighbouring block, at most a quarter of all.
     """
     rows = max(DEFAULT_BLOCK_ROWS, 4 * (before + after))
-    placed = with_block(dense_axis(df, keys, ts, gap_free, step_seconds), F.col(POS), rows)
-    inside = F.pmod(F.col(POS), F.lit(rows))
-    copies = [F.col(BLOCK)]
+    if gap_free:
+        pos = grid_index(ts, step_seconds)
+    else:
+        df = dense_axis(df, keys, ts, False, step_seconds)
+        pos = F.col(POS)
+    block, inside = block_of(pos, rows), F.pmod(pos, F.lit(rows))
+    copies = [block]
     if before:
-        copies.append(F.when(inside >= rows - before, F.col(BLOCK) + 1))
+        copies.append(F.when(inside >= rows - before, block + 1))
     if after:
-        copies.append(F.when(inside < after, F.col(BLOCK) - 1))
-    spread = placed.withColumn("_to", F.explode(F.array_compact(F.array(*copies))))
+        copies.append(F.when(inside < after, block - 1))
+    kept = [F.col(c) for c in df.columns if c != POS]
+    spread = df.select(*kept, pos.alias(POS), block.alias(BLOCK), F.explode(F.array_compact(F.array(*copies))).alias("_to"))
     w = Window.partitionBy(*keys, "_to").orderBy(POS)
-    return (
-        spread.select("*", *exprs(w))
-        .where(F.col("_to") == F.col(BLOCK))
-        .drop("_to", BLOCK, POS)
-    )
+    return spread.select("*", *exprs(w)).where(F.col("_to") == F.col(BLOCK)).drop("_to", BLOCK, POS)
 
 
 def neighbours(
@@ -124,7 +125,13 @@ def neighbours(
     Per-block first and last non-null rows (one partial aggregation) are carried over the
     short list of blocks, then joined back on (keys, block), which the in-block window reuses.
     """
-    placed = with_block(dense_axis(df, keys, ts, gap_free, step_seconds), F.col(POS), block_rows)
+    names = df.columns
+    if gap_free:
+        pos = grid_index(ts, step_seconds)
+        placed = df.select("*", pos.alias(POS), block_of(pos, block_rows).alias(BLOCK))
+    else:
+        dense = dense_axis(df, keys, ts, False, step_seconds)
+        placed = dense.select("*", block_of(F.col(POS), block_rows).alias(BLOCK))
 
     def point(c: str) -> Column:
         return F.when(
@@ -152,7 +159,7 @@ def neighbours(
     return (
         placed.join(carried, [*keys, BLOCK], "left")
         .select(
-            *df.columns,
+            *names,
             POS,
             *[F.coalesce(F.last(point(c), True).over(up_to_here), F.col(f"_l_{c}")).alias(f"_prev_{c}") for c in cols],
             *[F.coalesce(F.last(point(c), True).over(from_here), F.col(f"_f_{c}")).alias(f"_next_{c}") for c in cols],

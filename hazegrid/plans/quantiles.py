@@ -36,36 +36,34 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pro
             for c in cols
         ]
     )
-    rows = attach(df.select(*keys, *cols), bounds, keys)
-
-    def bracket(c: str, i: int):
-        b = F.col(f"_b_{c}")
-        small = b["n"] < SMALL_GROUP
-        return F.when(small, b["lo"]).otherwise(b["e"][i]), F.when(small, b["hi"]).otherwise(b["e"][i + m])
-
-    hits = []
-    for c in cols:
-        v = F.col(c).cast("double")
-        for i, p in enumerate(probs):
-            lo, hi = bracket(c, i)
-            rank = (F.col(f"_b_{c}")["n"] - 1) * F.lit(float(p))
-            hits.append(
-                F.when(
-                    v <= hi,
-                    F.struct(
-                        F.lit(c).alias("name"),
-                        F.lit(i).alias("i"),
-                        rank.alias("rank"),
-                        # every value under the bracket collapses into one counted row
-                        F.when(v >= lo, v).alias("v"),
-                        F.when(v >= lo, F.when(hi > lo, F.floor((v - lo) / (hi - lo) * SUB)).otherwise(F.lit(0)))
-                        .otherwise(F.lit(-1)).cast("bigint").alias(BLOCK),
-                    ),
-                )
-            )
+    # Long form from here on: one row per (row, column, wanted rank). The plan stays the same size
+    # however many columns are asked for, and every value under its bracket collapses into one
+    # counted row in the partial aggregation.
+    limits = bounds.select(
+        *keys, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_b_{c}").alias("b")) for c in cols]))
+    ).select(*keys, "name", "b.*")
+    cells = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        list(keys), list(cols), "name", "v"
+    )
+    small = F.col("n") < SMALL_GROUP
+    placed = (
+        attach(cells.where(F.col("v").isNotNull()), limits, [*keys, "name"])
+        .select(*keys, "name", "v", "n", "lo", "hi", "e", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("i", "p"))
+        .select(
+            *keys, "name", "i", ((F.col("n") - 1) * F.col("p")).alias("rank"), "v",
+            F.when(small, F.col("lo")).otherwise(F.col("e")[F.col("i")]).alias("lo"),
+            F.when(small, F.col("hi")).otherwise(F.col("e")[F.col("i") + m]).alias("hi"),
+        )
+        .where(F.col("v") <= F.col("hi"))
+    )
+    inside_bracket = F.col("v") >= F.col("lo")
+    sub = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SUB)).otherwise(0)
     counts = (
-        rows.select(*keys, F.explode(F.array_compact(F.array(*hits))).alias("h"))
-        .select(*keys, "h.*")
+        placed.select(
+            *keys, "name", "i", "rank",
+            F.when(inside_bracket, F.col("v")).alias("v"),
+            F.when(inside_bracket, sub).otherwise(-1).cast("bigint").alias(BLOCK),
+        )
         .groupBy(*keys, "name", "i", "rank", BLOCK, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
