@@ -58,7 +58,7 @@ def generalization(fold_metrics: DataFrame, flat_below: float = 3.0) -> DataFram
     total = F.sum(F.when(test, F.col("n") * F.col("mean")))
     square = F.sum(F.when(test, F.col("n") * (F.col("std") * F.col("std") + F.col("mean") * F.col("mean"))))
     out = fold_metrics.groupBy("model").agg(
-        F.sqrt(F.greatest(square / n - (total / n) * (total / n), F.lit(0.0))).alias("std_pred"),
+        F.sqrt(F.greatest(F.try_divide(square, n) - F.try_divide(total, n) * F.try_divide(total, n), F.lit(0.0))).alias("std_pred"),
         *[F.avg(F.when(train, F.col(m))).alias(f"avg_train_{m}") for m in METRICS],
         *[F.avg(F.when(test, F.col(m))).alias(f"avg_test_{m}") for m in METRICS],
         F.avg(sizes).alias("avg_train_size"),

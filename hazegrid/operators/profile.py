@@ -16,6 +16,14 @@ from hazegrid.session import checkpointed
 FEW_COLUMNS = 12  # up to here all pairs fit one generated aggregation
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson correlation over the complete pairs; null where either side is constant (the
+    built-in ``corr`` divides by zero there)."""
+    a = F.when(F.col(y).isNotNull(), F.col(x))
+    b = F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def _long(stats: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One row of struct columns -> one row per column."""
     entry = [F.struct(F.lit(c).alias("feature"), *[F.col(c)[f].alias(f) for f in fields]) for c in cols]
@@ -32,7 +40,7 @@ def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     stats = column_stats(
         df, cols, nulls=lambda c: F.count_if(F.col(c).isNull()), total=lambda c: F.count(F.lit(1))
     )
-    pct = F.col("nulls") / F.col("total")
+    pct = F.try_divide("nulls", "total")
     return stats.select(
         "feature", "nulls", "total", pct.alias("null_pct"),
         (pct > 0.8).alias("mostly_missing"), (pct < 0.5).alias("kept"),
@@ -63,7 +71,7 @@ def quality_issues(df: DataFrame, target: str, features: Sequence[str]) -> DataF
         F.stddev_samp(t).alias("std"),
         F.count_if(t < 0).alias("negatives"),
         F.max(t).cast("double").alias("top"),
-        sum([(F.count_if(F.col(f).isNull()) / F.count(F.lit(1)) > 0.8).cast("int") for f in features], F.lit(0))
+        sum([(F.try_divide(F.count_if(F.col(f).isNull()), F.count(F.lit(1))) > 0.8).cast("int") for f in features], F.lit(0))
         .alias("missing_features"),
     )
 
@@ -112,7 +120,7 @@ def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _corr_few(df, cols):
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    wide = df.agg(*[F.corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
+    wide = df.agg(*[pearson(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
     entry = [
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("feature_a"),
                  F.lit(cols[j]).alias("feature_b"), F.abs(F.col(f"r_{i}_{j}")).alias("abs_corr"))
@@ -150,9 +158,9 @@ def _corr_many(df, cols):
     total = slim.mapInPandas(fold, schema).groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
     )
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    r = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
+    r = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n")), F.sqrt(vx * vy))
     tiny = 1e-12
     names = F.array(*[F.lit(c) for c in cols])
     return total.select(
@@ -182,7 +190,7 @@ def prune_correlated_by_target(pairs: DataFrame, target_corr: DataFrame, thresho
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str, min_variance: float = 1e-9) -> DataFrame:
     """Absolute correlation of each feature with the target; 0 for (near) constant features."""
-    stats = column_stats(df, features, corr=lambda c: F.corr(c, target), variance=F.var_samp)
+    stats = column_stats(df, features, corr=lambda c: pearson(c, target), variance=F.var_samp)
     return stats.select(
         "feature", F.when(F.col("variance") > min_variance, F.abs("corr")).otherwise(F.lit(0.0)).alias("abs_corr")
     )
@@ -197,7 +205,7 @@ def leakage_check(df: DataFrame, features: Sequence[str], target: str, threshold
     """Per feature: correlation over the rows complete in all of them, and whether it or its
     name looks like leakage; with the largest and mean correlation."""
     complete = df.select(*features, target).na.drop()
-    stats = column_stats(complete, features, abs_corr=lambda c: F.abs(F.corr(c, target)))
+    stats = column_stats(complete, features, abs_corr=lambda c: F.abs(pearson(c, target)))
     overall = stats.agg(F.max("abs_corr").alias("max_corr"), F.avg("abs_corr").alias("mean_corr"))
     return attach(
         stats.select("feature", "abs_corr", (F.col("abs_corr") > threshold).alias("high_corr"),

@@ -31,7 +31,7 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
     if small.count() * width <= BROADCAST_BYTES:
         return df.join(F.broadcast(small), list(keys), how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).cast("bigint"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -117,7 +117,7 @@ def neighbours(
     ts: str = "ts",
     gap_free: bool = True,
     step_seconds: int = HOUR,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add ``_prev_<c>`` / ``_next_<c>``: struct(v, pos, t) of the nearest non-null row at or
     before / at or after each row; keeps ``_pos``.
@@ -126,6 +126,7 @@ def neighbours(
     short list of blocks, then joined back on (keys, block), which the in-block window reuses.
     """
     names = df.columns
+    block_rows = block_rows or DEFAULT_BLOCK_ROWS
     if gap_free:
         pos = grid_index(ts, step_seconds)
         placed = df.select("*", pos.alias(POS), block_of(pos, block_rows).alias(BLOCK))

@@ -48,7 +48,7 @@ def sliding_means(df: DataFrame, by: Sequence[str], value: str, hours: int = 24,
     else:
         timed = per_hour.select(*by, F.col("_h.start").alias("_t"), "_s", "_n")
     return timed.groupBy(*by, F.window("_t", f"{hours} hours", "1 hour").alias("_w")).agg(
-        (F.sum("_s") / F.sum("_n")).alias("mean_value"), F.sum("_n").alias("n")
+        F.try_divide(F.sum("_s"), F.sum("_n")).alias("mean_value"), F.sum("_n").alias("n")
     ).select(*by, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "mean_value", "n")
 
 
