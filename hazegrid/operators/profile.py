@@ -21,7 +21,8 @@ def pearson(x: str, y: str) -> Column:
     built-in ``corr`` divides by zero there)."""
     a = F.when(F.col(y).isNotNull(), F.col(x))
     b = F.when(F.col(x).isNotNull(), F.col(y))
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varied, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def _long(stats: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.plans.attach import attach
+from hazegrid.session import checkpointed
 
 
 def explode_hourly_response(
@@ -28,18 +29,23 @@ def explode_hourly_response(
     )
 
 
+def _span(df: DataFrame, key: str, ts: str, per_series: bool) -> DataFrame:
+    """Series with the ends of their axis. The list of series is computed once and stored, so the
+    rows are passed over only once more, for the join."""
+    series = df.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    if per_series:
+        return series
+    series = checkpointed(series)
+    return attach(series.select(key), series.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")), [])
+
+
 def hourly_grid(df: DataFrame, key: str = "series_id", ts: str = "ts", per_series: bool = False) -> DataFrame:
     """Gap-free hourly axis per series with the given rows left-joined to it.
 
     The axis spans the whole table, or each series' own range. Days are unfolded first and
     hours second, so no row ever holds more than one entry per day.
     """
-    if per_series:
-        span = df.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    else:
-        series = df.groupBy(key).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-        total = series.agg(F.min("_a").alias("_lo"), F.max("_b").alias("_hi"))
-        span = attach(series.select(key), total, [])
+    span = _span(df, key, ts, per_series)
     day = F.explode(F.sequence(F.date_trunc("day", "_lo"), F.date_trunc("day", "_hi"), F.expr("INTERVAL 1 DAY")))
     hour = F.explode(F.sequence(F.col("_d"), F.col("_d") + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR")))
     axis = (
@@ -53,8 +59,7 @@ def hourly_grid(df: DataFrame, key: str = "series_id", ts: str = "ts", per_serie
 
 def daily_grid(df: DataFrame, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Gap-free daily axis over the whole table's date range."""
-    series = df.groupBy(key).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    span = attach(series.select(key), series.agg(F.min("_a").alias("_lo"), F.max("_b").alias("_hi")), [])
+    span = _span(df, key, ts, False)
     days = F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.expr("INTERVAL 1 DAY")))
     return span.select(key, days.alias(ts)).join(df, [key, ts], "left")
 
