@@ -126,7 +126,7 @@ def _(spark, d):
     from hazegrid.plans.blocks import grid_index, row_positions
 
     ev = table(spark, d, "events", "event_id", "ts")
-    return row_positions(ev, [], ["ts", "event_id"], grid_index("ts"), "row_idx").select("event_id", "row_idx")
+    return row_positions(ev, [], ["ts", "event_id"], grid_index("ts", 1), "row_idx").select("event_id", "row_idx")
 
 
 @query("drop_warmup", f"""WITH {panel_sql('station')}

@@ -70,13 +70,12 @@ def overview(df: DataFrame, as_of: Column | None = None, city: str = "city", ts:
     week, fortnight = now - F.expr("INTERVAL 7 DAYS"), now - F.expr("INTERVAL 14 DAYS")
     recent, older = t >= week, (t >= fortnight) & (t < week)
     agg = with_as_of(df.select(city, ts, "aqi"), as_of, ts).groupBy(city).agg(
-        F.max(F.struct(t.alias("ts"), F.col("aqi").alias("aqi"))).alias("_l"),
+        F.max_by("aqi", t).alias("current_aqi"),
+        F.max(t).alias("_t"),
         F.avg(F.when(recent, F.col("aqi"))).alias("_w"),
         F.avg(F.when(older, F.col("aqi"))).alias("_o"),
     )
-    current = F.col("_l.aqi")
-    filled = agg.select(city, current.alias("current_aqi"), F.col("_l.ts").alias("_t"),
-                        F.coalesce("_w", current).alias("_w"), "_o")
+    filled = agg.select(city, "current_aqi", "_t", F.coalesce("_w", "current_aqi").alias("_w"), "_o")
     return filled.select(
         city,
         "current_aqi",

@@ -140,9 +140,23 @@ def neighbours(
             F.struct(F.col(c).alias("v"), F.col(POS).alias("pos"), F.unix_micros(F.col(ts)).alias("t")),
         )
 
-    summary = placed.groupBy(*keys, BLOCK).agg(
-        *[F.max_by(point(c), F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"_l_{c}") for c in cols],
-        *[F.min_by(point(c), F.when(F.col(c).isNotNull(), F.col(POS))).alias(f"_f_{c}") for c in cols],
+    # Plain values, not structs, in the aggregation buffers: that keeps it a hash aggregation.
+    def edge(c: str, side: str) -> list[Column]:
+        here = F.when(F.col(c).isNotNull(), F.col(POS))
+        at, pick = (F.max, F.max_by) if side == "last" else (F.min, F.min_by)
+        return [
+            at(here).alias(f"_{side}p_{c}"), pick(F.col(c), here).alias(f"_{side}v_{c}"),
+            pick(F.unix_micros(F.col(ts)), here).alias(f"_{side}t_{c}"),
+        ]
+
+    def packed(c: str, side: str) -> Column:
+        fields = [F.col(f"_{side}{x}_{c}").alias(name) for x, name in (("v", "v"), ("p", "pos"), ("t", "t"))]
+        return F.when(F.col(f"_{side}p_{c}").isNotNull(), F.struct(*fields))
+
+    edges = [a for c in cols for a in (*edge(c, "last"), *edge(c, "first"))]
+    summary = placed.groupBy(*keys, BLOCK).agg(*edges).select(
+        *keys, BLOCK,
+        *[packed(c, "last").alias(f"_l_{c}") for c in cols], *[packed(c, "first").alias(f"_f_{c}") for c in cols],
     )
     over_blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     carried = summary.select(

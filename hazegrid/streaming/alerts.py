@@ -45,11 +45,11 @@ def active_alerts(alerts: DataFrame, as_of: Column, dismissals: DataFrame | None
 
 def last_check(df: DataFrame, place: str = "city", ts: str = "ts", aqi: str = "aqi") -> DataFrame:
     """Per place the last reading, whether it is hazardous, and whether there was no value."""
-    last = F.max(F.struct(F.col(ts).alias("ts"), F.col(aqi).alias("aqi")))
-    return df.groupBy(place).agg(last.alias("_l")).select(
+    last = df.groupBy(place).agg(F.max(ts).alias("checked_ts"), F.max_by(aqi, ts).alias("aqi_value"))
+    return last.select(
         place,
-        F.col("_l.ts").alias("checked_ts"),
-        F.col("_l.aqi").alias("aqi_value"),
-        F.coalesce(F.col("_l.aqi") >= K.ALERT_LEVELS[-1][0], F.lit(False)).alias("is_hazardous"),
-        F.col("_l.aqi").isNull().alias("data_unavailable"),
+        "checked_ts",
+        "aqi_value",
+        F.coalesce(F.col("aqi_value") >= K.ALERT_LEVELS[-1][0], F.lit(False)).alias("is_hazardous"),
+        F.col("aqi_value").isNull().alias("data_unavailable"),
     )
