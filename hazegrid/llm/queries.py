@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazegrid.llm import quality, simhash
+from hazegrid.llm import decontam, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +32,12 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op9_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontam.overlaps(docs, items)
+
+
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -95,3 +101,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND (n_words < {quality.MIN_WORDS} OR (c.js <= {quality.CHAR_LIMIT}
     AND v.js <= sqrt({quality.WORD_LIMIT ** 2} + {quality.NOISE} * (k - 1) / (8 * n_words * ln(2))))) AS kept
 FROM judged JOIN class_js c USING (r) JOIN word_js v USING (r) JOIN sizes USING (l)"""
+
+
+_TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')"
+_AT = "unnest(range(0, len(words) - 7)) AS pos"
+
+
+def _masked(mask: str) -> str:
+    return "concat_ws(' ', " + ", ".join(f"words[pos + {i + 1}]" for i, c in enumerate(mask) if c == "1") + ")"
+
+
+_EQUAL = [f"(CASE WHEN d.pos + {k} >= 0 AND i.pos + {k} >= 0 AND d.words[d.pos + {k + 1}] = i.words[i.pos + {k + 1}] THEN 1 ELSE 0 END)"
+          for k in range(-5, 13)]
+_WINDOWS = ", ".join(f"CASE WHEN i.pos + {k} >= 0 AND i.pos + {k + 13} <= len(i.words) THEN {' + '.join(_EQUAL[k + 5:k + 18])} END" for k in range(-5, 1))
+
+ORACLE_SQL["op9_spaced_seed_overlaps"] = f"""
+WITH items AS (
+  SELECT min(item_id) AS item_id, words FROM (SELECT item_id, {_TOKENS} AS words FROM benchmark) WHERE len(words) >= 8 GROUP BY words),
+docs AS (SELECT doc_id, {_TOKENS} AS words FROM documents),
+i AS (SELECT item_id, words, pos, unnest([{', '.join(f"'{m}' || {_masked(x)}" for m, x in enumerate(decontam.MASKS))}]) AS seed
+  FROM (SELECT item_id, words, {_AT} FROM items)),
+places AS (SELECT doc_id, words, {_AT} FROM docs WHERE len(words) >= 8),
+d AS (SELECT doc_id, words, pos, unnest([{', '.join(f"'{m}' || {_masked(x)}" for m, x in enumerate(decontam.MASKS))}]) AS seed FROM places),
+hits AS (
+  SELECT doc_id, item_id, least(len(i.words), 13)::BIGINT AS window_tokens,
+    CASE WHEN len(i.words) < 13 THEN {' + '.join(_EQUAL[1:17])} ELSE greatest({_WINDOWS}) END::BIGINT AS matched
+  FROM d JOIN i USING (seed))
+SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(window_tokens)::BIGINT AS window_tokens, count(*)::BIGINT AS n_hits
+FROM hits WHERE matched >= CASE WHEN window_tokens < 13 THEN window_tokens ELSE 11 END GROUP BY doc_id, item_id"""
