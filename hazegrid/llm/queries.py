@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazegrid.llm import decontam, quality, simhash
+from hazegrid.llm import decontam, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,6 +38,12 @@ def op9_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(docs, items)
 
 
+@query
+def op2_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixing.shares_taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
