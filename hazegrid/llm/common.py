@@ -101,3 +101,23 @@ def running_sums(df: DataFrame, order: Sequence[Column], value: str, before: str
 def in_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Apply ``fn`` to each Arrow batch of a task."""
     return lambda batches: (fn(b) for b in batches)
+
+
+def open_store(folder: str):
+    """(file system, path) of a shared folder, from any executor: local, S3, GCS, HDFS or Azure URI."""
+    import re
+
+    from pyarrow import fs
+
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", folder):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+    return fs.LocalFileSystem(), folder
+
+
+def attempt_name(prefix: str, suffix: str) -> tuple[int, str]:
+    """(partition, file name) for what this task attempt writes. An attempt that is lost leaves a
+    file that no manifest names; its successor writes another."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return task.partitionId(), f"{prefix}-{task.partitionId():06d}-{task.taskAttemptId()}{suffix}"

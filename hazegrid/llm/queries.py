@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hazegrid.llm import decontam, mixing, quality, simhash
+from hazegrid.llm import decontam, mixing, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,6 +45,12 @@ def op2_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares_taken(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.packed_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
