@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hazegrid.llm import decontam, mixing, packing, quality, simhash
+from hazegrid.llm import decontam, mixing, packing, quality, simhash, tokcount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokcount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
