@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hazegrid.llm import decontam, mixing, packing, quality, simhash, tokcount
+from hazegrid.llm import decontam, mixing, packing, quality, simhash, tokcount, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,6 +56,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages", "page_id", "url"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return urlfilter.judge_urls(pages, labels, URL_RULES).drop("rate", "lower_bound")
+
+
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -147,3 +157,47 @@ hits AS (
   FROM d JOIN i USING (seed))
 SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(window_tokens)::BIGINT AS window_tokens, count(*)::BIGINT AS n_hits
 FROM hits WHERE matched >= CASE WHEN window_tokens < 13 THEN window_tokens ELSE 11 END GROUP BY doc_id, item_id"""
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+_LONGEST = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+_RULE = " ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for _, h, p in _LONGEST)
+_RULED = " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for v, h, p in _LONGEST)
+
+
+def _strength(units: str) -> str:
+    low, high = urlfilter.STRENGTHS
+    rho = "sum((bad - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * prior * (1 - prior) * (n - 1)), 0)"
+    return f"(SELECT CASE WHEN r IS NULL OR r <= 0 THEN {high} ELSE least({high}, greatest({low}, 1 / r - 1)) END FROM (SELECT {rho} AS r FROM {units}))"
+
+
+ORACLE_SQL["op4_host_reputation"] = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+raw AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
+rows AS (
+  SELECT page_id, {_LOWER.format('h')} AS host, regexp_extract(substr(rest, len(h) + 1), '^[^?#]*') AS path FROM raw),
+known AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id),
+bare AS (
+  SELECT host, bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS b
+  FROM rows LEFT JOIN known ON page_id = doc_id),
+parts AS (
+  SELECT host, bad, b, string_split(b, '.') AS l, regexp_matches(b, '^[0-9.]+$') OR starts_with(b, '[') AS address FROM bare),
+twos AS (SELECT *, array_to_string(l[-2:], '.') AS last2 FROM parts),
+named AS (
+  SELECT host, bad, CASE WHEN address THEN '' WHEN last2 IN {urlfilter.DOUBLE_SUFFIXES} THEN last2 ELSE l[-1] END AS suffix,
+    CASE WHEN address THEN b WHEN last2 IN {urlfilter.DOUBLE_SUFFIXES} THEN array_to_string(l[-3:], '.') ELSE last2 END AS domain FROM twos),
+hosts AS (SELECT host, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM named GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, coalesce((SELECT sum(bad) / nullif(sum(n), 0) FROM hosts), 0) AS prior FROM hosts GROUP BY suffix),
+sp AS (SELECT suffix, (k * prior + bad) / (k + n) AS prior FROM s, (SELECT {_strength('s')} AS k)),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM hosts JOIN sp USING (suffix) GROUP BY domain, suffix),
+dp AS (SELECT domain, suffix, (k * prior + bad) / (k + n) AS prior FROM d, (SELECT {_strength('d')} AS k)),
+h AS (SELECT host, n, bad, prior FROM hosts JOIN dp USING (domain, suffix)),
+hp AS (SELECT host, k * prior + bad AS a, k * (1 - prior) + n - bad AS b FROM h, (SELECT {_strength('h')} AS k)),
+fame AS (SELECT host, a / (a + b) - {urlfilter.Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) AS bound FROM hp)
+SELECT page_id, host, path, CASE {_RULE} END AS rule,
+  CASE {_RULED} WHEN bound > {urlfilter.LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+FROM rows JOIN fame USING (host)"""
