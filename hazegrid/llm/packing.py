@@ -199,7 +199,7 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
         store.create_dir(base, recursive=True)
         encode, n_docs = by_words(tokenizer_file), 0
         path = f"{base}/{name}"
-        with store.open_output_stream(path) as stream:
+        with store.open_output_stream(path, compression=None) as stream:
             writer = Writer(stream, bits)
             for b in batches:
                 for i, ids in zip(b.column("doc_id").to_pylist(), encode(texts(b.column("text")))):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hazegrid.llm import decontam, mixing, packing, quality, simhash, tokcount, urlfilter
+from hazegrid.llm import decontam, mixing, packing, quality, simhash, tokcount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,6 +66,11 @@ def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, labels, URL_RULES).drop("rate", "lower_bound")
 
 
+@query
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
