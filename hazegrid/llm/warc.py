@@ -154,7 +154,7 @@ def _member(w: Window, start: int) -> tuple[bytes, int]:
 
 def _headers(head: bytes) -> dict[str, str]:
     lines = head.split(b"\r\n")
-    if not lines[0].startswith(VERSION):
+    if not lines[0].startswith(VERSION) or not lines[0][len(VERSION):].isdigit():
         raise Damaged("no version line")
     out = {}
     for line in lines[1:]:
@@ -233,7 +233,7 @@ def _next_start(w: Window, start: int, zipped: bool) -> int:
 def salvage(file) -> Iterator[tuple[str, int, int, tuple | str]]:
     """("record", start, end, fields) and ("gap", start, end, reason) that cover the file."""
     w = Window(file)
-    zipped = w.get(0, 2) != VERSION[:2] and w.find(MAGIC, 0) >= 0
+    zipped = _next_start(w, 0, True) < _next_start(w, 0, False)  # by what opens first
     at = 0
     while at < w.size:
         try:
