@@ -23,6 +23,7 @@ ascending id order, null last, repeated ids in order of their texts.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -150,6 +151,52 @@ class Reader:
         return out
 
 
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_STOPS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
+
+
+class _Words(dict):
+    """Packed ids (u32) of words, found out at first use."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
+        # words of small letters go straight to the model, if that gives what the whole tokenizer gives
+        probes = [c for c in map(chr, range(0x61, 0x100)) if _LETTERS.fullmatch(c)]
+        probes += [f"t{c}he{c}{c}r" for c in probes] + ["internationalization", "größenordnung", "désintéressé"]
+        self.direct = all(self._by_model(w) == self._whole(w) for w in probes)
+        # a word and the stops behind it are two pieces, if the tokenizer says so
+        self.apart = all(self._whole(w + s) == self._whole(w) + self._whole(s) for w in probes for s in (*_STOPS, "...", "?!"))
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _by_model(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return struct.pack(f"<{len(got)}I", *[t.id for t in got]) if (got := self.model.tokenize(mapped)) else b""
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        core = text.rstrip(_STOPS) if self.apart else text
+        if core != text and core and _LETTERS.fullmatch(core[-1]):
+            ids = self[core.encode()] + self[text[len(core):].encode()]
+        elif self.direct and _LETTERS.fullmatch(text):
+            ids = self._by_model(text)
+        else:
+            ids = self._whole(text)
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 def by_words(tokenizer_file: str) -> Callable[[list[bytes]], Iterator[np.ndarray]]:
     """Encoder of UTF-8 texts; see the module's note on when words may be encoded one by one."""
     import os
@@ -160,19 +207,18 @@ def by_words(tokenizer_file: str) -> Callable[[list[bytes]], Iterator[np.ndarray
     tokenizer = Tokenizer.from_file(tokenizer_file)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    known: dict[bytes, bytes] = {}
+    known = _Words(tokenizer)
+    special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    # if case makes no difference, small letters need fewer entries
+    folds = all(known._whole(w) == known._whole(w.lower()) for w in ("The", "HE", "McX", "ÉtÉ", "A1b"))
 
     def encode(batch: list[bytes]) -> Iterator[np.ndarray]:
         for text in batch:
-            words = text.split()
-            new = list(set(words).difference(known))
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(words))
-            if new:
-                for word, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                    known[word] = np.array(e.ids, dtype="<u4").tobytes()
-            yield np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4")
+            seen = text.lower() if folds else text
+            if any(s in text or s.lower() in seen for s in special):
+                yield np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4")
+            else:
+                yield np.frombuffer(b"".join(map(known.__getitem__, seen.split())), dtype="<u4")
 
     return encode
 
