@@ -142,7 +142,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def with_aqi(grid: DataFrame) -> DataFrame:
-    rolled = rolling_mean(grid, {"pm2_5_24h": ("pm2_5", 24)})
+    rolled = rolling_mean(grid, {"pm2_5_24h": ("pm2_5", 24)}, gap_free=True)
     return rolled.withColumn("aqi", A.epa_aqi(F.col("pm2_5_24h"), "pm2_5", "ug/m3"))
 
 
@@ -192,7 +192,7 @@ def persistence(spark: SparkSession, sf_dir: str, kind: str = "city") -> DataFra
 
     src = aqi_grid(spark, sf_dir, kind).select("series_id", "ts", F.col("aqi").alias("y"))
     wide = halo_window(src, ["series_id"], lambda w: [F.lag("y", h).over(w).alias(f"persist_{h}h") for h in K.HORIZONS],
-                       before=max(K.HORIZONS))
+                       before=max(K.HORIZONS), gap_free=True)
     return wide.unpivot(["series_id", "ts", "y"], list(MODELS), "model", "yhat")
 
 
@@ -206,7 +206,7 @@ def persistence_sql(kind: str = "city") -> str:
 
 
 def targets_grid(spark: SparkSession, sf_dir: str, kind: str = "city") -> DataFrame:
-    return future_targets(aqi_grid(spark, sf_dir, kind))
+    return future_targets(aqi_grid(spark, sf_dir, kind), gap_free=True)
 
 
 def targets_sql(kind: str = "city") -> str:

@@ -22,7 +22,7 @@ def _station(spark, d, *cols):
     f"last_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS {c}" for c in COLS)}
 FROM grid""", COLS)
 def _(spark, d):
-    return C.ffill(_station(spark, d, *COLS), COLS, limit=2)
+    return C.ffill(_station(spark, d, *COLS), COLS, limit=2, gap_free=True)
 
 
 def _both_sql(src: str, cols, key="series_id", back_first=False):
@@ -34,21 +34,21 @@ def _both_sql(src: str, cols, key="series_id", back_first=False):
 
 @query("fill_both", f"WITH {ST} {_both_sql('grid', COLS)}", COLS)
 def _(spark, d):
-    return C.fill_both(_station(spark, d, *COLS), COLS)
+    return C.fill_both(_station(spark, d, *COLS), COLS, gap_free=True)
 
 
 @query("ffill_unlimited", f"""WITH {ST} SELECT series_id, ts, {', '.join(
     f"last_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in COLS)}
 FROM grid""", COLS)
 def _(spark, d):
-    return C.ffill(_station(spark, d, *COLS), COLS)
+    return C.ffill(_station(spark, d, *COLS), COLS, gap_free=True)
 
 
 @query("bfill_limit3", f"""WITH {ST} SELECT series_id, ts, {', '.join(
     f"first_value({c} IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS {c}" for c in COLS)}
 FROM grid""", COLS)
 def _(spark, d):
-    return C.bfill(_station(spark, d, *COLS), COLS, limit=3)
+    return C.bfill(_station(spark, d, *COLS), COLS, limit=3, gap_free=True)
 
 
 def _near_sql(src: str, c: str) -> str:
@@ -70,7 +70,7 @@ def _interp_sql(src: str, c: str, limit: int = 6) -> str:
 
 @query("interp_time", f"WITH {ST} {_interp_sql('grid', 'so2')}", ["so2"])
 def _(spark, d):
-    return C.interpolate_time(_station(spark, d, "so2"), ["so2"])
+    return C.interpolate_time(_station(spark, d, "so2"), ["so2"], gap_free=True)
 
 
 @query("ffill_then_interp", f"""WITH {ST}, carried AS (
@@ -78,14 +78,14 @@ def _(spark, d):
   CURRENT ROW) AS so2 FROM grid) {_interp_sql('carried', 'so2')}""", ["so2"])
 def _(spark, d):
     """The cleaning order of the pipeline: carry two rows, then interpolate six."""
-    return C.interpolate_time(C.ffill(_station(spark, d, "so2"), ["so2"], limit=2), ["so2"])
+    return C.interpolate_time(C.ffill(_station(spark, d, "so2"), ["so2"], limit=2, gap_free=True), ["so2"], gap_free=True)
 
 
 @query("interp_linear_both", f"""WITH {ST} SELECT series_id, ts, CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN nv
   WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * ((rn - pr)::DOUBLE / (nr - pr)::DOUBLE) END AS so2 FROM {_near_sql('grid', 'so2')}""",
        ["so2"])
 def _(spark, d):
-    return C.interpolate_both(_station(spark, d, "so2"), ["so2"])
+    return C.interpolate_both(_station(spark, d, "so2"), ["so2"], gap_free=True)
 
 
 @query("interp_daily_orders", f"""WITH {DAILY_SQL}, holes AS (
@@ -124,7 +124,7 @@ FROM grid g JOIN means USING (series_id) {' '.join(f'LEFT JOIN near_{c} ON near_
 
 @query("impute_knn", f"WITH {ST}, {_knn_sql()}", KNN)
 def _(spark, d):
-    return C.impute_knn(stored(_station(spark, d, *KNN)), KNN)
+    return C.impute_knn(stored(_station(spark, d, *KNN)), KNN, gap_free=True)
 
 
 @query("impute_mode", """WITH counts AS (SELECT l_returnflag || l_linestatus || l_quantity::INT AS v, count(*) AS n FROM lineitem
@@ -174,7 +174,21 @@ nulled AS (SELECT series_id, ts, {', '.join(f"CASE WHEN {c} BETWEEN lo_{c} AND h
   FROM aqi_grid JOIN bounds USING (series_id))
 {_both_sql('nulled', OUT, back_first=True)}""", OUT)
 def _(spark, d):
-    return C.outliers_to_null(stored(aqi_grid(spark, d).select("series_id", "ts", *OUT)), OUT, target="aqi")
+    return C.outliers_to_null(stored(aqi_grid(spark, d).select("series_id", "ts", *OUT)), OUT, target="aqi", gap_free=True)
+
+
+_CLICK_NULL = "CASE WHEN series_id <> 'click' THEN series_id END"
+
+
+@query("outlier_null_key", f"""WITH {aqi_grid_sql()}, keyed AS (SELECT * REPLACE ({_CLICK_NULL} AS series_id) FROM aqi_grid),
+{_bounds_sql('keyed', OUT, 0.25, 0.75, '3e0', 'aqi')},
+nulled AS (SELECT k.series_id, ts, {', '.join(f"CASE WHEN {c} BETWEEN lo_{c} AND hi_{c} THEN {c} END AS {c}" for c in OUT)}
+  FROM keyed k JOIN bounds b ON k.series_id IS NOT DISTINCT FROM b.series_id)
+{_both_sql('nulled', OUT, back_first=True)}""", OUT)
+def _(spark, d):
+    """One series has no name: null is a key like any other."""
+    named = aqi_grid(spark, d).withColumn("series_id", F.when(F.col("series_id") != "click", F.col("series_id")))
+    return C.outliers_to_null(stored(named.select("series_id", "ts", *OUT)), OUT, target="aqi")
 
 
 def _clip_sql(src, cols, lo, hi, k):

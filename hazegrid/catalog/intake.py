@@ -10,7 +10,7 @@ from hazegrid.catalog.base import (
     MODELS, aqi_grid, aqi_grid_sql, grid_sql, gridded, hourly_panel, panel_sql, persistence, persistence_sql,
     query, readings, readings_sql, table,
 )
-from hazegrid.operators.serve import union_labeled
+from hazegrid.operators.serve import labeled
 from hazegrid.session import scratch_dir
 from hazegrid.sources import hourly as H
 from hazegrid.sources import stores as S
@@ -54,6 +54,36 @@ def _(spark, d):
     return back.select("city", F.col("timestamp").alias("ts"), "aqi", "temperature")
 
 
+@query("src_csv_reordered", f"""WITH {readings_sql()}
+SELECT city, ts, aqi, temperature FROM readings""", ["aqi", "temperature"])
+def _(spark, d):
+    """Two deliveries whose files name the same columns in another order."""
+    r = readings(spark, d).select("city", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "aqi", "temperature")
+    path = f"{scratch_dir(spark)}/readings-{uuid.uuid4().hex}"
+    early = F.hour("timestamp") < 12
+    S.write_csv(r.where(early), path)
+    S.write_csv(r.where(~early).select("temperature", "aqi", "timestamp", "city"), path, mode="append")
+    back = S.read_readings_csv(spark, path, ["aqi", "temperature"])
+    return back.select("city", F.col("timestamp").alias("ts"), "aqi", "temperature")
+
+
+@query("snk_upsert_store", """
+WITH d AS (
+  SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS part, 1 AS delivery FROM orders
+  UNION ALL SELECT o_orderkey, o_totalprice + 1, CASE WHEN o_orderkey % 5 <> 0 THEN 2020 + o_orderkey % 3 END, 2 FROM orders WHERE o_orderkey % 4 = 0)
+SELECT o_orderkey, o_totalprice, part FROM d QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY delivery DESC) = 1""", ["o_totalprice"])
+def _(spark, d):
+    """A store in files: the second delivery moves keys to other partitions, some to the null one."""
+    o = table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    path = f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    first = o.select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("part"))
+    key = F.col("o_orderkey")
+    second = o.where(key % 4 == 0).select(key, (F.col("o_totalprice") + 1).alias("o_totalprice"), F.when(key % 5 != 0, (2020 + key % 3).cast("int")).alias("part"))
+    for delivery in (first, second):
+        S.upsert_parquet(spark, path, delivery, ["o_orderkey"], "part")
+    return spark.read.parquet(path).select("o_orderkey", "o_totalprice", "part")
+
+
 @query("grid_hourly", f"WITH {grid_sql('station')} SELECT series_id, ts, pm2_5 FROM grid", ["pm2_5"])
 def _(spark, d):
     return gridded(spark, d, "station").select("series_id", "ts", "pm2_5")
@@ -79,18 +109,21 @@ def _(spark, d):
     return tagged.where(H.in_lookback(F.to_date("ts"), F.col("_d"), 14)).drop("_d")
 
 
+FEEDS = ("click", "view", "error", "purchase", "signup")
+
+
+def _first_of(column: str) -> str:
+    return f"coalesce({', '.join(f"max(CASE WHEN series_id = '{s}' THEN {column} END)" for s in FEEDS)})"
+
+
 @query("src_priority_merge", f"""WITH {panel_sql()}
-SELECT ts, coalesce(max(CASE WHEN series_id = 'click' THEN so2 END), max(CASE WHEN series_id = 'view' THEN so2 END),
-    max(CASE WHEN series_id = 'error' THEN so2 END)) AS so2,
-  coalesce(max(CASE WHEN series_id = 'click' THEN pm2_5 END), max(CASE WHEN series_id = 'view' THEN pm2_5 END),
-    max(CASE WHEN series_id = 'error' THEN pm2_5 END)) AS pm2_5,
-  min(CASE series_id WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 END) AS source_rank
-FROM panel WHERE series_id IN ('click', 'view', 'error') GROUP BY ts""", ["so2", "pm2_5"])
-def _(spark, d):
-    """Three feeds in order of trust: per hour and column the first that has a value."""
+SELECT ts, {_first_of('so2')} AS so2, {_first_of('pm2_5')} AS pm2_5,
+  min(CASE series_id {' '.join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(FEEDS))} END) AS source_rank
+FROM panel GROUP BY ts""", ["so2", "pm2_5"])
+def _(spark, d):
+    """All feeds in order of trust: per hour and column the first that has a value."""
     p = hourly_panel(spark, d)
-    feeds = [p.where(F.col("series_id") == s) for s in ("click", "view", "error")]
-    return S.priority_merge(feeds, ["ts"], ["so2", "pm2_5"])
+    return S.priority_merge([p.where(F.col("series_id") == s) for s in FEEDS], ["ts"], ["so2", "pm2_5"])
 
 
 _REVISED = """, latest AS (SELECT max(ts) AS hi FROM readings),
@@ -134,10 +167,8 @@ def _(spark, d):
 @query("union_labeled", f"""WITH {readings_sql()}
 SELECT city, ts, aqi, 'City ' || city AS city_label FROM readings""", ["aqi"])
 def _(spark, d):
-    """One frame per city, stacked with its label. The cities are few by contract (frames)."""
-    r = readings(spark, d).select("city", "ts", "aqi")
-    names = ["click", "error", "purchase", "signup", "view"]
-    return union_labeled({f"City {n}": r.where(F.col("city") == n) for n in names})
+    """Every city's rows with its label, in one pass over the readings."""
+    return labeled(readings(spark, d).select("city", "ts", "aqi"), "city", "City ")
 
 
 @query("features_missing", """

@@ -28,14 +28,14 @@ SELECT series_id, ts, {roll('avg', 'pm2_5', 24)} AS pm2_5_24h, {roll('avg', 'pm1
   {roll('avg', 'humidity', 24)} AS humidity_24h FROM grid""", ["pm2_5_24h", "pm10_24h", "humidity_24h"])
 def _(spark, d):
     g = gridded(spark, d, "station").select("series_id", "ts", "pm2_5", "pm10", "humidity")
-    return W.rolling_mean(g, {f"{c}_24h": (c, 24) for c in ("pm2_5", "pm10", "humidity")}).drop("pm2_5", "pm10", "humidity")
+    return W.rolling_mean(g, {f"{c}_24h": (c, 24) for c in ("pm2_5", "pm10", "humidity")}, gap_free=True).drop("pm2_5", "pm10", "humidity")
 
 
 @query("roll_mean_8h", f"""WITH {grid_sql('station')}
 SELECT series_id, ts, {roll('avg', 'co', 8)} AS co_8h, {roll('avg', 'o3', 8)} AS o3_8h FROM grid""", ["co_8h", "o3_8h"])
 def _(spark, d):
     g = gridded(spark, d, "station").select("series_id", "ts", "co", "o3")
-    return W.rolling_mean(g, {"co_8h": ("co", 8), "o3_8h": ("o3", 8)}).drop("co", "o3")
+    return W.rolling_mean(g, {"co_8h": ("co", 8), "o3_8h": ("o3", 8)}, gap_free=True).drop("co", "o3")
 
 
 @query("roll_mean_rows_with_gaps", f"""WITH {panel_sql('station')}
@@ -62,7 +62,7 @@ SELECT series_id, ts, {', '.join(f"{roll(fn, 'aqi', n, 24, True)} AS {name}" for
 FROM aqi_grid""", names)
     def _(spark, d):
         g = aqi_grid(spark, d).select("series_id", "ts", "aqi")
-        return W.rolling_stat(g, "aqi", K.TARGET_ROLLS, 24, stat).drop("aqi")
+        return W.rolling_stat(g, "aqi", K.TARGET_ROLLS, 24, stat, gap_free=True).drop("aqi")
 
 
 _stat_query("std", "stddev_samp")
@@ -80,7 +80,7 @@ ALL_LAGGED = ("aqi", *K.POLLUTANTS, *K.WEATHER)
        [f"{c}_lag_{72 + o}h" for c in ALL_LAGGED for o in K.LAG_OFFSETS])
 def _(spark, d):
     g = aqi_grid(spark, d).select("series_id", "ts", *ALL_LAGGED)
-    return W.lag_features(g, ALL_LAGGED, 72).drop(*ALL_LAGGED)
+    return W.lag_features(g, ALL_LAGGED, 72, gap_free=True).drop(*ALL_LAGGED)
 
 
 TARGETS = [f"aqi_{h}h" for h in K.HORIZONS]
@@ -102,7 +102,7 @@ def _change_sql(lag):
 
 @query("feat_rate_change", f"WITH {aqi_grid_sql()} SELECT series_id, ts, {_change_sql(24)} FROM aqi_grid", CHANGES)
 def _(spark, d):
-    return W.rate_change(aqi_grid(spark, d).select("series_id", "ts", "aqi"), "aqi", 24).drop("aqi")
+    return W.rate_change(aqi_grid(spark, d).select("series_id", "ts", "aqi"), "aqi", 24, gap_free=True).drop("aqi")
 
 
 @query("feat_diff", f"""WITH {panel_sql('station')}
@@ -114,6 +114,23 @@ def _(spark, d):
         "temperature", "pm2_5")
 
 
+GAPS = ["pm2_5_24h", "pm2_5_lag_1h", "pm2_5_lag_25h", "next_24h"]
+
+
+@query("windows_on_gaps", f"""WITH sparse AS (
+  SELECT series_id, ts, pm2_5 FROM ({'WITH ' + panel_sql('station')} SELECT * FROM panel) WHERE hour(ts) % 5 <> 2)
+SELECT series_id, ts, {roll('avg', 'pm2_5', 24)} AS pm2_5_24h, lag(pm2_5, 1) {OVER}) AS pm2_5_lag_1h,
+  lag(pm2_5, 25) {OVER}) AS pm2_5_lag_25h, lead(pm2_5, 24) {OVER}) AS next_24h FROM sparse""", GAPS)
+def _(spark, d):
+    """Row windows with default arguments on an axis with gaps."""
+    from hazegrid.plans.blocks import halo_window
+
+    p = hourly_panel(spark, d, "station").select("series_id", "ts", "pm2_5").where(F.hour("ts") % 5 != 2)
+    rolled = W.rolling_mean(p, {"pm2_5_24h": ("pm2_5", 24)})
+    moved = halo_window(rolled, ["series_id"], lambda w: [F.lag("pm2_5", k).over(w).alias(f"pm2_5_lag_{k}h") for k in (1, 25)], before=25)
+    return W.future_targets(moved, "pm2_5", [24]).withColumnRenamed("aqi_24h", "next_24h").drop("pm2_5")
+
+
 @query("row_index", f"""WITH {panel_sql('station')}
 SELECT series_id, ts, row_number() {OVER}) - 1 AS row_idx FROM panel""")
 def _(spark, d):
@@ -122,11 +139,10 @@ def _(spark, d):
 
 @query("row_index_events", """SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_idx FROM events""")
 def _(spark, d):
-    """Position in the whole table, with no global sort."""
-    from hazegrid.plans.blocks import grid_index, row_positions
+    """Position in the whole table, sorted by ranges."""
+    from hazegrid.plans.blocks import global_positions
 
-    ev = table(spark, d, "events", "event_id", "ts")
-    return row_positions(ev, [], ["ts", "event_id"], grid_index("ts", 1), "row_idx").select("event_id", "row_idx")
+    return global_positions(table(spark, d, "events", "event_id", "ts"), ["ts", "event_id"], "row_idx").select("event_id", "row_idx")
 
 
 @query("drop_warmup", f"""WITH {panel_sql('station')}
@@ -144,7 +160,7 @@ def _(spark, d):
     from hazegrid.plans.blocks import halo_window
 
     g = aqi_grid(spark, d).select("series_id", "ts", "aqi")
-    lagged = halo_window(g, ["series_id"], lambda w: [F.lag("aqi", 48).over(w).alias("aqi_lag_48h")], before=48)
+    lagged = halo_window(g, ["series_id"], lambda w: [F.lag("aqi", 48).over(w).alias("aqi_lag_48h")], before=48, gap_free=True)
     return W.drop_warmup(lagged.drop("aqi"))
 
 
@@ -156,7 +172,7 @@ SELECT * FROM w WHERE n_steps = 72""", ["label", "first_value", "last_value", "t
 def _(spark, d):
     """72-step matrices; checked by their corner values and sums."""
     g = gridded(spark, d).select("series_id", "ts", F.coalesce("pm2_5", F.lit(0.0)).alias("a"), F.coalesce("pm10", F.lit(0.0)).alias("b"))
-    s = W.make_sequences(g, ["a", "b"], "a", 72)
+    s = W.make_sequences(g, ["a", "b"], "a", 72, gap_free=True)
     total = F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda acc, x: acc + x)
     return s.select("series_id", "ts", "label", F.size("sequence").cast("bigint").alias("n_steps"),
                     F.col("sequence")[0][0].alias("first_value"), F.col("sequence")[71][1].alias("last_value"),
@@ -192,7 +208,7 @@ def _full_query(horizon: int):
 
     @query(f"feat_full_{horizon}h", f"WITH {aqi_grid_sql()} {sql}", doubles)
     def _(spark, d):
-        return W.full_feature_table(aqi_grid(spark, d), horizon)
+        return W.full_feature_table(aqi_grid(spark, d), horizon, gap_free=True)
 
 
 for _h in K.HORIZONS:

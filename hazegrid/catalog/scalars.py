@@ -56,7 +56,7 @@ AVERAGING = {"pm2_5": 24, "pm10": 24, "co": 8, "so2": 1, "o3": 8, "no2": 1}
 
 def _sub_indices(spark, d):
     g = gridded(spark, d).withColumn("co", F.col("co") / 10)
-    rolled = rolling_mean(g, {f"_{p}": (p, n) for p, n in AVERAGING.items() if n > 1})
+    rolled = rolling_mean(g, {f"_{p}": (p, n) for p, n in AVERAGING.items() if n > 1}, gap_free=True)
     source = {p: F.col(f"_{p}") if n > 1 else F.col(p) for p, n in AVERAGING.items()}
     return rolled.select(
         "series_id", "ts", *[A.epa_aqi(c, p, K.TABLE_UNIT[p]).alias(f"aqi_{p}") for p, c in source.items()]

@@ -145,7 +145,7 @@ def _latest_points(spark, d, kind="station"):
     from hazegrid.plans.blocks import halo_window
 
     r = readings(spark, d, kind).select("city", "ts", "aqi")
-    lagged = halo_window(r, ["city"], lambda w: [F.lag("aqi", h).over(w).alias(f"p{h}") for h in K.HORIZONS], before=72)
+    lagged = halo_window(r, ["city"], lambda w: [F.lag("aqi", h).over(w).alias(f"p{h}") for h in K.HORIZONS], before=72, gap_free=True)
     return V.latest_per_city(lagged)
 
 
@@ -235,13 +235,13 @@ def _(spark, d):
     return E.top_k_features(total, 10)
 
 
-@query("hybrid_scores", f"""WITH {_SCORES}, t AS (SELECT feature, round((sum(CASE WHEN model = 'A' THEN score ELSE 0 END) / 7
+@query("hybrid_scores", f"""WITH {_SCORES}, t AS (SELECT feature, round((sum(CASE WHEN model <> 'R' THEN score ELSE 0 END) / 7
   + sum(CASE WHEN model = 'R' THEN score ELSE 0 END) / 7) / 2, 9) AS hybrid_score, count(*) AS times_chosen FROM scores
-  WHERE model IN ('A', 'R') GROUP BY 1)
+  GROUP BY 1)
 SELECT * FROM t ORDER BY hybrid_score DESC, feature LIMIT 15""", ["hybrid_score"])
 def _(spark, d):
     s = _scores(spark, d)
-    mi, rf = s.where(F.col("model") == "A"), s.where(F.col("model") == "R")
+    mi, rf = s.where(F.col("model") != "R"), s.where(F.col("model") == "R")
     return E.hybrid_scores(mi, rf, 7, 15)
 
 

@@ -77,20 +77,29 @@ def _(spark, d):
     return _run(spark, S.stream_alerts(s)).select("city", "ts", (F.col("duration_minutes") >= 20).alias("top_level"))
 
 
-@query("stream_upsert", """SELECT event_type, day, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM (
-  SELECT *, ts::DATE AS day FROM events) GROUP BY 1, 2""", ["value"])
-def _(spark, d):
-    """Latest event per (type, day), kept up to date batch by batch in a partitioned store."""
-    from hazegrid.sources.stores import pick_by_key, upsert_parquet
+_LATEST = """SELECT event_type, day, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM (
+  SELECT *, ts::DATE AS day FROM events) GROUP BY 1, 2"""
+
 
+def _upserted(spark, stream):
     base = f"{scratch_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    keys = ["event_type", "day"]
+    s = stream.select("event_id", "event_type", "ts", "value", F.to_date("ts").alias("day"))
+    S.start_upsert(s, f"{base}/store", f"{base}/state", ["event_type", "day"], "day", order=["ts", "event_id"]).awaitTermination()
+    return spark.read.parquet(f"{base}/store").select("event_type", "day", "value", "ts")
 
-    def write(batch, _id):
-        newest = pick_by_key(batch, keys, [-F.unix_micros("ts"), -F.col("event_id")])
-        upsert_parquet(batch.sparkSession, f"{base}/store", newest, keys, "day")
 
-    s = _stream(spark, d).select("event_id", "event_type", "ts", "value", F.to_date("ts").alias("day"))
-    (s.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-     .start().awaitTermination())
-    return spark.read.parquet(f"{base}/store").select("event_type", "day", "value", "ts")
+@query("stream_upsert", _LATEST, ["value"])
+def _(spark, d):
+    """Latest event per (type, day), kept up to date batch by batch in a partitioned store."""
+    return _upserted(spark, _stream(spark, d))
+
+
+@query("stream_upsert_late", _LATEST, ["value"])
+def _(spark, d):
+    """The same from four files, a batch each, that land newest first: every later batch is late."""
+    landed = f"{scratch_dir(spark)}/landed-{uuid.uuid4().hex}"
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    quarter = F.floor((F.day("ts") - 1) / 8)
+    for q in (3, 2, 1, 0):
+        ev.where(quarter == q).coalesce(1).write.mode("append").parquet(landed)
+    return _upserted(spark, S.stream_ingest(spark, landed, ev.schema, files_per_trigger=1))

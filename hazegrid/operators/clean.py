@@ -33,13 +33,13 @@ def dedup_rows(df: DataFrame, cols: Sequence[str] | None = None, by_values: bool
 
 
 def ffill(df: DataFrame, cols: Sequence[str], limit: int | None = None, keys: Sequence[str] = KEY,
-          ts: str = "ts", gap_free: bool = True) -> DataFrame:
+          ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """Carry the last value forward, at most ``limit`` rows."""
     return _carry(df, cols, limit, keys, ts, gap_free, forward=True)
 
 
 def bfill(df: DataFrame, cols: Sequence[str], limit: int | None = None, keys: Sequence[str] = KEY,
-          ts: str = "ts", gap_free: bool = True) -> DataFrame:
+          ts: str = "ts", gap_free: bool = False) -> DataFrame:
     return _carry(df, cols, limit, keys, ts, gap_free, forward=False)
 
 
@@ -59,7 +59,7 @@ def _carry(df, cols, limit, keys, ts, gap_free, forward):
 
 
 def fill_both(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEY, ts: str = "ts",
-              gap_free: bool = True, backward_first: bool = False) -> DataFrame:
+              gap_free: bool = False, backward_first: bool = False) -> DataFrame:
     """Forward then backward fill (or the reverse) in one pass."""
     near = neighbours(df, keys, cols, ts, gap_free)
     a, b = ("next", "prev") if backward_first else ("prev", "next")
@@ -70,7 +70,7 @@ def fill_both(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEY, ts:
 
 
 def interpolate_time(df: DataFrame, cols: Sequence[str], limit: int = 6, keys: Sequence[str] = KEY,
-                     ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                     ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """Time-weighted linear interpolation of the first ``limit`` nulls of each gap. A trailing
     gap repeats the last value up to the limit; a leading gap stays null."""
     near = neighbours(df, keys, cols, ts, gap_free)
@@ -90,7 +90,7 @@ def interpolate_time(df: DataFrame, cols: Sequence[str], limit: int = 6, keys: S
 
 
 def interpolate_both(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEY, ts: str = "ts",
-                     gap_free: bool = True) -> DataFrame:
+                     gap_free: bool = False) -> DataFrame:
     """Linear in row number, no limit, edges repeat the nearest value."""
     near = neighbours(df, keys, cols, ts, gap_free)
 
@@ -111,7 +111,7 @@ def interpolate_both(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = K
 
 
 def impute_knn(df: DataFrame, cols: Sequence[str], k: int = 5, keys: Sequence[str] = KEY, ts: str = "ts",
-               gap_free: bool = True, chunk: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               gap_free: bool = False, chunk: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Mean of the ``k`` nearest rows of the same series that have the missing column.
 
     Distance: Euclidean over the columns both rows have, scaled by sqrt(all / shared); the
@@ -238,7 +238,7 @@ def fences(df: DataFrame, cols: Sequence[str], low: float, high: float, k: float
 
 
 def outliers_to_null(df: DataFrame, cols: Sequence[str], target: str | None = None, k: float = 3.0,
-                     keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                     keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """Values outside the 3-range fences become null, then backward and forward fill. Fences
     start at the quartiles, for the target at the 5th and 95th percentile."""
     q = exact_quantiles(df, keys, cols, [0.05, 0.25, 0.75, 0.95])

@@ -31,13 +31,13 @@ from hazegrid.session import checkpointed
 
 KEY = ("series_id",)
 
-# Tuned settings per model. ``rounds`` etc. can be scaled down for quick runs.
+# Tuned settings per model. A depth of 30 is the most that Spark ML grows.
 PRESETS = {
     "linear": dict(kind="linear"),
     "decision_tree": dict(kind="tree", maxDepth=15, minInstancesPerNode=5),
     "random_forest": dict(kind="forest", numTrees=200, maxDepth=15, minInstancesPerNode=2),
     "forest_baseline": dict(kind="forest", numTrees=50, maxDepth=5),
-    "forest_importance": dict(kind="forest", numTrees=100, maxDepth=8),
+    "forest_importance": dict(kind="forest", numTrees=100, maxDepth=30),
     "forest_nobootstrap": dict(kind="forest", numTrees=251, maxDepth=9, minInstancesPerNode=20, bootstrap=False,
                                featureSubsetStrategy="0.6449383229836702"),
     "gradient_boosting": dict(kind="gbt", maxIter=115, maxDepth=3, stepSize=0.1436659003499937, minInstancesPerNode=2),
@@ -82,19 +82,11 @@ def needs_validation(name: str, presets: Mapping | None = None) -> bool:
     return bool((presets or PRESETS)[name].get("early"))
 
 
-ROWS_PER_PARTITION = 20_000
-
-
 def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets: Mapping | None = None) -> PipelineModel:
-    """Fit on rows with a label; early-stopped models read ``is_validation``.
-
-    Tree statistics cost the same per partition however few rows it has, so a small training set
-    is packed into few partitions; a large one keeps its own.
-    """
+    """Fit on rows with a label; early-stopped models read ``is_validation``."""
     extra = [F.col("is_validation")] if "is_validation" in df.columns else []
     rows = as_double(df.select(*features, label, *extra), [*features, label]).where(F.col(label).isNotNull())
-    packed = rows.coalesce(max(1, -(-rows.count() // ROWS_PER_PARTITION)))
-    return estimator(name, features, label, presets).fit(packed)
+    return estimator(name, features, label, presets).fit(rows)
 
 
 def importances(model: PipelineModel, features: Sequence[str], name: str, spark: SparkSession) -> DataFrame:
@@ -225,7 +217,7 @@ def predict_batch(df: DataFrame, models: Mapping[str, PipelineModel], features:
         raise ValueError("no required features found in new data")
     whole = df.select(*keys, ts, *[F.col(f).cast("double").alias(f) if f in have else F.lit(None).cast("double").alias(f)
                                    for f in features])
-    base = checkpointed(fill_both(whole, have, keys, ts) if fill else whole)
+    base = checkpointed(ffill(whole, have, None, keys, ts) if fill else whole)  # as in training
     parts = [
         m.transform(base).select(F.lit(name).alias("model"), *keys, ts, "yhat") for name, m in models.items()
     ]

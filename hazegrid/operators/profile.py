@@ -13,7 +13,6 @@ from hazegrid.plans.attach import attach
 from hazegrid.plans.quantiles import exact_quantiles
 from hazegrid.session import checkpointed
 
-FEW_COLUMNS = 12  # up to here all pairs fit one generated aggregation
 
 
 def pearson(x: str, y: str) -> Column:
@@ -115,58 +114,49 @@ def drop_low_variance(df: DataFrame, cols: Sequence[str], threshold: float = 1e-
 
 def corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Absolute pairwise-complete Pearson correlation of every column pair, ``i`` < ``j`` being
-    the column positions."""
-    return (_corr_few if len(cols) <= FEW_COLUMNS else _corr_many)(df, list(cols))
+    the column positions; NaN counts as missing, and null stands where either side is constant.
 
-
-def _corr_few(df, cols):
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    wide = df.agg(*[pearson(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    entry = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("feature_a"),
-                 F.lit(cols[j]).alias("feature_b"), F.abs(F.col(f"r_{i}_{j}")).alias("abs_corr"))
-        for i, j in pairs
-    ]
-    return wide.select(F.explode(F.array(*entry)).alias("r")).select("r.*")
-
-
-def _corr_many(df, cols):
-    """Each task folds its rows into pair sums (columns squared in size, whatever its rows);
+    Each task folds its rows into pair sums (columns squared in size, whatever its rows);
     the sums are added up. Values are shifted by the column means first, for precision."""
+    cols = list(cols)
     n = len(cols)
-    centre = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    centre = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in cols]).first()
     shift = np.array([centre[c] if centre[c] is not None else 0.0 for c in cols], dtype=float)
     a, b = np.triu_indices(n, 1)
+    added = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
     def fold(batches):
         import pandas as pd
 
-        sums = np.zeros((6, n, n))
+        sums, low, high = np.zeros((6, n, n)), np.full((n, n), np.inf), np.full((n, n), -np.inf)
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float) - shift
             ok = ~np.isnan(x)
+            for k in range(n):  # least and greatest value of every column where column k has one
+                both = ok & ok[:, [k]]
+                low[:, k] = np.minimum(low[:, k], np.where(both, x, np.inf).min(axis=0, initial=np.inf))
+                high[:, k] = np.maximum(high[:, k], np.where(both, x, -np.inf).max(axis=0, initial=-np.inf))
             x = np.where(ok, x, 0.0)
             m, sq = ok.astype(float), x * x
             cross = x.T @ m
             square = sq.T @ m
             sums += np.stack([m.T @ m, cross, cross.T, square, square.T, x.T @ x])
-        picked = sums[:, a, b]
+        picked = np.concatenate([sums[:, a, b], [low[a, b], high[a, b], low.T[a, b], high.T[a, b]]])
         yield pd.DataFrame({"i": a.astype("int32"), "j": b.astype("int32"),
-                            **{name: picked[k] for k, name in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}})
+                            **{name: picked[k] for k, name in enumerate((*added, "lx", "hx", "ly", "hy"))}})
 
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in (*added, "lx", "hx", "ly", "hy"))
     slim = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     total = slim.mapInPandas(fold, schema).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+        *[F.sum(c).alias(c) for c in added], *[F.min(c).alias(c) for c in ("lx", "ly")], *[F.max(c).alias(c) for c in ("hx", "hy")]
     )
     vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
     vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
-    r = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n")), F.sqrt(vx * vy))
-    tiny = 1e-12
+    r = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n")), F.sqrt(vx) * F.sqrt(vy))
     names = F.array(*[F.lit(c) for c in cols])
     return total.select(
         "i", "j", names[F.col("i")].alias("feature_a"), names[F.col("j")].alias("feature_b"),
-        F.when((F.col("n") > 1) & (vx > tiny * F.col("n")) & (vy > tiny * F.col("n")), F.abs(r)).alias("abs_corr"),
+        F.when((F.col("lx") < F.col("hx")) & (F.col("ly") < F.col("hy")), F.abs(r)).alias("abs_corr"),
     )
 
 

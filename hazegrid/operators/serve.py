@@ -13,7 +13,7 @@ from hazegrid.functions.timefeat import format_minutes
 from hazegrid.operators.clean import fill_both
 from hazegrid.operators.windows import diff1
 from hazegrid.plans.attach import attach
-from hazegrid.plans.blocks import row_positions
+from hazegrid.plans.blocks import global_positions
 from hazegrid.sources.stores import require_columns
 
 
@@ -134,11 +134,9 @@ def quick_stats(df: DataFrame, city: str = "city", ts: str = "ts") -> DataFrame:
 
 
 def rank_cities(current: DataFrame, value: str = "current_aqi", city: str = "city") -> DataFrame:
-    """Cities from cleanest to worst with medal and title of the first three. Positions are
-    counted per whole index value, so no single task sorts all cities."""
-    ranked = row_positions(
-        current, [], [F.col(value).asc_nulls_last(), F.col(city)], F.coalesce(F.floor(value), F.lit(2**40)), "_p"
-    ).withColumn("rank", (F.col("_p") + 1).cast("int")).drop("_p")
+    """Cities from cleanest to worst with medal and title of the first three. The table is sorted by
+    ranges, so no single task sees all cities."""
+    ranked = global_positions(current, [F.col(value).asc_nulls_last(), F.col(city)], "_p").withColumn("rank", (F.col("_p") + 1).cast("int")).drop("_p")
     medal, title = F.lit(None).cast("string"), F.lit(None).cast("string")
     for place, m, t in K.RANK_MEDALS:
         medal, title = F.when(F.col("rank") == place, m).otherwise(medal), F.when(F.col("rank") == place, t).otherwise(title)
@@ -220,6 +218,11 @@ def union_labeled(frames: Mapping[str, DataFrame], label: str = "city_label") ->
     return out
 
 
+def labeled(df: DataFrame, by: str, prefix: str = "", label: str = "city_label") -> DataFrame:
+    """What ``union_labeled`` gives for one frame per value of ``by``, without splitting the table."""
+    return df.withColumn(label, F.concat(F.lit(prefix), F.col(by)))
+
+
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """``n`` pseudo-random rows, the same for the same seed."""
     return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)

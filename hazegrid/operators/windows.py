@@ -26,7 +26,7 @@ def rolling(w, fn, col: Column, n: int, lag: int = 0, min_periods: int | None =
 
 
 def rolling_mean(df: DataFrame, windows: Mapping[str, tuple[str, int]], min_periods: int = 1,
-                 keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                 keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """``windows``: output name -> (column, rows)."""
     reach = max(n for _, n in windows.values()) - 1
     return halo_window(
@@ -55,7 +55,7 @@ def rolling_mean_by_time(df: DataFrame, col: str, hours: int, out: str, keys: Se
 
 
 def rolling_stat(df: DataFrame, col: str, sizes: Sequence[int], lag: int, stat: str,
-                 keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                 keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """Lagged rolling sample std or max; null when any value of the frame is missing."""
     fn = {"std": F.stddev_samp, "max": F.max}[stat]
     return halo_window(
@@ -72,7 +72,7 @@ def lag_columns(w, cols: Sequence[str], min_lag: int) -> list[Column]:
 
 
 def lag_features(df: DataFrame, cols: Sequence[str], min_lag: int = 72, keys: Sequence[str] = KEY,
-                 ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                 ts: str = "ts", gap_free: bool = False) -> DataFrame:
     return halo_window(df, keys, lambda w: lag_columns(w, cols, min_lag), before=min_lag + max(K.LAG_OFFSETS),
                        ts=ts, gap_free=gap_free)
 
@@ -82,7 +82,7 @@ def target_columns(w, target: str, horizons: Sequence[int], prefix: str = "aqi")
 
 
 def future_targets(df: DataFrame, target: str = "aqi", horizons: Sequence[int] = K.HORIZONS,
-                   keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                   keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     return halo_window(df, keys, lambda w: target_columns(w, target, horizons), after=max(horizons),
                        ts=ts, gap_free=gap_free)
 
@@ -95,13 +95,13 @@ def change_columns(w, target: str, lag: int, spans: Sequence[int]) -> list[Colum
 
 
 def rate_change(df: DataFrame, target: str, lag: int, spans: Sequence[int] = K.RATE_CHANGES,
-                keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     return halo_window(df, keys, lambda w: change_columns(w, target, lag, spans), before=lag + max(spans),
                        ts=ts, gap_free=gap_free)
 
 
 def diff1(df: DataFrame, cols: Mapping[str, str], keys: Sequence[str] = KEY, ts: str = "ts",
-          gap_free: bool = True) -> DataFrame:
+          gap_free: bool = False) -> DataFrame:
     """``cols``: output name -> column; difference to the row before."""
     return halo_window(df, keys, lambda w: [(F.col(c) - F.lag(c).over(w)).alias(out) for out, c in cols.items()],
                        before=1, ts=ts, gap_free=gap_free)
@@ -124,7 +124,7 @@ def drop_warmup(df: DataFrame, n: int | None = None, keys: Sequence[str] = KEY,
 
 
 def make_sequences(df: DataFrame, features: Sequence[str], label: str, steps: int = 72,
-                   keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                   keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """The ``steps`` feature rows before each row as a matrix, the row's own label beside it.
     Rows without a full history are left out."""
     vec = F.array(*[F.col(c).cast("double") for c in features])
@@ -134,7 +134,7 @@ def make_sequences(df: DataFrame, features: Sequence[str], label: str, steps: in
 
 
 def full_feature_table(df: DataFrame, horizon: int, target: str = "aqi", keys: Sequence[str] = KEY,
-                       ts: str = "ts", gap_free: bool = True) -> DataFrame:
+                       ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """All generated features of one horizon: targets, calendar, lags, rolling statistics,
     changes and interactions. All window features share one Window node and one exchange."""
     have = df.columns

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,21 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SPREAD = 64
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, null being equal to null; the key columns are the left ones."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a stored table: every value written out as text, and some overhead each."""
+    sizes = [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)) + 16 for f in df.schema.fields]
+    return df.agg(F.sum(reduce(lambda a, b: a + b, sizes))).first()[0] or 0
+
+
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Left-join ``small`` (unique on ``keys``) to ``df``.
+    """Left-join ``small`` (unique on ``keys``) to ``df``; null keys meet null keys.
 
     Without keys ``small`` is one row; its values become literals of the plan. With keys it is
     computed once into the checkpoint folder and measured: up to 64 MB it is broadcast and the
@@ -27,12 +41,11 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
         values = [_literal(row[f.name], f.dataType).alias(f.name) for f in small.schema.fields]
         return df.select("*", *values)
     small = checkpointed(small)
-    width = sum(_width(f.dataType.simpleString()) for f in small.schema.fields)
-    if small.count() * width <= BROADCAST_BYTES:
-        return df.join(F.broadcast(small), list(keys), how)
+    if measured_bytes(small) <= BROADCAST_BYTES:
+        return join_null_safe(df, F.broadcast(small), keys, how)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return join_null_safe(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def _literal(value, kind: T.DataType) -> Column:
@@ -44,7 +57,3 @@ def _literal(value, kind: T.DataType) -> Column:
         return F.array(*[_literal(v, kind.elementType) for v in value]).cast(kind)
     return F.lit(value).cast(kind)
 
-
-def _width(type_name: str) -> int:
-    """Generous bytes per value: nested and text columns count far more than numbers."""
-    return 1024 if any(t in type_name for t in ("array", "map", "struct", "string")) else 16

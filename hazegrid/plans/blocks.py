@@ -18,6 +18,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazegrid.plans.attach import join_null_safe
+from hazegrid.session import checkpointed
+
 HOUR = 3600
 BLOCK = "_block"
 POS = "_pos"
@@ -68,6 +71,26 @@ def row_positions(
     )
 
 
+def global_positions(df: DataFrame, order: Sequence[str | Column], out: str = POS) -> DataFrame:
+    """Add the 0-based row number over the whole table in ``order``, without one task that sees all.
+
+    The rows are range-partitioned and stored with the number of their part; the parts are counted,
+    and the counts, one number per part, shift the numbers inside the parts.
+    """
+    part = "_part"
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(df.repartitionByRange(tasks, *order).withColumn(part, F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part).count().collect())
+    before, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(offsets, "_at_part int, _offset long")
+    inside = Window.partitionBy(part).orderBy(*order)
+    placed = ranged.withColumn(out, F.row_number().over(inside)).join(F.broadcast(starts), F.col(part) == F.col("_at_part"))
+    return placed.withColumn(out, (F.col(out) - 1 + F.col("_offset")).cast("bigint")).drop(part, "_at_part", "_offset")
+
+
 def dense_axis(df: DataFrame, keys: Sequence[str], ts: str, gap_free: bool, step_seconds: int = HOUR) -> DataFrame:
     """Add ``_pos``: the step number on a gap-free axis, else the counted row number."""
     if gap_free:
@@ -84,7 +107,7 @@ def halo_window(
     before: int = 0,
     after: int = 0,
     ts: str = "ts",
-    gap_free: bool = True,
+    gap_free: bool = False,
     step_seconds: int = HOUR,
 ) -> DataFrame:
     """Append window expressions whose frames reach at most ``before`` / ``after`` rows.
@@ -115,7 +138,7 @@ def neighbours(
     keys: Sequence[str],
     cols: Sequence[str],
     ts: str = "ts",
-    gap_free: bool = True,
+    gap_free: bool = False,
     step_seconds: int = HOUR,
     block_rows: int | None = None,
 ) -> DataFrame:
@@ -172,7 +195,7 @@ def neighbours(
     # Going backwards keeps the "next" frame growing too, which Spark evaluates in one pass.
     from_here = Window.partitionBy(*keys, BLOCK).orderBy(F.col(POS).desc()).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.join(carried, [*keys, BLOCK], "left")
+        join_null_safe(placed, carried, [*keys, BLOCK])
         .select(
             *names,
             POS,

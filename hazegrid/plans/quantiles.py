@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazegrid.plans.attach import attach
+from hazegrid.plans.attach import attach, join_null_safe
 from hazegrid.plans.blocks import BLOCK
 
 ACCURACY = 10_000
@@ -72,7 +72,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pro
     before = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(*group, BLOCK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*group, BLOCK).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(offsets, [*group, BLOCK]).withColumn("_cum", F.col("_off") + F.sum("n").over(inside))
+    ranked = join_null_safe(counts, offsets, [*group, BLOCK], "inner").withColumn("_cum", F.col("_off") + F.sum("n").over(inside))
     lo_rank, hi_rank = F.floor("rank"), F.ceil("rank")
     found = ranked.groupBy(*group).agg(
         F.min(F.when(F.col("_cum") > lo_rank, F.col("v"))).alias("a"),

@@ -44,5 +44,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def _set_checkpoint_dir(spark: SparkSession) -> None:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hazegrid-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="hazegrid-ckpt-")  # one machine, as in tests
     spark.sparkContext.setCheckpointDir(folder)

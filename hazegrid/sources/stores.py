@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.plans.blocks import row_positions
+from hazegrid.plans.blocks import global_positions
 
 # Text layouts accepted for the reading timestamps.
 TIMESTAMP_LAYOUTS = (
@@ -48,8 +48,7 @@ def read_readings_csv(
 ) -> DataFrame:
     """CSV readings with a header; bad numbers and timestamps become null, no row is lost."""
     header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = _by_header(spark, path, header)
     typed = [parse_mixed_timestamp(F.trim("timestamp")).alias("timestamp")]
     for c in header:
         if c in numeric:
@@ -59,6 +58,18 @@ def read_readings_csv(
     return nan_to_null(raw.select(*typed))
 
 
+def _by_header(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """CSV files that hold the same columns in any order: each file is read by its own header line."""
+    columns = [f"_c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    lines = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
+    lines = lines.select(F.array(*columns).alias("_v"), F.col("_metadata.file_path").alias("_f"))
+    is_header = F.array_sort(F.transform("_v", lambda x: F.coalesce(x, F.lit("")))) == F.array(*[F.lit(c) for c in sorted(names)])
+    headers = lines.where(is_header).select(F.col("_f").alias("_hf"), F.col("_v").alias("_h")).distinct()
+    rows = lines.where(~is_header).join(headers, F.col("_f") == F.col("_hf"))
+    return rows.select(*[F.get("_v", (F.array_position("_h", c) - 1).cast("int")).alias(c) for c in names])
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -100,23 +111,54 @@ def upsert_store(existing: DataFrame, new: DataFrame, keys: Sequence[str], keep:
     return union_pick([existing, new], keys, keep)
 
 
+def pick_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key: the one that is greatest in ``order``; the full row breaks ties."""
+    rest = [c for c in df.columns if c not in keys]
+    best = F.max(F.struct(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(order)], *[F.col(c) for c in rest]))
+    return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col(f"_b.{c}") for c in rest]).select(*df.columns)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def upsert_parquet(
-    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str, keep: str = "last"
+    spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], partition: str, keep: str = "last",
+    order: Sequence[str] = (),
 ) -> None:
-    """Upsert into a partitioned parquet store: only the partitions that ``new`` touches are
-    read and rewritten."""
-    touched = [r[0] for r in new.select(partition).distinct().collect()]
-    try:
-        old = spark.read.parquet(path).where(F.col(partition).isin(touched))
-    except Exception as e:  # first write: no store yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        write_parquet(pick_by_key(new, keys, [F.lit(0)]), path, [partition])
-        return
+    """Upsert into a partitioned parquet store: only the partitions that ``new`` touches, and those
+    that hold older rows of its keys, are read and rewritten. Null is a partition like any other.
+
+    With ``order`` the row that is greatest in it stays, wherever it comes from, so deliveries may
+    arrive late; otherwise ``keep`` decides between stored and delivered rows.
+    """
+    from hazegrid.plans.attach import join_null_safe
     from hazegrid.session import checkpointed
 
-    merged = checkpointed(upsert_store(old.select(*new.columns), new, keys, keep))
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    pick = (lambda rows: pick_latest(rows, keys, order)) if order else (lambda rows: pick_by_key(rows, keys, [F.lit(0)]))
+    fs, root = _file_system(spark, path)
+    if not fs.exists(root):  # first write
+        write_parquet(pick(new), path, [partition])
+        return
+    stored = spark.read.parquet(path)
+    stored = stored.select(*[F.col(c).cast(new.schema[c].dataType).alias(c) for c in new.columns])
+    touched = new.select(partition)
+    if partition not in keys:  # a key may have moved from another partition
+        touched = touched.union(join_null_safe(stored.select(*keys, partition), new.select(*keys).distinct(), keys, "left_semi").select(partition))
+    touched = checkpointed(touched.distinct())
+    # two joins rather than a null-safe one, so that Spark can prune the store's partitions
+    old = stored.join(touched, partition, "left_semi")
+    if not touched.where(F.col(partition).isNull()).isEmpty():
+        old = old.unionByName(stored.where(F.col(partition).isNull()))
+    both = old.unionByName(new) if order else None
+    merged = checkpointed(pick(both) if order else upsert_store(old, new, keys, keep))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    left = touched.join(merged.select(F.col(partition).alias("_p")).distinct(), F.col(partition).eqNullSafe(F.col("_p")), "left_anti")
+    for row in left.collect():  # partitions whose last row has moved away
+        value = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else str(row[0])
+        escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, f"{partition}={escaped}"), True)
 
 
 def snapshot_tail(
@@ -244,5 +286,4 @@ def encode_label(df: DataFrame, col: str, out: str) -> DataFrame:
 
     text = F.coalesce(F.col(col).cast("string"), F.lit("None"))
     tagged = df.withColumn("_label", text)
-    labels = row_positions(tagged.select("_label").distinct(), [], ["_label"], F.substring("_label", 1, 2), out)
-    return attach(tagged, labels, ["_label"]).drop("_label")
+    return attach(tagged, global_positions(tagged.select("_label").distinct(), ["_label"], out), ["_label"]).drop("_label")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hazegrid.sources.stores import pick_by_key, upsert_parquet
+from hazegrid.sources.stores import pick_by_key, pick_latest, upsert_parquet
 from hazegrid.streaming.alerts import hazard_alerts
 
 
@@ -56,19 +56,22 @@ def stream_alerts(df: DataFrame, place: str = "city", ts: str = "ts", aqi: str =
     return hazard_alerts(df, place, ts, aqi)
 
 
-def upsert_each_batch(path: str, keys: Sequence[str], partition: str, keep: str = "last") -> Callable:
+def upsert_each_batch(path: str, keys: Sequence[str], partition: str, keep: str = "last", order: Sequence[str] = ()) -> Callable:
     """``foreachBatch`` sink that upserts into a partitioned store. Writing the same batch twice
-    gives the same store, so a restart after a lost executor is safe."""
+    gives the same store, so a restart after a lost executor is safe. With ``order`` (the event time,
+    say) a row that arrives late never replaces a newer one, in its batch or in the store."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_parquet(batch.sparkSession, path, pick_by_key(batch, keys, [F.lit(0)]), keys, partition, keep)
+        one = pick_latest(batch, keys, order) if order else pick_by_key(batch, keys, [F.lit(0)])
+        upsert_parquet(batch.sparkSession, path, one, keys, partition, keep, order)
 
     return write
 
 
-def start_upsert(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str, keep: str = "last"):
+def start_upsert(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str, keep: str = "last",
+                 order: Sequence[str] = ()):
     return (
-        df.writeStream.foreachBatch(upsert_each_batch(path, keys, partition, keep))
+        df.writeStream.foreachBatch(upsert_each_batch(path, keys, partition, keep, order))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

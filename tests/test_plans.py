@@ -190,14 +190,30 @@ def test_gram_equals_corr(spark):
     df = spark.createDataFrame(pd.DataFrame(m, columns=names)).select(
         *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names], F.lit(1.0).alias("flat"))
     want = pd.DataFrame(m, columns=names).corr().abs()
-    for fn in (P._corr_few, P._corr_many):
-        got = {(g.feature_a, g.feature_b): g.abs_corr for g in fn(df, [*names, "flat"]).collect()}
-        assert len(got) == 10
-        for (a, b), v in got.items():
-            if b == "flat":
-                assert v is None or v != v
-            else:
-                assert v == pytest.approx(want.loc[a, b], abs=1e-9)
+    got = {(g.feature_a, g.feature_b): g.abs_corr for g in P.corr_pairs(df, [*names, "flat"]).collect()}
+    assert len(got) == 10
+    for (a, b), v in got.items():
+        if b == "flat":
+            assert v is None
+        else:
+            assert v == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_corr_does_not_depend_on_width_or_scale(spark):
+    """Tiny values, NaN cells and further columns leave a pair's correlation as it is."""
+    from hazegrid.operators import profile as P
+
+    r = np.random.default_rng(2)
+    m = r.normal(0, 1, (300, 20))
+    m[:, 1] = m[:, 0] + r.normal(0, 0.5, 300)
+    m[:, :3] *= 1e-7
+    m[r.random((300, 20)) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(20)]
+    df = spark.createDataFrame(pd.DataFrame(m, columns=names))
+    want = pd.DataFrame(m, columns=names).corr().abs()
+    for width in (3, 20):
+        for g in P.corr_pairs(df, names[:width]).collect():
+            assert g.abs_corr == pytest.approx(want.loc[g.feature_a, g.feature_b], abs=1e-9)
 
 
 def exchanges(df):
@@ -207,7 +223,7 @@ def exchanges(df):
 
 def test_full_table_is_one_window_and_one_exchange(spark, hourly):
     df = hourly(a=[1.0] * 10).select("series_id", "ts", F.col("x").alias("aqi"), *[F.col("x").alias(c) for c in ("pm2_5", "pm10", "co")])
-    n_exchange, n_window, single = exchanges(W.full_feature_table(df, 24))
+    n_exchange, n_window, single = exchanges(W.full_feature_table(df, 24, gap_free=True))
     assert (n_exchange, n_window, single) == (1, 1, False)
 
 
