@@ -235,3 +235,32 @@ def _(spark, d):
     return C.iqr_anomalies(li, "l_extendedprice", k=0.25, keys=[])
 
 
+
+
+@query("narrow_columns", """SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber, l_extendedprice::FLOAT::DOUBLE AS l_extendedprice
+FROM lineitem""", ["l_extendedprice"])
+def _(spark, d):
+    """Whole numbers as int and doubles as float, widened again only to be compared."""
+    narrow = C.narrow_types(table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice"))
+    if dict(narrow.dtypes)["l_orderkey"] != "int" or dict(narrow.dtypes)["l_extendedprice"] != "float":
+        raise TypeError(f"not narrowed: {narrow.dtypes}")
+    return narrow.select(F.col("l_orderkey").cast("bigint"), "l_linenumber", F.col("l_extendedprice").cast("double"))
+
+
+_WHOLE = ("pm2_5", "pm10", "co")
+
+
+@query("drop_incomplete_rows", f"""WITH {ST} SELECT series_id, ts, {', '.join(_WHOLE)} FROM grid
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _WHOLE)}""", _WHOLE)
+def _(spark, d):
+    return C.drop_unfillable(_station(spark, d, *_WHOLE), rows=True)
+
+
+@query("preprocess_report", f"""WITH {ST}, kept AS (SELECT pm2_5, pm10 FROM grid WHERE pm2_5 IS NOT NULL),
+counts AS (SELECT pm2_5, pm10, count(*) AS n FROM kept GROUP BY ALL)
+SELECT (SELECT count(*) FROM grid) AS rows_before, 5 AS columns_before, sum(n)::BIGINT AS rows_after, 2 AS columns_after, 1 AS removed_gaps,
+  sum(CASE WHEN pm10 IS NULL THEN n ELSE 0 END)::BIGINT AS missing_values, sum(n - 1)::BIGINT AS duplicate_rows FROM counts""")
+def _(spark, d):
+    """Shapes, gaps and repeated values before and after a cleaning step."""
+    before = stored(_station(spark, d, *_WHOLE))
+    return C.preprocessing_report(before, before.where(F.col("pm2_5").isNotNull()).select("pm2_5", "pm10"), {"gaps": ["co"]})

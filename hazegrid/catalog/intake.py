@@ -249,3 +249,12 @@ def _(spark, d):
     return H.join_sources(weather, air)
 
 
+
+
+@query("schema_aligned", f"WITH {panel_sql()} SELECT series_id, ts, pm2_5, so2 FROM panel", ["pm2_5", "so2"])
+def _(spark, d):
+    """Columns under other spellings, brought to the names and the columns a store knows."""
+    p = hourly_panel(spark, d).select(F.col("series_id").alias("Series.ID"), F.col("ts").alias("TS"), F.col("pm2_5").alias("PM2.5"), F.col("so2").alias("SO2"), "humidity")
+    named = S.normalize_columns(p, {"series_id": "series_id", "pm2_5": "pm2_5"})
+    S.require_columns(named, ["series_id", "ts"])
+    return S.align_schema(named, ["series_id", "ts", "pm2_5", "so2"])[0]

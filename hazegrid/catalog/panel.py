@@ -268,3 +268,12 @@ def _(spark, d):
 SELECT series_id, ts, row_idx, CASE WHEN row_idx < floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM idx""")
 def _(spark, d):
     return FO.chrono_split(hourly_panel(spark, d, "station").select("series_id", "ts"))
+
+
+@query("split_targets", f"WITH {targets_sql()} SELECT series_id, ts, {', '.join(TARGETS)} FROM targets", TARGETS)
+def _(spark, d):
+    """The targets' side of the split; the features' side never holds a target."""
+    x, y = W.split_xy(targets_grid(spark, d))
+    if any("aqi_" in c for c in x.columns):
+        raise ValueError(f"targets among the features: {x.columns}")
+    return y
