@@ -103,3 +103,35 @@ def _(spark, d):
     for q in (3, 2, 1, 0):
         ev.where(quarter == q).coalesce(1).write.mode("append").parquet(landed)
     return _upserted(spark, S.stream_ingest(spark, landed, ev.schema, files_per_trigger=1))
+
+
+_POLLS = "polls AS (SELECT event_type AS city, ts, CASE WHEN event_id % 7 <> 0 THEN value END AS aqi FROM events)"
+
+
+def _polled(spark, d):
+    """Four files, a batch each, that land newest first; every seventh poll brings no value."""
+    base = f"{scratch_dir(spark)}/poll-{uuid.uuid4().hex}"
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    for q in (3, 2, 1, 0):
+        ev.where(F.floor((F.day("ts") - 1) / 8) == q).coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    s = S.stream_ingest(spark, f"{base}/landed", ev.schema, files_per_trigger=1)
+    polls = s.select(F.col("event_type").alias("city"), "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("aqi"))
+    S.start_polling(polls, f"{base}/out", f"{base}/state").awaitTermination()
+    return f"{base}/out"
+
+
+@query("stream_poll", f"""WITH {_POLLS}
+SELECT city, max(ts) AS checked_ts, arg_max_null(aqi, ts) AS aqi_value, coalesce(arg_max_null(aqi, ts) >= 150, false) AS is_hazardous,
+  arg_max_null(aqi, ts) IS NULL AS data_unavailable FROM polls GROUP BY city""", ["aqi_value"])
+def _(spark, d):
+    """The last check of every place after all batches."""
+    return spark.read.parquet(f"{_polled(spark, d)}/checks").drop("part")
+
+
+@query("stream_poll_alerts", f"""WITH {_POLLS}
+SELECT city, ts, CASE WHEN aqi IS NULL THEN 'Data Unavailable' ELSE 'hazard' END AS kind FROM polls WHERE aqi IS NULL OR aqi >= 150""")
+def _(spark, d):
+    """Every alert of the poll: hazards, and polls without a value."""
+    alerts = spark.read.parquet(f"{_polled(spark, d)}/alerts")
+    return alerts.select("city", "ts", F.when(F.col("type") == "warning", F.when(~F.col("is_hazardous"), F.col("title"))).alias("t"), "is_hazardous").select(
+        "city", "ts", F.coalesce("t", F.lit("hazard")).alias("kind"))

@@ -153,6 +153,9 @@ DEFAULT_BY_NAME = [
 ]
 DEFAULT_OTHER = 0.0
 
+# Type, title, message and minutes of the alert for a poll without a value.
+UNAVAILABLE_ALERT = ("warning", "Data Unavailable", "Unable to fetch current AQI data. Please check your connection.", 5)
+
 # --- Fixed values: feature engineering -----------------------------------------------
 POLLUTANTS = ("pm2_5", "pm10", "co", "no2", "so2", "o3")
 WEATHER = ("temperature", "humidity", "wind_speed", "wind_direction")

@@ -33,6 +33,22 @@ def hazard_alerts(df: DataFrame, place: str = "city", ts: str = "ts", aqi: str =
     )
 
 
+def unavailable_alerts(df: DataFrame, place: str = "city", ts: str = "ts", aqi: str = "aqi") -> DataFrame:
+    """One warning per poll that brought no value; stateless like ``hazard_alerts``."""
+    kind, title, message, minutes = K.UNAVAILABLE_ALERT
+    return df.where(F.col(aqi).isNull()).select(
+        F.concat_ws("@", F.col(place), F.date_format(ts, "yyyyMMddHHmmss")).alias("id"),
+        F.col(place),
+        F.col(ts).alias("ts"),
+        F.lit(kind).alias("type"),
+        F.lit(title).alias("title"),
+        F.lit(message).alias("message"),
+        F.lit(minutes).alias("duration_minutes"),
+        F.lit(False).alias("dismissed"),
+        F.lit(False).alias("is_hazardous"),
+    )
+
+
 def active_alerts(alerts: DataFrame, as_of: Column, dismissals: DataFrame | None = None) -> DataFrame:
     """Alerts shown at ``as_of``: raised, not expired, not dismissed."""
     live = alerts.where(

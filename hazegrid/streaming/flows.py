@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hazegrid.sources.stores import pick_by_key, pick_latest, upsert_parquet
-from hazegrid.streaming.alerts import hazard_alerts
+from hazegrid.streaming.alerts import hazard_alerts, last_check, unavailable_alerts
 
 
 def stream_ingest(spark: SparkSession, path: str, schema: StructType | str, ts: str = "ts",
@@ -78,6 +78,29 @@ def start_upsert(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str],
     )
 
 
+def poll_each_batch(path: str, place: str = "city", ts: str = "ts", aqi: str = "aqi") -> Callable:
+    """``foreachBatch`` sink of a poll: ``checks`` holds the last check of every place, whatever the
+    order of arrival; ``alerts/batch=N`` holds the alerts of a batch, hazards and missing values, and is
+    overwritten if the batch runs again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        polled = batch.select(place, ts, aqi)
+        checks = last_check(polled, place, ts, aqi)
+        upsert_parquet(batch.sparkSession, f"{path}/checks", checks.withColumn("part", F.pmod(F.crc32(F.col(place)), F.lit(16)).cast("int")),
+                       [place], "part", order=["checked_ts"])
+        alerts = hazard_alerts(polled, place, ts, aqi).unionByName(unavailable_alerts(polled, place, ts, aqi))
+        alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+
+    return write
+
+
+def start_polling(df: DataFrame, path: str, checkpoint: str, place: str = "city", ts: str = "ts", aqi: str = "aqi"):
+    return (
+        df.writeStream.foreachBatch(poll_each_batch(path, place, ts, aqi)).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def start_append(df: DataFrame, path: str, checkpoint: str):
     """Append stream to parquet, until all landed input is processed."""
     return (
