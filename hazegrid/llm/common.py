@@ -15,8 +15,7 @@ from hazegrid.session import scratch_dir
 
 WORD_GAP = r"[\x20\x09-\x0D]+"  # what separates words; bytes.split() uses the same six characters
 BROADCAST_ROWS = 200_000  # a table is broadcast up to so many rows and ...
-BROADCAST_BYTES = 16 << 20  # ... so many bytes of its measured content; beyond, it is joined by a salted shuffle
-SALTS = 32
+BROADCAST_BYTES = 16 << 20  # ... so many bytes of its measured content
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,20 +49,14 @@ def fits_broadcast(table: DataFrame) -> bool:
 
 def join_measured(left: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], how: str = "left") -> DataFrame:
     """Join a stored per-key ``table`` to rows whose keys may be hot; ``on`` pairs the column names
-    of both sides, which must not clash, null equal to null. A small table is broadcast; a larger one
-    is copied to ``SALTS`` salts, so that a hot key is spread over as many tasks."""
+    of both sides, which must not clash, null equal to null. A small table is broadcast; for a larger one
+    both sides are shuffled, and adaptive execution splits the rows of a hot key over several tasks
+    (``table`` has one row per key, so only the left side can be hot)."""
     meet = [F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`")) for a, b in on]
-    if fits_broadcast(table):
-        cond = meet[0]
-        for c in meet[1:]:
-            cond &= c
-        return left.join(F.broadcast(table), cond, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cond = F.col("_salt") == F.col("_copy")
-    for c in meet:
+    cond = meet[0]
+    for c in meet[1:]:
         cond &= c
-    return salted.join(copies, cond, how).drop("_salt", "_copy")
+    return left.join(F.broadcast(table) if fits_broadcast(table) else table, cond, how)
 
 
 def running_sums(df: DataFrame, order: Sequence[Column], value: str, before: str, name: str, tasks: int) -> DataFrame:
