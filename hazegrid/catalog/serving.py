@@ -318,9 +318,10 @@ def _(spark, d):
     return E.ensemble_mean(persistence(spark, d, "station"), ["persist_24h", "persist_72h"], "blend", ["series_id", "ts"], 2)
 
 
-@query("sample_rows")
+@query("sample_rows", f"""WITH {RS}
+SELECT city, ts, aqi FROM readings ORDER BY md5(city || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|42'), city, ts LIMIT 1000""", ["aqi"])
 def _(spark, d):
-    return V.sample_rows(readings(spark, d, "station"), 1000, ["city", "ts"])
+    return V.sample_rows(readings(spark, d, "station").select("city", "ts", "aqi"), 1000, ["city", "ts"])
 
 
 # --- alerts ------------------------------------------------------------------------------------

@@ -224,8 +224,9 @@ def labeled(df: DataFrame, by: str, prefix: str = "", label: str = "city_label")
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """``n`` pseudo-random rows, the same for the same seed."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    """``n`` pseudo-random rows, the same for the same seed: those with the least MD5 of keys and seed."""
+    drawn = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return df.orderBy(drawn, *keys).limit(n)
 
 
 def minmax_scale(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
