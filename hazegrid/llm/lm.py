@@ -27,7 +27,6 @@ string when documents are held out; without training documents every token is un
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 from collections import Counter
@@ -63,63 +62,69 @@ def held_out(doc_id: Column) -> Column:
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Huffman code length of each symbol."""
+    """Huffman code length of each symbol, from two queues: sorted leaves, and merged pairs."""
     n = len(counts)
-    if n == 1:
-        return np.ones(1, dtype=np.int64)
-    heap = [(int(c), i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
+    order = np.argsort(counts, kind="stable")
+    leaves, merged = counts[order].tolist(), []
     parent = np.zeros(2 * n - 1, dtype=np.int64)
+    i, j = 0, 0
     for new in range(n, 2 * n - 1):
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[1]] = parent[b[1]] = new
-        heapq.heappush(heap, (a[0] + b[0], new))
+        weight = 0.0
+        for _ in range(2):
+            if i < n and (j >= len(merged) or leaves[i] <= merged[j]):
+                weight += leaves[i]
+                parent[i] = new
+                i += 1
+            else:
+                weight += merged[j]
+                parent[n + j] = new
+                j += 1
+        merged.append(weight)
     depth = np.zeros(2 * n - 1, dtype=np.int64)
-    for i in range(2 * n - 3, -1, -1):
-        depth[i] = depth[parent[i]] + 1
-    return depth[:n]
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    out = np.empty(n, dtype=np.int64)
+    out[order] = depth[:n]
+    return out
 
 
 class Tree:
-    """Canonical Huffman code; inner nodes of one depth are numbered consecutively."""
+    """Canonical Huffman code. Inner nodes of one depth are numbered consecutively; ``path`` holds
+    2 * node + bit for each bit of each symbol, symbol after symbol, from ``start`` on."""
 
     def __init__(self, counts: np.ndarray):
         self.length = code_lengths(counts)
         order = np.lexsort((np.arange(len(counts)), self.length))
         deepest = int(self.length.max())
         leaves = np.bincount(self.length, minlength=deepest + 1)
-        self.base = np.zeros(deepest + 1, dtype=np.int64)  # first inner prefix of a depth
-        self.first = np.zeros(deepest + 1, dtype=np.int64)  # its node number
-        self.code = np.zeros(len(counts), dtype=np.int64)
+        base, first = np.zeros(deepest + 1, dtype=np.int64), np.zeros(deepest + 1, dtype=np.int64)
+        code = np.zeros(len(counts), dtype=np.int64)
         start, at, inner, self.nodes = 0, 0, 1, 0
         for d in range(deepest + 1):
             n = int(leaves[d])
-            self.code[order[at:at + n]] = start + np.arange(n)
+            code[order[at:at + n]] = start + np.arange(n)
             inner = (2 * inner if d else 1) - n  # twice those above, without the leaves
-            self.base[d], self.first[d] = start + n, self.nodes
+            base[d], first[d] = start + n, self.nodes
             self.nodes += inner
             at, start = at + n, (start + n) << 1
-        visits, ones = np.zeros(self.nodes), np.zeros(self.nodes)
+        self.start = np.cumsum(self.length) - self.length
+        self.path = np.empty(int(self.length.sum()), dtype=np.int32)
+        self.visits, self.ones = np.zeros(self.nodes), np.zeros(self.nodes)
         for d in range(deepest):
             w = np.flatnonzero(self.length > d)
-            node, bit = self.at(w, d)
-            visits += np.bincount(node, counts[w], self.nodes)
-            ones += np.bincount(node, counts[w] * bit, self.nodes)
-        self.visits, self.ones = visits, ones
-
-    def at(self, symbols: np.ndarray, depth) -> tuple[np.ndarray, np.ndarray]:
-        """Node at ``depth`` on the way to each symbol, and the bit taken there."""
-        left = self.length[symbols] - depth
-        prefix = self.code[symbols] >> left
-        return self.first[depth] + prefix - self.base[depth], (self.code[symbols] >> (left - 1)) & 1
+            left = self.length[w] - d
+            node, bit = first[d] + (code[w] >> left) - base[d], (code[w] >> (left - 1)) & 1
+            self.path[self.start[w] + d] = 2 * node + bit
+            self.visits += np.bincount(node, counts[w], self.nodes)
+            self.ones += np.bincount(node, counts[w] * bit, self.nodes)
 
     def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each bit of all symbols: position of its symbol, depth, node, bit."""
         n = self.length[symbols]
-        owner = np.repeat(np.arange(len(symbols)), n)
-        depth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        node, bit = self.at(symbols[owner], depth)
-        return owner, depth, node, bit
+        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
+        depth = np.arange(len(owner), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+        step = self.path[np.repeat(self.start[symbols], n) + depth]
+        return owner, depth, step >> 1, step & 1
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -152,6 +157,18 @@ class Vocabulary:
         self.tree = Tree(np.maximum(counts, 1))
         self.layout = Layout(self.tree)
 
+    def parts(self) -> tuple:
+        """Plain values, from which ``whole`` makes the vocabulary again without any work."""
+        return self.ids, self.counts, vars(self.tree), vars(self.layout)
+
+    @classmethod
+    def whole(cls, parts: tuple) -> Vocabulary:
+        out, tree, layout = cls.__new__(cls), Tree.__new__(Tree), Layout.__new__(Layout)
+        vars(tree).update(parts[2])
+        vars(layout).update(parts[3])
+        out.ids, out.counts, out.tree, out.layout = parts[0], parts[1], tree, layout
+        return out
+
     def encode(self, words: list[bytes]) -> np.ndarray:
         get = self.ids.get
         return np.array([get(w, 0) for w in words] + [self.END], dtype=np.int64)
@@ -159,7 +176,7 @@ class Vocabulary:
 
 def _contexts(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the last and of the last two tokens before each; ``first``: where a document begins."""
-    none = np.uint64(len(ids) + (1 << 40))
+    none = np.uint64(1 << 40)
     one = np.r_[none, ids[:-1].astype(np.uint64)]
     one[first] = none
     two = np.r_[none, one[:-1]]
@@ -193,16 +210,21 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log1p(-p)
 
 
+def predictors(vocabulary: Vocabulary, tables: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Logit of each node, and what each slot of the context tables adds to it."""
+    tree, layout = vocabulary.tree, vocabulary.layout
+    p0 = (tree.ones + 0.5) / (tree.visits + 1.0)
+    logit = _logit(p0)
+    of_slot = np.repeat(np.arange(tree.nodes), layout.width.astype(np.int64))
+    lift = [(_logit((t[1] + SHRINK * p0[of_slot]) / (t[0] + t[1] + SHRINK)) - logit[of_slot]).astype(np.float32) for t in tables]
+    return logit.astype(np.float32), lift
+
+
 class Mixer:
     """Bits of whole texts under the model."""
 
-    def __init__(self, vocabulary: Vocabulary, tables: np.ndarray):
-        self.vocabulary = vocabulary
-        tree, layout = vocabulary.tree, vocabulary.layout
-        p0 = (tree.ones + 0.5) / (tree.visits + 1.0)
-        self.logit = _logit(p0)
-        of_slot = np.repeat(np.arange(tree.nodes), layout.width.astype(np.int64))
-        self.lift = [(_logit((t[1] + SHRINK * p0[of_slot]) / (t[0] + t[1] + SHRINK)) - self.logit[of_slot]).astype(np.float32) for t in tables]
+    def __init__(self, vocabulary: Vocabulary, logit: np.ndarray, lift: list[np.ndarray]):
+        self.vocabulary, self.logit, self.lift = vocabulary, logit, lift
 
     def score(self, batch: list[list[bytes]]) -> np.ndarray:
         """Bits of each text: codes only, without what is behind escapes."""
@@ -227,25 +249,24 @@ class Mixer:
         gate = lane * GATES + np.minimum(depth, GATES - 1)
         edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, dtype=np.int64)
         ends = np.r_[0, np.cumsum(v.tree.length[flat])][edges]
-        weight = np.full((2, len(docs) * GATES), float(START_WEIGHT))
-        force = np.full((2, len(docs) * GATES), DAMPING)
-        shift, grip = np.zeros(len(docs) * LEVELS), np.full(len(docs) * LEVELS, DAMPING)
+        n_gates, n_levels = len(docs) * GATES, len(docs) * LEVELS
+        weight, force = np.full((2, n_gates), START_WEIGHT, dtype=np.float32), np.full((2, n_gates), DAMPING)
+        shift, grip = np.zeros(n_levels, dtype=np.float32), np.full(n_levels, DAMPING)
+        sign = (2 * bit - 1).astype(np.float32)
         total = np.zeros(len(docs))
         for a, b in zip(ends[:-1], ends[1:]):
-            g, y = gate[a:b], bit[a:b]
-            u = [x[0][a:b], x[1][a:b]]
-            z = base[a:b] + weight[0][g] * u[0] + weight[1][g] * u[1]
+            g, u, v_ = gate[a:b], x[0][a:b], x[1][a:b]
+            z = base[a:b] + weight[0][g] * u + weight[1][g] * v_
             level = lane[a:b] * LEVELS + np.clip((z + 8).astype(np.int64) // 2, 0, LEVELS - 1)
-            fine = z + shift[level]
-            total += np.bincount(lane[a:b], np.logaddexp(0.0, np.where(y == 1, -fine, fine)), len(docs))
-            p, q = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-fine))
-            wrong, sure = y - p, p * (1 - p)
-            # only the documents that go on need their weights, but the arrays stay aligned
-            for t in range(2):
-                force[t] += np.bincount(g, sure * u[t] * u[t], len(docs) * GATES)
-                weight[t] += np.bincount(g, wrong * u[t], len(docs) * GATES) / force[t]
-            grip += np.bincount(level, q * (1 - q), len(docs) * LEVELS)
-            shift += np.bincount(level, y - q, len(docs) * LEVELS) / grip
+            against = np.exp(np.clip(-sign[a:b] * (z + shift[level]), -80, 80))  # odds of the other bit
+            total += np.bincount(lane[a:b], np.log1p(against), len(docs))
+            miss = against / (1 + against)
+            wrong, sure = sign[a:b] * miss, miss * (1 - miss)
+            for t, c in enumerate((u, v_)):
+                force[t] += np.bincount(g, sure * c * c, n_gates)
+                weight[t] += np.bincount(g, wrong * c, n_gates) / force[t]
+            grip += np.bincount(level, sure, n_levels)
+            shift += np.bincount(level, wrong, n_levels) / grip
         return total / math.log(2)
 
 
@@ -333,13 +354,19 @@ def _tokens(b: pa.RecordBatch) -> list[list[bytes]]:
     return [t.lower().split() for t in texts(b.column("text"))]
 
 
+def _pieces(b: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """A few texts at a time: their words take several times the memory of the text."""
+    for i in range(0, b.num_rows, rows):
+        yield b.slice(i, rows)
+
+
 def word_table(rows: DataFrame) -> DataFrame:
     """(word, c) for every word of every document; c: its count in training documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train: Counter = Counter()
         other: set[bytes] = set()
-        for b in batches:
+        for b in (p for whole in batches for p in _pieces(whole)):
             for words, out in zip(_tokens(b), b.column("held_out").to_pylist()):
                 other.update(words) if out else train.update(words)
             if len(train) + len(other) > 1_000_000:
@@ -374,32 +401,30 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     few = {r.c: r.n for r in histogram.orderBy("c").limit(1 << 16).collect()}
     while total > VOCABULARY:
         total, least = total - few.get(least, 0), least + 1
-    common = words.where(F.col("c") >= least).orderBy(F.col("c").desc(), "word").collect()  # at most VOCABULARY rows
+    common = words.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # at most VOCABULARY rows
     # Good-Turing: tokens to expect of words unseen so far, and of those seen less than ``least`` times
     unseen, seen = few.get(1, 0), sum((c + 1) * few.get(c + 1, 0) for c in range(1, least))
-    counts = np.array([unseen + seen, n_train, *(r.c for r in common)], dtype=np.float64)
+    counts = np.r_[float(unseen + seen), float(n_train), common.column("c").to_numpy()]
     new = (unseen + 1) / (unseen + seen + 2)
     kept = sum((c - DISCOUNT) * k for c, k in few.items() if c < least)
-    known = spark.sparkContext.broadcast(([bytes(r.word) for r in common], counts))
+    built = Vocabulary(common.column("word").to_pylist(), counts)
+    del common
+    known, size = spark.sparkContext.broadcast(built.parts()), built.layout.size  # loaded once per Python worker
     rare = words.where(F.col("c") < least)
 
-    made: dict[str, object] = {}
-
     def vocabulary() -> Vocabulary:
-        if "v" not in made:
-            made["v"] = Vocabulary(*known.value)
-        return made["v"]
-
-    size = Vocabulary([], counts).layout.size
+        return Vocabulary.whole(known.value)
 
     def train(batches: Iterator[pa.RecordBatch]):
-        tables = None
-        for b in batches:
+        tables, v = None, vocabulary()
+        for b in (p for whole in batches for p in _pieces(whole)):
             tables = np.zeros((2, 2, size), dtype=np.int64) if tables is None else tables
-            context_counts(vocabulary(), _tokens(b), tables)
+            context_counts(v, _tokens(b), tables)
         return None if tables is None else [tables]
 
-    context = spark.sparkContext.broadcast(_summed(rows.where(~F.col("held_out")).select("text"), train, [(2, 2, size)])[0].astype(np.float32))
+    tables = _summed(rows.where(~F.col("held_out")).select("text"), train, [(2, 2, size)])[0]
+    context = spark.sparkContext.broadcast(predictors(built, tables))
+    del built, tables
 
     def spell_train(batches: Iterator[pa.RecordBatch]):
         tables = None
@@ -422,10 +447,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base_of = np.log10(np.r_[1.0, counts[1:] + 1]) - floor
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
-        if "m" not in made:
-            made["m"] = Mixer(vocabulary(), context.value)
-        batch, v = _tokens(b), vocabulary()
-        bits = made["m"].score(batch)
+        v = vocabulary()
+        batch = _tokens(b)
+        bits = Mixer(v, *context.value).score(batch)
         base, rare_words, n_rare = [], [], []
         for w in batch:
             ids = v.encode(w)
@@ -442,7 +466,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "words", "times"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(in_batches(score), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, words array<binary>, times array<long>")
+    scored = rows.mapInArrow(lambda batches: (score(p) for b in batches for p in _pieces(b)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, words array<binary>, times array<long>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     pairs = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
     looked = pairs.join(worth, F.col("word") == F.col("_word")).groupBy(F.col("row").alias("_row")).agg(
