@@ -32,7 +32,6 @@ SMALL = 64
 CHUNK = 4096
 _STEP = 1 << 16  # shingles hashed at a time
 HALVES = (32, 32)
-THIRDS = (22, 21, 21)
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -232,70 +231,238 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 SHINGLE = 5
 SIMILARITY = 0.8
-PAIR_SEEDS = (1, 2)
-PAIR_RADIUS = 20
+SAMPLE = 50_000  # texts whose shingles are counted to tell common ones
+COMMON = 16  # ... of which so many must share a shingle
+MIXED = (8, 8, SMALL)  # per round: larger buckets are thinned to hubs, in the last round only cut into pieces
+_BITS = 1024
+_PAIRS = 1 << 18  # pairs emitted at a time
 
 
 def _as_long(h: np.ndarray) -> np.ndarray:
     return np.unique(h.astype(np.uint64)).view(np.int64)
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): the MD5 of each text that has a near copy and the smallest MD5 of its group.
+def _shingle_set(text: bytes) -> np.ndarray:
+    return _as_long(hashes(shingles(text.lower().split(), SHINGLE), 0))
 
-    Groups are connected by pairs whose sets of five-word shingles have at least ``similarity`` in
-    common (Jaccard). Candidates are texts whose 128-bit fingerprints over word *pairs* differ in at
-    most ``PAIR_RADIUS`` bits: a changed word spoils five of the five-word shingles but two pairs, so
-    that such texts lie some 12 bits apart, and in one of six segments (21 or 22 bits) at most one
-    bit apart with probability 0.95 at similarity 0.8, 0.98 at 0.85 and 0.995 at 0.9, times the
-    further routes through other members of a group. Every candidate is checked on the full sets.
-    """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("node"), F.col(f"`{text}`").alias("text"))
-    rows = stored(fingerprints(rows, "text", 2, PAIR_SEEDS).distinct(), "prints")
-    names = ["f0", "f1"]
-    heads = stored(rows.groupBy(*names).agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
-    found = stored(links(heads.select(*names), PAIR_RADIUS, THIRDS, tasks).distinct(), "links")
-
-    def ends(side: str) -> DataFrame:
-        return rows.select("node", *(F.col(n).alias(f"{side}_{n}") for n in names))
-
-    def tops(side: str) -> DataFrame:
-        return heads.select(F.col("head").alias(f"{side}_head"), *(F.col(n).alias(f"{side}_{n}") for n in names))
-
-    # texts with one fingerprint hang on its head; linked fingerprints meet through their heads,
-    # and each text of either also meets the other's head
-    same = heads.where("n > 1").select(*(F.col(n).alias(f"_{n}") for n in names), "head")
-    inside = join_measured(rows, stored(same, "same"), [(n, f"_{n}") for n in names], "inner").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    pair = found.select(*(F.col(f"a{i}").alias(f"x_f{i}") for i in range(2)), *(F.col(f"b{i}").alias(f"y_f{i}") for i in range(2)))
-    across = [pair.join(ends(s), [f"{s}_f0", f"{s}_f1"]).join(tops(o), [f"{o}_f0", f"{o}_f1"]).select(F.col("node").alias("a"), F.col(f"{o}_head").alias("b"))
-              for s, o in (("x", "y"), ("y", "x"))]
-    pairs = inside.union(across[0]).union(across[1]).where(F.col("a") != F.col("b"))
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
+def _least_shared(total, similarity: float):
+    """Sets of ``total`` elements together reach ``similarity`` only with so many in common; never too high."""
+    return np.ceil(similarity / (1 + similarity) * total - 1e-6)
+
+
+def _parity(items: np.ndarray) -> bytes:
+    """Each element flips one of the bits: two sets differ in at least as many elements as these in bits."""
+    flips = np.bincount((items.view(np.uint64) % np.uint64(_BITS)).astype(np.int64), minlength=_BITS)
+    return np.packbits(flips & 1).tobytes()
+
+
+def _common(bodies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles common in a sample of the texts, ascending, and how often they occur there. They only
+    decide the order in which shingles are taken; every order finds the same pairs."""
+    k = max(1, bodies.count() // SAMPLE)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_shingle_set(t) for t in texts(b.column("text"))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets]))], ["h"])
+
+    some = bodies.where(F.pmod(F.xxhash64("node"), F.lit(k)) == 0).select("text").mapInArrow(in_batches(one), "h long")
+    found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toArrow()
+    h, n = (np.asarray(found.column(c), dtype=np.int64) for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(bodies: DataFrame, similarity: float) -> DataFrame:
+    """(h, node, n) for the rarest shingles of each text: as many that two texts within
+    ``similarity`` have one of them in common, whatever the others are."""
+    common = bodies.sparkSession.sparkContext.broadcast(_common(bodies))
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        known, times = common.value
+        keys, sizes, at = [np.zeros(0, dtype=np.int64)], [], []
+        for i, t in enumerate(texts(b.column("text"))):
+            items = _shingle_set(t)
+            n = len(items)
+            sizes.append(n)
+            if n:
+                first = n - int(np.ceil(similarity * n - 1e-6)) + 1
+                rank = np.zeros(n, dtype=np.int64)
+                if len(known):
+                    spot = np.minimum(np.searchsorted(known, items), len(known) - 1)
+                    rank = np.where(known[spot] == items, times[spot], 0)
+                keys.append(items[np.lexsort((items, rank))[:first]])
+                at.append(np.full(len(keys[-1]), i))
+        where = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+        n = np.array(sizes, dtype=np.int64)[where]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("node").take(pa.array(where)), pa.array(n)], ["h", "node", "n"])
+
+    return bodies.mapInArrow(in_batches(one), "h long, node binary, n long")
+
+
+def _parities(bodies: DataFrame) -> DataFrame:
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        bits = [_parity(_shingle_set(t)) for t in texts(b.column("text"))]
+        return pa.RecordBatch.from_arrays([b.column("node"), pa.array(bits, pa.binary())], ["_p", "bits"])
+
+    return bodies.select("node", "text").mapInArrow(in_batches(one), "_p binary, bits binary")
+
+
+def _candidates(bucket: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, small: int, last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket that have different roots and may be within ``similarity``: all of
+    them in buckets of up to ``small`` rows and in the ``last`` round, else each row with one hub."""
+
+    def may(i, j) -> np.ndarray:
+        total = n[i] + n[j]
+        shared = _least_shared(total, similarity)
+        ok = (roots[i] != roots[j]).any(axis=-1) & (np.minimum(n[i], n[j]) >= shared)
+        return ok & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64) <= total - 2 * shared)
+
+    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    size = np.diff(np.r_[edge, len(bucket)])
+    index, length = np.arange(len(bucket)), np.repeat(size, size)
+    for k in range(1, small):
+        i = index[(length > k) & (length <= small)]
+        i = i[i + k < len(bucket)]
+        i = i[bucket[i] == bucket[i + k]]
+        if not len(i):
+            break
+        i = i[may(i, i + k)]
+        yield i, i + k
+    for s, m in zip(edge[size > small], size[size > small]):
+        left = np.arange(s, s + m)
+        if (roots[left] == roots[s]).all():
+            continue
+        while len(left) > 1:
+            x, left = left[0], left[1:]
+            near = may(np.full(len(left), x), left)
+            yield np.full(int(near.sum()), x), left[near]
+            if not last:
+                left = left[~near]
+
+
+def _met(rows: DataFrame, similarity: float, turn: int, tasks: int) -> DataFrame:
+    """Candidate pairs (a, b) among rows (h, node, n, bits, root) of equal ``h``; buckets of over
+    ``CHUNK`` rows are dealt out in chunks, in the last round every two of them together."""
+    small, last = MIXED[turn], turn == len(MIXED) - 1
+    mixed = rows.groupBy(F.col("h").alias("_h")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    mixed = stored(mixed.where("_lo < _hi").select("_h", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_k")), "mixed")
+    mine, others = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"), F.sequence(F.lit(0), F.col("_k") - 1)
+    chunks = F.transform(others, lambda j: F.least(j, mine) * F.col("_k") + F.greatest(j, mine)) if last else F.array(mine)
+    live = join_measured(rows, mixed, [("h", "_h")], "inner").select("h", "node", "n", "bits", "root", F.explode(chunks).alias("chunk"))
+    live = live.withColumn("turn", F.xxhash64("node", F.lit(turn))).repartition(tasks, "h", "chunk").sortWithinPartitions("h", "chunk", "turn")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            h, chunk, n = (t.column(c).to_numpy() for c in ("h", "chunk", "n"))
+            nodes = np.frombuffer(b"".join(t.column("node").to_pylist()), dtype="V16")
+            roots = np.frombuffer(b"".join(t.column("root").to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, _BITS // 64)
+            bucket = np.cumsum(np.r_[False, (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])])
+            found, held = [], 0
+
+            def out() -> pa.RecordBatch:
+                sides = [np.concatenate([f[k] for f in found]) for k in (0, 1)]
+                return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in nodes[i]], pa.binary()) for i in sides], ["a", "b"])
+
+            for pair in _candidates(bucket, roots, n, bits, similarity, small, last):
+                found.append(pair)
+                held += len(pair[0])
+                if held >= _PAIRS:
+                    yield out()
+                    found, held = [], 0
+            if held:
+                yield out()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rest = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            h, chunk = rest.column("h").to_numpy(), rest.column("chunk").to_numpy()
+            before = np.flatnonzero((h != h[-1]) | (chunk != chunk[-1]))
+            if len(before):  # the last bucket may go on in the next batch
+                yield from done(rest.slice(0, int(before[-1]) + 1))
+                rest = rest.slice(int(before[-1]) + 1)
+        if rest is not None:
+            yield from done(rest)
+
+    pairs = live.drop("turn").mapInArrow(match, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _close(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """The stored ``pairs`` whose full shingle sets are within ``similarity``."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct(), "wanted")
-    sets = stored(_shingle_sets(docs, doc_id, text, wanted), "sets")
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [_shingle_set(t) for t in texts(b.column("text"))]
+        return pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    sets = join_measured(bodies, wanted, [("node", "_n")], "left_semi").select("node", "text")
+    sets = stored(sets.mapInArrow(in_batches(one), "node binary, shingles array<long>"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
-    both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("_sa", "_sb"))
-    close = F.when((F.size("_sa") == 0) & (F.size("_sb") == 0), True).otherwise(
-        shared >= similarity * (F.size("_sa") + F.size("_sb") - shared))
-    return components(both.where(close).select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("_sa") + F.size("_sb") - shared)).select("a", "b")
 
 
-def _shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """The set of hashed shingles of each wanted text, once."""
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): the MD5 of each text that has a near copy and the smallest MD5 of its group.
+
+    Groups are connected by pairs whose sets of five-word shingles have at least ``similarity`` in
+    common (Jaccard); all such pairs count. Two sets of which one has n elements reach it only with
+    ``similarity * n`` in common, so both have a common element among the others' number plus one,
+    taken in any order that is the same for all texts (prefix filter). The order puts shingles that
+    many texts have last. Texts that meet under a shingle are compared by size and by a parity bitmap,
+    both of which never reject a pair within ``similarity``, and what is left on the full sets.
+
+    A large group is not emitted as pairs: in the first rounds a row of a large bucket meets one hub, the
+    pairs are checked, and rows in one group by checked pairs are not compared again. The last round takes
+    every pair of rows that are still in different groups, so no pair goes unchecked.
+    """
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bodies = stored(_bodies(docs, doc_id, text), "bodies")
+    prefixes = stored(_prefixes(bodies, similarity), "prefixes")
+    shared = stored(prefixes.groupBy(F.col("h").alias("_s")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s"), "shared")
+    rows = stored(join_measured(prefixes, shared, [("h", "_s")], "inner").select("h", "node", "n"), "rows")
+    some = stored(rows.select(F.col("node").alias("_n")).distinct(), "some")
+    bits = stored(_parities(join_measured(bodies, some, [("node", "_n")], "left_semi")), "parities")
+    rows = stored(join_measured(rows, bits, [("node", "_p")], "inner").select("h", "node", "n", "bits"), "rows")
+
+    blank = bodies.where(F.col("blank")).select("node")
+    edges = stored(blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a != b"), "blank")
+    checked = None
+    groups = components(edges)
+    for turn in range(len(MIXED)):
+        named = join_measured(rows, stored(groups.select(F.col("node").alias("_n"), "root"), "groups"), [("node", "_n")])
+        pairs = _met(named.withColumn("root", F.coalesce("root", "node")).drop("_n"), similarity, turn, tasks)
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        checked = pairs if checked is None else checked.union(pairs)
+        good = stored(_close(pairs, bodies, similarity), "close")
+        if not good.isEmpty():
+            edges = edges.union(good)
+            groups = components(edges)
+    return groups
+
+
+def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, text, blank) of each distinct text, once."""
     rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("node"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"))
-    carrier = stored(rows.groupBy(F.col("node").alias("_n")).agg(F.min("_id").alias("_id0")).join(wanted, "_n", "left_semi"), "carrier")
-    rows = join_measured(rows, carrier, [("node", "_n"), ("_id", "_id0")], "inner").select("node", "text")
+    times = rows.groupBy("node", "_id").agg(F.count(F.lit(1)).alias("_times"))
+    carrier = stored(times.groupBy(F.col("node").alias("_n")).agg(F.min(F.struct("_id", "_times")).alias("w")).select("_n", F.col("w._id").alias("_id0"), F.col("w._times").alias("_times")), "carrier")
+    rows = join_measured(rows, carrier, [("node", "_n"), ("_id", "_id0")], "inner")
+    single = rows.where("_times = 1").select("node", "text")
+    again = rows.where("_times > 1").select("node", "text").dropDuplicates(["node"])
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_as_long(hashes(shingles(t.lower().split(), SHINGLE), 0)) for t in texts(b.column("text"))]
-        return pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([not t.split() for t in texts(b.column("text"))])], ["node", "text", "blank"])
 
-    return rows.mapInArrow(in_batches(one), "node binary, shingles array<long>").dropDuplicates(["node"])
+    return single.union(again).mapInArrow(in_batches(one), "node binary, text string, blank boolean")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -103,3 +103,54 @@ def test_similar_below_the_limit_stays(spark):
 def test_empty(no_docs):
     assert simhash.simhash_groups(no_docs).count() == 0
     assert simhash.keep_one_of_each(no_docs).count() == 0
+
+
+def jaccard_groups(texts, limit=0.8):
+    """Groups of positions by comparing the shingle sets of all pairs."""
+    sets = [set(simhash.shingles(t.lower().encode().split(), 5)) for t in texts]
+    group = list(range(len(texts)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= limit * len(a | b):
+                group[find(i)] = find(j)
+    return {frozenset(i for i in range(len(texts)) if find(i) == g) for g in {find(i) for i in range(len(texts))}}
+
+
+def near_groups(spark, texts):
+    import hashlib
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {bytes(r.node): bytes(r.root) for r in simhash.near_copies(docs).collect()}
+    nodes = [hashlib.md5(t.encode()).digest() for t in texts]
+    got = {}
+    for i, n in enumerate(nodes):
+        got.setdefault(root.get(n, n), set()).add(i)
+    return set(map(frozenset, got.values()))
+
+
+def test_templates_in_large_buckets_equal_all_pairs(spark, monkeypatch):
+    """Variants of a template, most of them too far from any hub, lose no partner."""
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "MIXED", (4, 4, 4), raising=False)
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 240)]
+    texts = []
+    for i in range(40):
+        w = list(base)
+        for at in rng.choice(240, 13, replace=False):
+            w[at] = f"v{i}x{at}"
+        texts.append(" ".join(w))
+        for c in range(i % 3):
+            copy = list(w)
+            copy[20 + 50 * c] = f"copy{i}"
+            texts.append(" ".join(copy))
+    want = jaccard_groups(texts)
+    assert len(want) > 20 and any(len(g) > 1 for g in want)
+    assert near_groups(spark, texts) == want
