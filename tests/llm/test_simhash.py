@@ -154,3 +154,13 @@ def test_templates_in_large_buckets_equal_all_pairs(spark, monkeypatch):
     want = jaccard_groups(texts)
     assert len(want) > 20 and any(len(g) > 1 for g in want)
     assert near_groups(spark, texts) == want
+
+
+def test_repeated_line_is_a_near_copy(spark):
+    """A line that is repeated changes the shingle set little, whatever it does to the counts."""
+    texts = []
+    for i in range(12):
+        rng = np.random.default_rng(i)
+        body, line = (" ".join(f"w{x}" for x in rng.integers(0, 9000, n)) for n in (200, 10))
+        texts += [f"{body} {line}", f"{body}{f' {line}' * 8}"]
+    assert near_groups(spark, texts) == {frozenset((2 * i, 2 * i + 1)) for i in range(12)}
