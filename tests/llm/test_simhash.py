@@ -164,3 +164,18 @@ def test_repeated_line_is_a_near_copy(spark):
         body, line = (" ".join(f"w{x}" for x in rng.integers(0, 9000, n)) for n in (200, 10))
         texts += [f"{body} {line}", f"{body}{f' {line}' * 8}"]
     assert near_groups(spark, texts) == {frozenset((2 * i, 2 * i + 1)) for i in range(12)}
+
+
+def test_block_edits_at_the_limit_are_found(spark):
+    """Appended, cut and replaced blocks at a similarity of just over and just under 0.8."""
+    texts = []
+    for i in range(24):
+        rng = np.random.default_rng(100 + i)
+        body = [f"w{x}" for x in rng.integers(0, 9000, 204)]
+        more = [f"x{x}" for x in rng.integers(0, 9000, 60)]
+        over = i % 2
+        edits = (body + more[:50 if over else 51], body[:164 if over else 163], body[:186 if over else 181] + more[:18 if over else 23])
+        texts += [" ".join(body), " ".join(edits[i % 3])]
+    want = jaccard_groups(texts)
+    assert sum(len(g) == 2 for g in want) == 12
+    assert near_groups(spark, texts) == want
