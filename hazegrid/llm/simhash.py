@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import fits_broadcast, in_batches, join_measured, stored, texts
+from hazegrid.llm.common import fits_broadcast, in_batches, join_measured, scratch, stored, texts
 from hazegrid.llm.graph import components
 
 SMALL = 64
@@ -231,8 +231,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SAMPLE = 50_000  # texts whose shingles are counted to tell common ones
-COMMON = 16  # ... of which so many must share a shingle
+SAMPLE = 20_000  # texts whose shingles are counted to tell common ones
+COMMON = 8  # ... of which so many must share a shingle
 MIXED = (8, 8, SMALL)  # per round: larger buckets are thinned to hubs, in the last round only cut into pieces
 _BITS = 1024
 _PAIRS = 1 << 18  # pairs emitted at a time
@@ -274,38 +274,57 @@ def _common(bodies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(bodies: DataFrame, similarity: float) -> DataFrame:
-    """(h, node, n) for the rarest shingles of each text: as many that two texts within
-    ``similarity`` have one of them in common, whatever the others are."""
+    """(h, id, hot) for the rarest shingles of each text: as many that two texts within
+    ``similarity`` have one of them in common, whatever the others are; hot if known to be common."""
     common = bodies.sparkSession.sparkContext.broadcast(_common(bodies))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         known, times = common.value
-        keys, sizes, at = [np.zeros(0, dtype=np.int64)], [], []
+        keys, hot, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)], []
         for i, t in enumerate(texts(b.column("text"))):
             items = _shingle_set(t)
             n = len(items)
-            sizes.append(n)
             if n:
                 first = n - int(np.ceil(similarity * n - 1e-6)) + 1
                 rank = np.zeros(n, dtype=np.int64)
                 if len(known):
                     spot = np.minimum(np.searchsorted(known, items), len(known) - 1)
                     rank = np.where(known[spot] == items, times[spot], 0)
-                keys.append(items[np.lexsort((items, rank))[:first]])
-                at.append(np.full(len(keys[-1]), i))
+                taken = np.lexsort((items, rank))[:first]
+                keys.append(items[taken]), hot.append(rank[taken] > 0)
+                at.append(np.full(first, i))
         where = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
-        n = np.array(sizes, dtype=np.int64)[where]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("node").take(pa.array(where)), pa.array(n)], ["h", "node", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("id").take(pa.array(where)), pa.array(np.concatenate(hot))], ["h", "id", "hot"])
 
-    return bodies.mapInArrow(in_batches(one), "h long, node binary, n long")
+    return bodies.select("id", "text").mapInArrow(in_batches(one), "h long, id long, hot boolean")
+
+
+def _repeated(rows: DataFrame, tasks: int) -> DataFrame:
+    """The rows (h, id) whose ``h`` another row has too."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, ids, met = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False  # the last row waits for the next
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, ids = (np.r_[x, b.column(c).to_numpy()] for x, c in ((h, "h"), (ids, "id")))
+            same = h[1:] == h[:-1]
+            good = np.r_[met, same[:-1]] | same if len(same) else np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][good]) for x in (h, ids)], ["h", "id"])
+            met = bool(same[-1]) if len(same) else met
+            h, ids = h[-1:], ids[-1:]
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids)], ["h", "id"])
+
+    return rows.select("h", "id").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(keep, "h long, id long")
 
 
 def _parities(bodies: DataFrame) -> DataFrame:
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        bits = [_parity(_shingle_set(t)) for t in texts(b.column("text"))]
-        return pa.RecordBatch.from_arrays([b.column("node"), pa.array(bits, pa.binary())], ["_p", "bits"])
+        sets = [_shingle_set(t) for t in texts(b.column("text"))]
+        bits = pa.array(list(map(_parity, sets)), pa.binary())
+        return pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in sets], pa.int64()), bits], ["_p", "n", "bits"])
 
-    return bodies.select("node", "text").mapInArrow(in_batches(one), "_p binary, bits binary")
+    return bodies.select("id", "text").mapInArrow(in_batches(one), "_p long, n long, bits binary")
 
 
 def _candidates(bucket: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, small: int, last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -315,7 +334,7 @@ def _candidates(bucket: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.n
     def may(i, j) -> np.ndarray:
         total = n[i] + n[j]
         shared = _least_shared(total, similarity)
-        ok = (roots[i] != roots[j]).any(axis=-1) & (np.minimum(n[i], n[j]) >= shared)
+        ok = (roots[i] != roots[j]) & (np.minimum(n[i], n[j]) >= shared)
         return ok & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64) <= total - 2 * shared)
 
     edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -341,31 +360,30 @@ def _candidates(bucket: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.n
                 left = left[~near]
 
 
-def _met(rows: DataFrame, similarity: float, turn: int, tasks: int) -> DataFrame:
-    """Candidate pairs (a, b) among rows (h, node, n, bits, root) of equal ``h``; buckets of over
+def _met(rows: DataFrame, bits: DataFrame, similarity: float, turn: int, tasks: int) -> DataFrame:
+    """Candidate pairs (a, b) among rows (h, id, root) of equal ``h``; buckets of over
     ``CHUNK`` rows are dealt out in chunks, in the last round every two of them together."""
     small, last = MIXED[turn], turn == len(MIXED) - 1
     mixed = rows.groupBy(F.col("h").alias("_h")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     mixed = stored(mixed.where("_lo < _hi").select("_h", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_k")), "mixed")
-    mine, others = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"), F.sequence(F.lit(0), F.col("_k") - 1)
+    mine, others = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"), F.sequence(F.lit(0), F.col("_k") - 1)
     chunks = F.transform(others, lambda j: F.least(j, mine) * F.col("_k") + F.greatest(j, mine)) if last else F.array(mine)
-    live = join_measured(rows, mixed, [("h", "_h")], "inner").select("h", "node", "n", "bits", "root", F.explode(chunks).alias("chunk"))
-    live = live.withColumn("turn", F.xxhash64("node", F.lit(turn))).repartition(tasks, "h", "chunk").sortWithinPartitions("h", "chunk", "turn")
+    live = join_measured(rows, mixed, [("h", "_h")], "inner").select("h", "id", "root", F.explode(chunks).alias("chunk"))
+    live = join_measured(live, bits, [("id", "_p")], "inner").drop("_p")
+    live = live.withColumn("turn", F.xxhash64("id", F.lit(turn))).repartition(tasks, "h", "chunk").sortWithinPartitions("h", "chunk", "turn")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            h, chunk, n = (t.column(c).to_numpy() for c in ("h", "chunk", "n"))
-            nodes = np.frombuffer(b"".join(t.column("node").to_pylist()), dtype="V16")
-            roots = np.frombuffer(b"".join(t.column("root").to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            h, chunk, n, ids, roots = (t.column(c).to_numpy() for c in ("h", "chunk", "n", "id", "root"))
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, _BITS // 64)
             bucket = np.cumsum(np.r_[False, (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])])
             found, held = [], 0
 
             def out() -> pa.RecordBatch:
                 sides = [np.concatenate([f[k] for f in found]) for k in (0, 1)]
-                return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in nodes[i]], pa.binary()) for i in sides], ["a", "b"])
+                return pa.RecordBatch.from_arrays([pa.array(ids[i]) for i in sides], ["a", "b"])
 
             for pair in _candidates(bucket, roots, n, bits, similarity, small, last):
                 found.append(pair)
@@ -388,7 +406,7 @@ def _met(rows: DataFrame, similarity: float, turn: int, tasks: int) -> DataFrame
         if rest is not None:
             yield from done(rest)
 
-    pairs = live.drop("turn").mapInArrow(match, "a binary, b binary")
+    pairs = live.drop("turn").mapInArrow(match, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -398,12 +416,12 @@ def _close(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [_shingle_set(t) for t in texts(b.column("text"))]
-        return pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    sets = join_measured(bodies, wanted, [("node", "_n")], "left_semi").select("node", "text")
-    sets = stored(sets.mapInArrow(in_batches(one), "node binary, shingles array<long>"), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
+    sets = join_measured(bodies, wanted, [("id", "_n")], "left_semi").select("id", "text")
+    sets = sets.mapInArrow(in_batches(one), "id long, shingles array<long>")
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb"))
     shared = F.size(F.array_intersect("_sa", "_sb"))
     return pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("_sa") + F.size("_sb") - shared)).select("a", "b")
 
@@ -424,21 +442,21 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bodies = stored(_bodies(docs, doc_id, text), "bodies")
+    path = scratch(spark, "bodies")
+    _bodies(docs, doc_id, text).write.option("compression", "zstd").parquet(path)
+    bodies = spark.read.parquet(path)
     prefixes = stored(_prefixes(bodies, similarity), "prefixes")
-    shared = stored(prefixes.groupBy(F.col("h").alias("_s")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s"), "shared")
-    rows = stored(join_measured(prefixes, shared, [("h", "_s")], "inner").select("h", "node", "n"), "rows")
-    some = stored(rows.select(F.col("node").alias("_n")).distinct(), "some")
-    bits = stored(_parities(join_measured(bodies, some, [("node", "_n")], "left_semi")), "parities")
-    rows = stored(join_measured(rows, bits, [("node", "_p")], "inner").select("h", "node", "n", "bits"), "rows")
-
-    blank = bodies.where(F.col("blank")).select("node")
-    edges = stored(blank.crossJoin(F.broadcast(blank.agg(F.min("node").alias("b")))).select(F.col("node").alias("a"), "b").where("a != b"), "blank")
+    rows = stored(_repeated(prefixes.where("NOT hot"), tasks).union(prefixes.where("hot").select("h", "id")), "rows")
+    some = stored(rows.select(F.col("id").alias("_n")).distinct(), "some")
+    bits = stored(_parities(join_measured(bodies, some, [("id", "_n")], "left_semi")), "parities")
+
+    blank = bodies.where(F.col("blank")).select("id")
+    edges = stored(blank.crossJoin(F.broadcast(blank.agg(F.min("id").alias("b")))).select(F.col("id").alias("a"), "b").where("a != b"), "blank")
     checked = None
     groups = components(edges)
     for turn in range(len(MIXED)):
-        named = join_measured(rows, stored(groups.select(F.col("node").alias("_n"), "root"), "groups"), [("node", "_n")])
-        pairs = _met(named.withColumn("root", F.coalesce("root", "node")).drop("_n"), similarity, turn, tasks)
+        named = join_measured(rows, stored(groups.select(F.col("node").alias("_n"), "root"), "groups"), [("id", "_n")])
+        pairs = _met(named.select("h", "id", F.coalesce("root", "id").alias("root")), bits, similarity, turn, tasks)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -447,11 +465,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         if not good.isEmpty():
             edges = edges.union(good)
             groups = components(edges)
-    return groups
+    names = bodies.select(F.col("id").alias("_b"), F.col("node").alias("_name"))
+    named = stored(groups.join(names, F.col("node") == F.col("_b")).select(F.col("_name").alias("node"), F.col("root").alias("_root")), "named")
+    least = stored(named.groupBy(F.col("_root").alias("_r")).agg(F.min("node").alias("root")), "least")
+    return join_measured(named, least, [("_root", "_r")], "inner").select("node", "root")
 
 
 def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, text, blank) of each distinct text, once."""
+    """(node, text, blank, id) of each distinct text, once; the number ``id`` holds within what is written."""
     rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("node"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"))
     times = rows.groupBy("node", "_id").agg(F.count(F.lit(1)).alias("_times"))
     carrier = stored(times.groupBy(F.col("node").alias("_n")).agg(F.min(F.struct("_id", "_times")).alias("w")).select("_n", F.col("w._id").alias("_id0"), F.col("w._times").alias("_times")), "carrier")
@@ -462,7 +483,7 @@ def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*b.columns, pa.array([not t.split() for t in texts(b.column("text"))])], ["node", "text", "blank"])
 
-    return single.union(again).mapInArrow(in_batches(one), "node binary, text string, blank boolean")
+    return single.union(again).mapInArrow(in_batches(one), "node binary, text string, blank boolean").withColumn("id", F.monotonically_increasing_id())
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
