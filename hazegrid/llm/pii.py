@@ -47,8 +47,12 @@ SURNAMES = {"latin": "Adler Bauer Costa Duval Engel Fabre Garcia Hansen Iversen
             "cyrillic": "Белых Черных Долгих Седых Коваленко Шевченко Бондаренко Ткаченко Живаго Дурново".split()}
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
-_NAME = r"[A-ZÀ-ÖØ-ÞЀ-Я][a-zà-öø-ÿа-џ]+(?:-[A-ZÀ-ÖØ-ÞЀ-Я][a-zà-öø-ÿа-џ]+)?"
-_TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \xa0]({_NAME}(?:[ \xa0]{_NAME})?)")
+# a whole word of any script, with apostrophes and hyphens inside, or an initial with its dot
+_LETTERS = r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*"
+_WORD = re.compile(rf"[^\W\d_]\.(?=[ \xa0]?[^\W\d_])|{_LETTERS}(?:['\u2019\u02bc-]{_LETTERS})*")
+_PARTICLES = frozenset("af al av ap bin bint ben da das de del della dei den der des di do dos du e el ibn la las le les lo los san ter ten van vom von y zu zum zur".split())
+_TITLES = TITLES | {t.upper(): g for t, g in TITLES.items()}
+_TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.?[ \xa0](?=[^\W\d_])")
 _LOCAL = re.compile(r"[\w+%-](?:[\w.+%-]*[\w+%-])?$")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -74,6 +78,23 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
+def _name_end(text: str, at: int) -> int:
+    """End of the name that starts at ``at``: capitalised words, initials, and particles before such a word; ``at`` if none."""
+    end = at
+    while m := _WORD.match(text, at):
+        bare = m[0][2:] if m[0][1:2] in ("'", "\u2019", "\u02bc") else m[0]  # d'Artagnan
+        if m[0][0].isupper() or bare[0].isupper() or not m[0][0].islower():  # or a script without case
+            end = m.end()
+        elif m[0].casefold() not in _PARTICLES:
+            break
+        at = m.end()
+        if text[at:at + 1] in (" ", "\xa0"):
+            at += 1
+        elif not m[0].endswith("."):
+            break
+    return end
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical value), in order, without overlaps. For names the type holds gender and script."""
     hits = []
@@ -93,8 +114,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 value = m[0] if kind == "ip" else digits
                 hits.append((m.start(), m.end(), kind, ("+" if m[0][0] == "+" else "") + value))
     for m in _TITLED.finditer(text):
-        gender, script = TITLES[m[1]], script_of(m[2])
-        hits.append((m.start(2), m.end(2), f"name/{gender}/{script}", " ".join(m[2].casefold().split())))
+        end = _name_end(text, m.end())
+        name = text[m.end():end]
+        if name and (not m[1].isupper() or name.isupper()):
+            hits.append((m.end(), end, f"name/{_TITLES[m[1]]}/{script_of(name)}", " ".join(name.casefold().split())))
     hits.sort(key=lambda h: (h[0], -h[1]))
     out, end = [], 0
     for h in hits:

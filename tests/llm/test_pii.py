@@ -69,3 +69,16 @@ def test_rows(spark, edge_docs, edge_rows, no_docs):
     same = {(r.doc_id, r.text) for r in pii.replace_pii(edge_docs).collect()}
     assert same == {(r[0], r[1]) for r in edge_rows}
     assert pii.replace_pii(no_docs).count() == 0
+
+
+def test_names_are_taken_whole():
+    """Any script, capitals, apostrophes, initials, particles and number of words: no fragment stays."""
+    for title, name in (("Frau", "Anna Maria Schmidt"), ("Señora", "María del Carmen Ruiz"), ("Mr", "John F. Kennedy"), ("Mr", "J.R.R. Tolkien"), ("Mr", "McDonald"),
+                        ("Mr", "Lukáš Dvořák"), ("Dr", "O'Brien"), ("Dr.", "O’Brien-McKay"), ("Mr", "JOHN SMITH"), ("MR", "JOHN SMITH"), ("Herr", "Ludwig van der Rohe"),
+                        ("Monsieur", "d'Artagnan"), ("Frau", "von Trapp"), ("Mr", "Nguyễn Văn An"), ("Dr", "Γιώργος Παπαδόπουλος"), ("Госпожа", "Ёлкина"), ("Mr", "Lukáš Novák")):
+        for after in (" said so.", ", then", ".\nThe", ""):
+            text = f"Then {title} {name}{after}"
+            (start, end, kind, _), = pii.detect(text)
+            assert text[start:end] == name and kind.startswith("name/"), (text, text[start:end])
+    assert pii.detect("Mr and Mrs were out, Dr 5 of them") == []
+    assert pii.detect("Mr Smith del todo")[0][3] == "smith"
