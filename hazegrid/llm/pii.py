@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates of the same kind.
 
 Detected: e-mail addresses, phone numbers, payment cards (with a valid check digit), social security
-numbers, IPv4 addresses, and names behind a title. A surrogate is drawn from a keyed hash (HMAC-SHA256)
+numbers, IPv4 addresses, and names behind a title: all capitalised words, initials and particles. A surrogate is drawn from a keyed hash (HMAC-SHA256)
 of type, canonical value and attempt, so an entity gets the same surrogate in every document and
 spelling, and nobody without the key can redo it. Kept are: separators, lengths, letter case, digits as
 digits and letters as letters of their script; top-level domain; country code; the card's
@@ -9,7 +9,9 @@ network digit and a valid check digit; private or public address range; a name's
 title) and script. Mail domains and surnames are drawn by themselves, so shared ones stay shared.
 
 Distinctness is checked over the whole corpus: a surrogate that two entities drew, or that is a
-real entity, is drawn anew (all but the smallest holder of a shared one) until none is left. The
+real entity, is drawn anew (all but the smallest holder of a shared one) until none is left; after ``ROUNDS``
+draws from pools that grow: longer local parts, phone numbers and surnames, and for private addresses
+the range 10.x, then public ones. Cards and social security numbers keep their pools (over 10^8). The
 few later draws reach the texts by a join on the text's digest.
 
 Defined results: null text stays null with no entities; of overlapping hits the first, then the
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from hazegrid.llm.common import in_batches, join_measured, stored
 
 KEY = b"set your own key"
-ROUNDS = 50
+ROUNDS = 50  # draws that keep the length
+WIDE = 50  # draws from this number on come from pools that grow with each
 
 # titles and the gender they tell
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Господин": "m",
@@ -165,14 +168,15 @@ def _country(digits: str) -> int:
 def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     """Canonical surrogate of a canonical value."""
     d = _Draws(key, kind, value, str(attempt))
+    wide = max(0, attempt - WIDE + 1)
     if kind == "email":
         local, _, domain = value.partition("@")
         names, _, top = domain.rpartition(".")
-        return d.shape(local) + "@" + _Draws(key, "domain", domain).shape(names) + "." + top
+        return d.shape(local + "a" * wide) + "@" + _Draws(key, "domain", domain).shape(names) + "." + top
     if kind == "phone":
         plus, digits = value[:1] == "+", value.lstrip("+")
         n = _country(digits) if plus else 0
-        return ("+" if plus else "") + digits[:n] + d.digits(digits[n:])
+        return ("+" if plus else "") + digits[:n] + d.digits(digits[n:] + "0" * wide)
     if kind == "card":
         body = value[0] + d.digits("0" * (len(value) - 2))
         return body + str(-luhn_rest(body + "0") % 10)
@@ -181,8 +185,10 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "ip":
         parts = value.split(".")
         fixed = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
+        if fixed and wide:  # the largest private range, and if that is full too, any public address
+            fixed, parts = (1, ["10", "0", "0", "0"]) if wide <= WIDE else (0, parts)
         if fixed:
-            return ".".join(parts[:fixed] + [str(1 + d.below(254)) for _ in parts[fixed:]])
+            return ".".join(parts[:fixed] + [str(d.below(256) if wide else 1 + d.below(254)) for _ in parts[fixed:]])
         first = [x for x in range(1, 224) if x not in (10, 127, 172, 192)]
         return ".".join([str(first[d.below(len(first))])] + [str(1 + d.below(254)) for _ in range(3)])
     _, gender, script = kind.split("/")
@@ -191,12 +197,19 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     last = _Draws(key, "surname", words[-1], str(attempt))
     surname = SURNAMES[pool][last.below(len(SURNAMES[pool]))]
     # the pool is finite: a second, drawn part keeps many surnames apart
-    surname += "-" + "".join(ALPHABETS[pool][last.below(len(ALPHABETS[pool]))] for _ in range(3)).capitalize() if attempt else ""
+    surname += "-" + "".join(ALPHABETS[pool][last.below(len(ALPHABETS[pool]))] for _ in range(3 + wide)).capitalize() if attempt else ""
     given = _Draws(key, "given", kind, words[0], str(attempt))
     names = GIVEN[pool, gender]
     return (f"{names[given.below(len(names))]} {surname}" if len(words) > 1 else surname).casefold()
 
 
+def _email_written(original: str, value: str) -> str:
+    """A surrogate's local part may be longer."""
+    local, longer = original.index("@"), value.index("@") - original.index("@")
+    like = original[:local] + original[local - 1] * longer + original[local:]
+    return "".join(v.upper() if o.isupper() else v for o, v in zip(like, value))
+
+
 def written(kind: str, original: str, value: str) -> str:
     """The canonical surrogate in the original's spelling: separators, case."""
     if kind.startswith("name"):
@@ -205,9 +218,9 @@ def written(kind: str, original: str, value: str) -> str:
     if kind == "ip":
         return value
     if kind == "email":
-        return "".join(v.upper() if o.isupper() else v for o, v in zip(original, value))
+        return _email_written(original, value)
     digits = iter(value.lstrip("+"))
-    return "".join(next(digits) if c.isdigit() else c for c in original)
+    return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
 
 
 def _entities(rows: DataFrame) -> DataFrame:
@@ -238,7 +251,7 @@ def distinct_surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     ``drawn`` is a value."""
     now = stored(_drawn(entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0)), key), "drawn")
     real = now.select(_family("kind").alias("_rk"), F.col("value").alias("_rv")).distinct()
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS + 2 * WIDE):
         tagged = now.withColumn("_f", _family("kind"))
         holder = tagged.groupBy(F.col("_f").alias("_hf"), F.col("drawn").alias("_hd")).agg(
             F.min(F.struct("kind", "value")).alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -248,9 +261,11 @@ def distinct_surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         judged = stored(seen.select("kind", "value", "attempt", "drawn", again.alias("again")), "judged")
         if judged.where("again").isEmpty():
             return judged.drop("again")
-        new = _drawn(judged.where("again").select("kind", "value", (F.col("attempt") + 1).cast("int").alias("attempt")), key)
+        # a pool may be full: what still collides after ROUNDS goes on to pools that grow with each draw
+        following = F.col("attempt") + 1 if turn + 1 < ROUNDS else F.greatest(F.col("attempt") + 1, F.lit(WIDE))
+        new = _drawn(judged.where("again").select("kind", "value", following.cast("int").alias("attempt")), key)
         now = stored(judged.where("NOT again").drop("again").unionByName(new), "drawn")
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} draws")
+    raise RuntimeError(f"surrogates still collide after {ROUNDS + 2 * WIDE} draws")
 
 
 def replace_pii(docs: DataFrame, key: bytes = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -82,3 +82,16 @@ def test_names_are_taken_whole():
             assert text[start:end] == name and kind.startswith("name/"), (text, text[start:end])
     assert pii.detect("Mr and Mrs were out, Dr 5 of them") == []
     assert pii.detect("Mr Smith del todo")[0][3] == "smith"
+
+
+def test_full_pools_are_widened(spark, monkeypatch):
+    """Every surrogate of the pool is a real value: no draw within it can ever succeed."""
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    rows = [("email", f"{digit}@{letter}.org") for digit in range(10) for letter in "abcdefghijklmnopqrstuvwxyz"]
+    out = pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, value string")).collect()
+    drawn = {r.drawn for r in out}
+    assert len(out) == len(drawn) == len(rows) and not drawn & {v for _, v in rows}
+    wide = pii.surrogate("email", "a@x.org", pii.WIDE)
+    assert len(wide) == len("ab@x.org") and pii.written("email", "A@X.org", wide) == wide[:2].upper() + "@" + wide[3:4].upper() + ".org"
+    assert [len(pii.surrogate("name/m/latin", "weber", n).split("-")[1]) for n in (1, pii.WIDE, pii.WIDE + 1)] == [3, 4, 5]
+    assert pii.surrogate("ip", "192.168.1.1", pii.WIDE).startswith("10.") and pii.written("phone", "+49 30 1234", pii.surrogate("phone", "+49301234", pii.WIDE)).startswith("+49 ")
