@@ -40,6 +40,17 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, with underscores added until ``df`` has no column called so (whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fits_broadcast(table: DataFrame) -> bool:
     """Measured, not estimated: rows, and bytes of every value written out as text."""
     values = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) + 16 for f in table.schema.fields]

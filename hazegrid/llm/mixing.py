@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import WORD_GAP, join_measured, running_sums, stored
+from hazegrid.llm.common import free_names, join_measured, running_sums, stored, WORD_GAP
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -133,13 +133,18 @@ def shares_taken(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", so
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, unchanged, each as often as the mix sends it."""
+    """The rows of ``docs``, unchanged, each as often as the mix sends it.
+
+    Texts without a word (null, empty, blank) are never sent; a null source is a source; rows equal in id
+    and text are sent equally often; columns of any name pass through."""
+    own, of, most, last, copy = free_names(docs, "_key", "_source", "_most", "_last", "_copy")
     mix = plan(docs, doc_id, text, source)
     sent = mix.rows.where("size > 0").withColumn("_n", mix.times_sent())
-    most = stored(sent.groupBy(F.col("source").alias("_source")).agg(F.max("_n").alias("_most")), "most")
-    last = stored(join_measured(sent, most, [("source", "_source")]).where("_n = _most").groupBy("_source", "_most").agg(F.max("key").alias("_last")), "last")
-    keyed = docs.withColumn("_key_", shuffle_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))).where(n_words(F.col(f"`{text}`")) > 0)
-    named = join_measured(keyed, last, [(source, "_source")], "inner")
-    copies = F.when(F.col("_key_") <= F.col("_last"), F.col("_most")).otherwise(F.col("_most") - 1)
-    repeated = named.withColumn("_copy_", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    top = stored(sent.groupBy(F.col("source").alias("_source")).agg(F.max("_n").alias("_most")), "most")
+    ends = join_measured(sent, top, [("source", "_source")]).where("_n = _most").groupBy("_source", "_most").agg(F.max("key").alias("_last"))
+    ends = stored(ends.select(F.col("_source").alias(of), F.col("_most").alias(most), F.col("_last").alias(last)), "last")
+    keyed = docs.withColumn(own, shuffle_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))).where(n_words(F.col(f"`{text}`")) > 0)
+    named = join_measured(keyed, ends, [(source, of)], "inner")
+    copies = F.when(F.col(own) <= F.col(last), F.col(most)).otherwise(F.col(most) - 1)
+    repeated = named.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import fits_broadcast, in_batches, join_measured, scratch, stored, texts
+from hazegrid.llm.common import free_names, in_batches, join_measured, scratch, stored
 from hazegrid.llm.graph import components
 
 SMALL = 64
@@ -47,14 +47,20 @@ def hashes(items: list[bytes], seed: int) -> np.ndarray:
 
 def fingerprint(words: list[bytes], k: int, seed: int) -> int:
     """Bit i is set where over half the shingles' hashes have it."""
-    items = shingles(words, k)
-    if not items:
+    if not words:
         return 0
+    n = max(len(words) - k + 1, 1)
     ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(items), _STEP):
-        h = hashes(items[i:i + _STEP], seed)
+    for i in range(0, n, _STEP):
+        h = hashes(shingles(words[i:i + _STEP + k - 1], k), seed)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(items)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def _prints_of(column: pa.Array, k: int, seed: int) -> pa.Array:
+    """Fingerprints of a string column as signed longs; the words of one text at a time."""
+    f = [fingerprint((t or b"").lower().split(), k, seed) for t in column.cast(pa.binary()).to_pylist()]
+    return pa.array(np.array(f, dtype=np.uint64).view(np.int64))
 
 
 def fingerprints(rows: DataFrame, text: str, k: int, seeds: Sequence[int]) -> DataFrame:
@@ -63,8 +69,7 @@ def fingerprints(rows: DataFrame, text: str, k: int, seeds: Sequence[int]) -> Da
     names = [f"f{i}" for i in range(len(seeds))]
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        words = [t.lower().split() for t in texts(b.column(text))]
-        prints = [pa.array(np.array([fingerprint(w, k, s) for w in words], dtype=np.uint64).view(np.int64)) for s in seeds]
+        prints = [_prints_of(b.column(text), k, s) for s in seeds]
         return pa.RecordBatch.from_arrays([*(b.column(c) for c in others), *prints], [*others, *names])
 
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others), *(f"{n} long" for n in names)])
@@ -207,18 +212,20 @@ def links(prints: DataFrame, radius: int, widths: Sequence[int], tasks: int) ->
     return rows.mapInArrow(match, ", ".join(f"{c} long" for c in out))
 
 
+def _linked(prints: DataFrame, radius: int) -> DataFrame:
+    """(node, root) of the distinct stored fingerprints f0 that others are linked to."""
+    if not 0 <= radius <= 3:
+        raise ValueError("two segments of 32 bits find every pair within 3 bits, not beyond")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return components(links(prints, radius, HALVES, tasks).select(F.col("a0").alias("a"), F.col("b0").alias("b")))
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: smallest id reachable over links of at
     most ``radius`` (0 to 3) differing bits. A component whose ids are all null has a null id."""
-    if not 0 <= radius <= 3:
-        raise ValueError("two segments of 32 bits find every pair within 3 bits, not beyond")
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = stored(fingerprints(rows, "text", k, [seed]), "prints")
-    prints = stored(rows.select("f0").distinct(), "distinct")
-    found = links(prints, radius, HALVES, tasks).select(F.col("a0").alias("a"), F.col("b0").alias("b"))
-    roots = components(found)
+    roots = _linked(stored(rows.select("f0").distinct(), "distinct"), radius)
     least = stored(rows.groupBy("f0").agg(F.min("doc_id").alias("least")), "least")
     of_root = least.join(roots, F.col("f0") == F.col("node"), "left").select(F.col("f0").alias("_f"), F.coalesce("root", "f0").alias("_root"), "least")
     ids = of_root.groupBy(F.col("_root").alias("_r")).agg(F.min("least").alias("component_id"))
@@ -227,283 +234,31 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near copies by five-word shingles -------------------------------------------------------
-
-SHINGLE = 5
-SIMILARITY = 0.8
-SAMPLE = 20_000  # texts whose shingles are counted to tell common ones
-COMMON = 8  # ... of which so many must share a shingle
-MIXED = (8, 8, SMALL)  # per round: larger buckets are thinned to hubs, in the last round only cut into pieces
-_BITS = 1024
-_PAIRS = 1 << 18  # pairs emitted at a time
-
-
-def _as_long(h: np.ndarray) -> np.ndarray:
-    return np.unique(h.astype(np.uint64)).view(np.int64)
-
-
-def _shingle_set(text: bytes) -> np.ndarray:
-    return _as_long(hashes(shingles(text.lower().split(), SHINGLE), 0))
-
-
-def _least_shared(total, similarity: float):
-    """Sets of ``total`` elements together reach ``similarity`` only with so many in common; never too high."""
-    return np.ceil(similarity / (1 + similarity) * total - 1e-6)
-
-
-def _parity(items: np.ndarray) -> bytes:
-    """Each element flips one of the bits: two sets differ in at least as many elements as these in bits."""
-    flips = np.bincount((items.view(np.uint64) % np.uint64(_BITS)).astype(np.int64), minlength=_BITS)
-    return np.packbits(flips & 1).tobytes()
-
-
-def _common(bodies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles common in a sample of the texts, ascending, and how often they occur there. They only
-    decide the order in which shingles are taken; every order finds the same pairs."""
-    k = max(1, bodies.count() // SAMPLE)
-
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_shingle_set(t) for t in texts(b.column("text"))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets]))], ["h"])
-
-    some = bodies.where(F.pmod(F.xxhash64("node"), F.lit(k)) == 0).select("text").mapInArrow(in_batches(one), "h long")
-    found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toArrow()
-    h, n = (np.asarray(found.column(c), dtype=np.int64) for c in ("h", "n"))
-    order = np.argsort(h)
-    return h[order], n[order]
-
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, unchanged, without all but one of each group that ``simhash_groups`` forms
+    with the same ``k``, ``seed`` and ``radius``: the one with the smallest id, null last.
 
-def _prefixes(bodies: DataFrame, similarity: float) -> DataFrame:
-    """(h, id, hot) for the rarest shingles of each text: as many that two texts within
-    ``similarity`` have one of them in common, whatever the others are; hot if known to be common."""
-    common = bodies.sparkSession.sparkContext.broadcast(_common(bodies))
-
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        known, times = common.value
-        keys, hot, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)], []
-        for i, t in enumerate(texts(b.column("text"))):
-            items = _shingle_set(t)
-            n = len(items)
-            if n:
-                first = n - int(np.ceil(similarity * n - 1e-6)) + 1
-                rank = np.zeros(n, dtype=np.int64)
-                if len(known):
-                    spot = np.minimum(np.searchsorted(known, items), len(known) - 1)
-                    rank = np.where(known[spot] == items, times[spot], 0)
-                taken = np.lexsort((items, rank))[:first]
-                keys.append(items[taken]), hot.append(rank[taken] > 0)
-                at.append(np.full(first, i))
-        where = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("id").take(pa.array(where)), pa.array(np.concatenate(hot))], ["h", "id", "hot"])
-
-    return bodies.select("id", "text").mapInArrow(in_batches(one), "h long, id long, hot boolean")
-
-
-def _repeated(rows: DataFrame, tasks: int) -> DataFrame:
-    """The rows (h, id) whose ``h`` another row has too."""
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, ids, met = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False  # the last row waits for the next
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h, ids = (np.r_[x, b.column(c).to_numpy()] for x, c in ((h, "h"), (ids, "id")))
-            same = h[1:] == h[:-1]
-            good = np.r_[met, same[:-1]] | same if len(same) else np.zeros(0, dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][good]) for x in (h, ids)], ["h", "id"])
-            met = bool(same[-1]) if len(same) else met
-            h, ids = h[-1:], ids[-1:]
-        if met:
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids)], ["h", "id"])
-
-    return rows.select("h", "id").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(keep, "h long, id long")
-
-
-def _parities(bodies: DataFrame) -> DataFrame:
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_shingle_set(t) for t in texts(b.column("text"))]
-        bits = pa.array(list(map(_parity, sets)), pa.binary())
-        return pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in sets], pa.int64()), bits], ["_p", "n", "bits"])
-
-    return bodies.select("id", "text").mapInArrow(in_batches(one), "_p long, n long, bits binary")
-
-
-def _candidates(bucket: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, small: int, last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one bucket that have different roots and may be within ``similarity``: all of
-    them in buckets of up to ``small`` rows and in the ``last`` round, else each row with one hub."""
-
-    def may(i, j) -> np.ndarray:
-        total = n[i] + n[j]
-        shared = _least_shared(total, similarity)
-        ok = (roots[i] != roots[j]) & (np.minimum(n[i], n[j]) >= shared)
-        return ok & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64) <= total - 2 * shared)
-
-    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    size = np.diff(np.r_[edge, len(bucket)])
-    index, length = np.arange(len(bucket)), np.repeat(size, size)
-    for k in range(1, small):
-        i = index[(length > k) & (length <= small)]
-        i = i[i + k < len(bucket)]
-        i = i[bucket[i] == bucket[i + k]]
-        if not len(i):
-            break
-        i = i[may(i, i + k)]
-        yield i, i + k
-    for s, m in zip(edge[size > small], size[size > small]):
-        left = np.arange(s, s + m)
-        if (roots[left] == roots[s]).all():
-            continue
-        while len(left) > 1:
-            x, left = left[0], left[1:]
-            near = may(np.full(len(left), x), left)
-            yield np.full(int(near.sum()), x), left[near]
-            if not last:
-                left = left[~near]
-
-
-def _met(rows: DataFrame, bits: DataFrame, similarity: float, turn: int, tasks: int) -> DataFrame:
-    """Candidate pairs (a, b) among rows (h, id, root) of equal ``h``; buckets of over
-    ``CHUNK`` rows are dealt out in chunks, in the last round every two of them together."""
-    small, last = MIXED[turn], turn == len(MIXED) - 1
-    mixed = rows.groupBy(F.col("h").alias("_h")).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    mixed = stored(mixed.where("_lo < _hi").select("_h", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_k")), "mixed")
-    mine, others = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"), F.sequence(F.lit(0), F.col("_k") - 1)
-    chunks = F.transform(others, lambda j: F.least(j, mine) * F.col("_k") + F.greatest(j, mine)) if last else F.array(mine)
-    live = join_measured(rows, mixed, [("h", "_h")], "inner").select("h", "id", "root", F.explode(chunks).alias("chunk"))
-    live = join_measured(live, bits, [("id", "_p")], "inner").drop("_p")
-    live = live.withColumn("turn", F.xxhash64("id", F.lit(turn))).repartition(tasks, "h", "chunk").sortWithinPartitions("h", "chunk", "turn")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            h, chunk, n, ids, roots = (t.column(c).to_numpy() for c in ("h", "chunk", "n", "id", "root"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, _BITS // 64)
-            bucket = np.cumsum(np.r_[False, (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])])
-            found, held = [], 0
-
-            def out() -> pa.RecordBatch:
-                sides = [np.concatenate([f[k] for f in found]) for k in (0, 1)]
-                return pa.RecordBatch.from_arrays([pa.array(ids[i]) for i in sides], ["a", "b"])
-
-            for pair in _candidates(bucket, roots, n, bits, similarity, small, last):
-                found.append(pair)
-                held += len(pair[0])
-                if held >= _PAIRS:
-                    yield out()
-                    found, held = [], 0
-            if held:
-                yield out()
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rest = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            h, chunk = rest.column("h").to_numpy(), rest.column("chunk").to_numpy()
-            before = np.flatnonzero((h != h[-1]) | (chunk != chunk[-1]))
-            if len(before):  # the last bucket may go on in the next batch
-                yield from done(rest.slice(0, int(before[-1]) + 1))
-                rest = rest.slice(int(before[-1]) + 1)
-        if rest is not None:
-            yield from done(rest)
-
-    pairs = live.drop("turn").mapInArrow(match, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _close(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
-    """The stored ``pairs`` whose full shingle sets are within ``similarity``."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_n")).distinct(), "wanted")
-
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [_shingle_set(t) for t in texts(b.column("text"))]
-        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    sets = join_measured(bodies, wanted, [("id", "_n")], "left_semi").select("id", "text")
-    sets = sets.mapInArrow(in_batches(one), "id long, shingles array<long>")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb"))
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    return pairs.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("_sa") + F.size("_sb") - shared)).select("a", "b")
-
-
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): the MD5 of each text that has a near copy and the smallest MD5 of its group.
-
-    Groups are connected by pairs whose sets of five-word shingles have at least ``similarity`` in
-    common (Jaccard); all such pairs count. Two sets of which one has n elements reach it only with
-    ``similarity * n`` in common, so both have a common element among the others' number plus one,
-    taken in any order that is the same for all texts (prefix filter). The order puts shingles that
-    many texts have last. Texts that meet under a shingle are compared by size and by a parity bitmap,
-    both of which never reject a pair within ``similarity``, and what is left on the full sets.
-
-    A large group is not emitted as pairs: in the first rounds a row of a large bucket meets one hub, the
-    pairs are checked, and rows in one group by checked pairs are not compared again. The last round takes
-    every pair of rows that are still in different groups, so no pair goes unchecked.
+    Defined results: of rows equal in id or all without one, one stays; null, empty and blank texts are one group
+    (fingerprint zero), joined by any text whose fingerprint has up to ``radius`` bits; columns of any name pass through.
     """
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch(spark, "bodies")
-    _bodies(docs, doc_id, text).write.option("compression", "zstd").parquet(path)
-    bodies = spark.read.parquet(path)
-    prefixes = stored(_prefixes(bodies, similarity), "prefixes")
-    rows = stored(_repeated(prefixes.where("NOT hot"), tasks).union(prefixes.where("hot").select("h", "id")), "rows")
-    some = stored(rows.select(F.col("id").alias("_n")).distinct(), "some")
-    bits = stored(_parities(join_measured(bodies, some, [("id", "_n")], "left_semi")), "parities")
-
-    blank = bodies.where(F.col("blank")).select("id")
-    edges = stored(blank.crossJoin(F.broadcast(blank.agg(F.min("id").alias("b")))).select(F.col("id").alias("a"), "b").where("a != b"), "blank")
-    checked = None
-    groups = components(edges)
-    for turn in range(len(MIXED)):
-        named = join_measured(rows, stored(groups.select(F.col("node").alias("_n"), "root"), "groups"), [("id", "_n")])
-        pairs = _met(named.select("h", "id", F.coalesce("root", "id").alias("root")), bits, similarity, turn, tasks)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        good = stored(_close(pairs, bodies, similarity), "close")
-        if not good.isEmpty():
-            edges = edges.union(good)
-            groups = components(edges)
-    names = bodies.select(F.col("id").alias("_b"), F.col("node").alias("_name"))
-    named = stored(groups.join(names, F.col("node") == F.col("_b")).select(F.col("_name").alias("node"), F.col("root").alias("_root")), "named")
-    least = stored(named.groupBy(F.col("_root").alias("_r")).agg(F.min("node").alias("root")), "least")
-    return join_measured(named, least, [("_root", "_r")], "inner").select("node", "root")
-
-
-def _bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, text, blank, id) of each distinct text, once; the number ``id`` holds within what is written."""
-    rows = docs.select(F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("node"), F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("text"))
-    times = rows.groupBy("node", "_id").agg(F.count(F.lit(1)).alias("_times"))
-    carrier = stored(times.groupBy(F.col("node").alias("_n")).agg(F.min(F.struct("_id", "_times")).alias("w")).select("_n", F.col("w._id").alias("_id0"), F.col("w._times").alias("_times")), "carrier")
-    rows = join_measured(rows, carrier, [("node", "_n"), ("_id", "_id0")], "inner")
-    single = rows.where("_times = 1").select("node", "text")
-    again = rows.where("_times > 1").select("node", "text").dropDuplicates(["node"])
-
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array([not t.split() for t in texts(b.column("text"))])], ["node", "text", "blank"])
-
-    return single.union(again).mapInArrow(in_batches(one), "node binary, text string, blank boolean").withColumn("id", F.monotonically_increasing_id())
-
-
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, unchanged, without all but one of each group of equal or near equal
-    texts: the one with the smallest id, null last; of equal rows of one id, one stays."""
-    groups = near_copies(docs, doc_id, text, similarity).select(F.col("node").alias("_n"), "root")
-    digest, key = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))), F.col(f"`{doc_id}`")
-    ids = stored(docs.select(digest.alias("_node"), key.alias("_id")).groupBy("_node", "_id").agg(F.count(F.lit(1)).alias("_times")), "ids")
-    named = join_measured(ids, stored(groups, "groups"), [("_node", "_n")]).withColumn("_root", F.coalesce("root", "_node"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_node").alias("node"), F.col("_times").alias("times")))
-    winners = named.groupBy("_root").agg(first.alias("w")).select(F.col("w.id").alias("_id"), F.col("w.node").alias("_node"), F.col("w.times").alias("_times"))
-    winners = stored(winners, "winners")
-    losers = stored(ids.alias("i").join(winners.alias("w"), F.col("i._id").eqNullSafe(F.col("w._id")) & (F.col("i._node") == F.col("w._node")), "left_anti")
-                    .select(F.col("_id").alias("_lost"), F.col("_node").alias("_gone")), "losers")
-    marked = docs.withColumn("_digest_", digest)
-    kept = join_measured(marked, losers, [(doc_id, "_lost"), ("_digest_", "_gone")], "left_anti")
-    twins = winners.where("_times > 1").select(F.col("_id").alias("_lost"), F.col("_node").alias("_gone"))
-    if not twins.isEmpty():
-        twins = stored(twins, "twins")
-        single = join_measured(kept, twins, [(doc_id, "_lost"), ("_digest_", "_gone")], "left_anti")
-        again = join_measured(kept, twins, [(doc_id, "_lost"), ("_digest_", "_gone")], "left_semi").dropDuplicates([doc_id, "_digest_"])
-        kept = single.unionByName(again)
+    mark, row = free_names(docs, "_print", "_row")
+
+    @F.arrow_udf("long")
+    def printed(column: pa.Array) -> pa.Array:
+        return _prints_of(column, k, seed)
+
+    path = scratch(spark, "marked")
+    marked = docs.withColumn(mark, printed(F.col(f"`{text}`").cast("string"))).withColumn(row, F.monotonically_increasing_id())
+    marked.write.option("compression", "zstd").parquet(path)
+    marked = spark.read.schema(marked.schema).parquet(path)
+    ids = stored(marked.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{mark}`").alias("f0"), F.col(f"`{row}`").alias("row")), "ids")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("w")
+    least = stored(ids.groupBy("f0").agg(first), "least")
+    roots = _linked(least.select("f0"), radius)
+    winners = join_measured(least, roots, [("f0", "node")]).groupBy(F.coalesce("root", "f0")).agg(F.min("w").alias("w"))
+    winners = stored(winners.select(F.col("w.row").alias("won")), "winners")
+    gone = free_names(marked, "_gone")[0]
+    lost = stored(ids.join(winners, F.col("row") == F.col("won"), "left_anti").select(F.col("row").alias(gone)), "lost")
+    kept = join_measured(marked, lost, [(row, gone)], "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
