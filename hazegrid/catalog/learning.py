@@ -10,6 +10,7 @@ from hazegrid.functions.timefeat import cyclic_features, interaction_features
 from hazegrid.operators import evaluate as E
 from hazegrid.operators import folds as FO
 from hazegrid.operators import models as M
+from hazegrid.operators import slidefit as SF
 from hazegrid.operators.windows import rolling
 from hazegrid.plans.blocks import halo_window
 from hazegrid.session import checkpointed, scratch_dir
@@ -66,6 +67,43 @@ def _(spark, d):
     return preds.withColumn("predicted", F.col("yhat").isNotNull() & ~F.isnan("yhat")).drop("yhat")
 
 
+def _line_rows(spark, d):
+    """Hours of each city that have an index now and a day later."""
+    return checkpointed(targets_grid(spark, d).select("series_id", "ts", "aqi", LABEL).na.drop())
+
+
+LINES_SQL = f"""WITH {targets_sql()}, idx AS (SELECT series_id, ts, aqi AS x, aqi_24h AS y,
+    row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n
+  FROM targets WHERE aqi IS NOT NULL AND aqi_24h IS NOT NULL),
+tagged AS (SELECT *, CASE WHEN i < fold * {STEP} + {TRAIN} THEN 'train' ELSE 'test' END AS split FROM (
+    SELECT *, unnest(generate_series(0, (n - {TRAIN + TEST}) // {STEP})) AS fold FROM idx WHERE n >= {TRAIN + TEST})
+  WHERE i >= fold * {STEP} AND i < fold * {STEP} + {TRAIN + TEST})"""
+
+
+@query("fold_lines", f"""{LINES_SQL} SELECT series_id, fold::INT AS fold, count(*) AS n, regr_slope(y, x) AS slope,
+  regr_intercept(y, x) AS intercept FROM tagged WHERE split = 'train' GROUP BY series_id, fold""", ["slope", "intercept"])
+def _(spark, d):
+    """Slope and intercept of every sliding fold of every city."""
+    lines = SF.linear_folds(_line_rows(spark, d), ["aqi"], LABEL, TRAIN, TEST, STEP, pooled=False)
+    return lines.select("series_id", "fold", "n", F.col("coefficients")[0].alias("slope"), "intercept")
+
+
+@query("fold_lines_pooled", f"""{LINES_SQL} SELECT fold::INT AS fold, count(*) AS n, regr_slope(y, x) AS slope,
+  regr_intercept(y, x) AS intercept FROM tagged WHERE split = 'train' GROUP BY fold""", ["slope", "intercept"])
+def _(spark, d):
+    lines = SF.linear_folds(_line_rows(spark, d), ["aqi"], LABEL, TRAIN, TEST, STEP)
+    return lines.select("fold", "n", F.col("coefficients")[0].alias("slope"), "intercept")
+
+
+@query("fold_line_scores", f"""{LINES_SQL}, lines AS (SELECT fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM tagged WHERE split = 'train' GROUP BY fold)
+SELECT 'linear' AS model, fold::INT AS fold, split, count(*) AS n, sqrt(avg((y - a * x - b) ** 2)) AS rmse, avg(abs(y - a * x - b)) AS mae,
+  1 - avg((y - a * x - b) ** 2) / var_pop(y) AS r2 FROM tagged JOIN lines USING (fold) GROUP BY fold, split""", ["rmse", "mae", "r2"])
+def _(spark, d):
+    """Scores of the pooled line on the training and test rows of every fold."""
+    preds = SF.linear_fold_predictions(_line_rows(spark, d), ["aqi"], LABEL, TRAIN, TEST, STEP)
+    return E.regression_metrics(preds, ["model", "fold", "split"]).select("model", "fold", "split", "n", "rmse", "mae", "r2")
+
+
 def _scored(spark, d, name):
     """Fit on the first 80 % of each series, metrics on both parts."""
     t = training_table(spark, d).where(F.col(LABEL).isNotNull())

@@ -25,6 +25,7 @@ from hazegrid import constants as K
 from hazegrid.operators import evaluate as E
 from hazegrid.operators import folds as FO
 from hazegrid.operators import profile as P
+from hazegrid.operators import slidefit as SF
 from hazegrid.operators.clean import clip_iqr, ffill, fill_both
 from hazegrid.plans.attach import attach
 from hazegrid.session import checkpointed
@@ -166,9 +167,14 @@ def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str]
                    presets: Mapping | None = None) -> DataFrame:
     """Predictions of every model on every sliding fold, as one long table with ``split``.
 
-    The fold-assigned rows are written once; each fit reads its fold from there.
+    Linear models are fitted on all folds at once from block moments; leading gaps then take the fold's training
+    means. For the others the fold-assigned rows are written once, and each fit reads its fold from there.
     """
-    tagged = checkpointed(FO.assign_folds(filled_features(df, features, label, keys, ts), train, test, step, keys, ts))
+    filled = checkpointed(filled_features(df, features, label, keys, ts))
+    lines = [name for name in models if (presets or PRESETS)[name]["kind"] == "linear"]
+    out = [SF.linear_fold_predictions(filled, features, label, train, test, step, keys, ts, name=name) for name in lines]
+    models = [name for name in models if name not in lines]
+    tagged = checkpointed(FO.assign_folds(filled, train, test, step, keys, ts))
     n_folds = tagged.agg(F.max("fold").alias("m")).first().m
     if n_folds is None:
         raise ValueError(f"not enough rows for one fold of {train} + {test}")
@@ -177,8 +183,7 @@ def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str]
     flagged = attach(tagged, first, [*keys, "fold"]).withColumn(
         "is_validation", (F.col("split") == "train") & (F.col("row_idx") > F.col("_top") - size)
     )
-    out = []
-    for fold in range(n_folds + 1):
+    for fold in range(n_folds + 1 if models else 0):
         part = flagged.where(F.col("fold") == fold)
         for name in models:
             model = fit(part.where(F.col("split") == "train"), name, features, label, presets)
