@@ -8,6 +8,7 @@ from hazegrid import constants as K
 from hazegrid.catalog.base import BASE, aqi_grid, aqi_grid_sql, hourly_panel, panel_sql, query, targets_grid, targets_sql
 from hazegrid.functions.timefeat import cyclic_features, interaction_features
 from hazegrid.operators import evaluate as E
+from hazegrid.operators import extratrees as X
 from hazegrid.operators import folds as FO
 from hazegrid.operators import models as M
 from hazegrid.operators import slidefit as SF
@@ -56,6 +57,14 @@ def _(spark, d):
     return M.fit_eval_folds(training_table(spark, d), ("linear", "decision_tree"), CORE, LABEL, TRAIN, TEST, STEP)
 
 
+@query("cv_ensemble")
+def _(spark, d):
+    """Extra trees, the line and their mean on every fold: scores per model, as in the choice of a model."""
+    preds = M.fit_eval_folds(training_table(spark, d), ("linear", "extra_trees"), FEATURES, LABEL, TRAIN, TEST, STEP,
+                             ensembles={"mean_of_both": ["linear", "extra_trees"]})
+    return E.regression_metrics(preds, ["model", "fold", "split"])
+
+
 @query("cv_prediction_rows", f"""WITH {targets_sql()}, idx AS (SELECT series_id, ts, aqi_24h AS y,
     row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM targets),
 f AS (SELECT *, unnest(generate_series(0, (n - {TRAIN + TEST}) // {STEP})) AS fold FROM idx)
@@ -132,6 +141,35 @@ _model_query("model_gbt", "gradient_boosting")
 _model_query("model_gbt_earlystop", "gbt_leafy")
 
 
+_model_query("model_extra_trees", "extra_trees")
+
+
+ROOTS = X.Settings(trees=60, depth=1)
+ROOT_FEATURES = ("aqi", "pm10", "temperature", "humidity")
+_WIDE = " UNION ALL ".join(f"SELECT {i} AS j, '{c}' AS name, {c}::DOUBLE AS x, y FROM ok" for i, c in enumerate(ROOT_FEATURES))
+
+
+@query("extra_trees_roots", f"""WITH {targets_sql()},
+ok AS (SELECT *, floor(aqi_24h * {X.UNIT} + 0.5)::BIGINT AS y FROM targets
+  WHERE aqi_24h IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in ROOT_FEATURES)}),
+wide AS ({_WIDE}), ranges AS (SELECT j, name, min(x) AS low, max(x) AS high FROM wide GROUP BY j, name HAVING min(x) < max(x)),
+drawn AS (SELECT tree, j, name, low, high, md5('{ROOTS.seed}:' || tree || ':1:' || j) AS h FROM ranges, (SELECT unnest(range({ROOTS.trees})) AS tree)),
+cuts AS (SELECT *, low + (('0x' || h[1:13])::BIGINT / {1 << 52}) * (high - low) AS cut FROM drawn
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY h[14:26]) <= {ROOTS.candidates(len(ROOT_FEATURES))}),
+sides AS (SELECT tree, j, name, cut, count(*) AS n, sum(CASE WHEN x <= cut THEN 1 ELSE 0 END)::DOUBLE AS a,
+    sum(CASE WHEN x <= cut THEN y ELSE 0 END)::DOUBLE / {X.UNIT} AS b, sum(y)::DOUBLE / {X.UNIT} AS s,
+    (sum(y) - sum(CASE WHEN x <= cut THEN y ELSE 0 END))::DOUBLE / {X.UNIT} AS c FROM cuts JOIN wide USING (j, name) GROUP BY tree, j, name, cut),
+won AS (SELECT *, b * b / a + c * c / (n - a) - s * s / n AS gain FROM sides WHERE a >= {ROOTS.min_leaf} AND n - a >= {ROOTS.min_leaf}
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY gain DESC, j) = 1)
+SELECT tree::INT AS tree, n, name AS feature, cut, gain FROM won WHERE gain > 0""", ["cut", "gain"])
+def _(spark, d):
+    """First cut of every tree of a forest: keyed draws between least and greatest values, the best by variance."""
+    t = targets_grid(spark, d).select(*ROOT_FEATURES, LABEL).na.drop()
+    nodes = X.fit_extra_trees(t, ROOT_FEATURES, LABEL, ROOTS).nodes().where("node = 1 AND feature >= 0")
+    names = F.array(*map(F.lit, ROOT_FEATURES))
+    return nodes.select("tree", "n", names[F.col("feature")].alias("feature"), "cut", "gain")
+
+
 @query("model_linear", f"""WITH {targets_sql('station')}, ok AS (SELECT * FROM targets WHERE aqi IS NOT NULL AND aqi_24h IS NOT NULL)
 SELECT round(regr_slope(aqi_24h, aqi), 4) AS slope, round(regr_intercept(aqi_24h, aqi), 4) AS intercept, count(*) AS n FROM ok""",
        ["slope", "intercept"])

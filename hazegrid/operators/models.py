@@ -1,8 +1,8 @@
 """Model selection, validation and scoring with Spark ML.
 
-The boosted-tree libraries and extra trees of the single-machine pipeline have no Spark ML twin;
-their roles are played by presets of ``GBTRegressor`` and by a forest without bootstrap, under
-names that say so. Fits run on the pooled rows of all series.
+The boosted-tree libraries of the single-machine pipeline have no Spark ML twin; their roles are played by
+presets of ``GBTRegressor``, under names that say so. Extra trees are grown by ``extratrees``. Fits run on the
+pooled rows of all series.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from hazegrid import constants as K
 from hazegrid.operators import evaluate as E
+from hazegrid.operators import extratrees as X
 from hazegrid.operators import folds as FO
 from hazegrid.operators import profile as P
 from hazegrid.operators import slidefit as SF
@@ -31,6 +32,7 @@ from hazegrid.plans.attach import attach
 from hazegrid.session import checkpointed
 
 KEY = ("series_id",)
+FOLDS_AT_ONCE = 16  # forests of so many folds are grown together (about 9 MB each at full settings)
 
 # Tuned settings per model. A depth of 30 is the most that Spark ML grows.
 PRESETS = {
@@ -41,6 +43,7 @@ PRESETS = {
     "forest_importance": dict(kind="forest", numTrees=100, maxDepth=30),
     "forest_nobootstrap": dict(kind="forest", numTrees=251, maxDepth=9, minInstancesPerNode=20, bootstrap=False,
                                featureSubsetStrategy="0.6449383229836702"),
+    "extra_trees": dict(kind="extra", trees=251, depth=9, min_leaf=20, min_split=10, share=0.6449383229836702),
     "gradient_boosting": dict(kind="gbt", maxIter=115, maxDepth=3, stepSize=0.1436659003499937, minInstancesPerNode=2),
     "gbt_deep_slow": dict(kind="gbt", maxIter=672, maxDepth=7, stepSize=0.018212208878911028,
                           subsamplingRate=0.6076978090537759, early=True),
@@ -49,7 +52,7 @@ PRESETS = {
     "gbt_leafy": dict(kind="gbt", maxIter=500, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
                       minInstancesPerNode=20, early=True),
 }
-ENSEMBLES = {"ensemble_mean3": ["gbt_deep_slow", "gbt_deep", "forest_nobootstrap"]}
+ENSEMBLES = {"ensemble_mean3": ["gbt_deep_slow", "gbt_deep", "extra_trees"]}
 SEED = 42
 
 
@@ -83,8 +86,16 @@ def needs_validation(name: str, presets: Mapping | None = None) -> bool:
     return bool((presets or PRESETS)[name].get("early"))
 
 
-def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets: Mapping | None = None) -> PipelineModel:
+def trees_of(name: str, presets: Mapping | None = None) -> X.Settings | None:
+    """Settings of an extra-trees preset, None for other kinds."""
+    spec = dict((presets or PRESETS)[name])
+    return X.Settings(**spec, seed=SEED) if spec.pop("kind") == "extra" else None
+
+
+def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets: Mapping | None = None) -> PipelineModel | X.ExtraTrees:
     """Fit on rows with a label; early-stopped models read ``is_validation``."""
+    if trees_of(name, presets):
+        return X.fit_extra_trees(df, features, label, trees_of(name, presets))
     extra = [F.col("is_validation")] if "is_validation" in df.columns else []
     rows = as_double(df.select(*features, label, *extra), [*features, label]).where(F.col(label).isNotNull())
     return estimator(name, features, label, presets).fit(rows)
@@ -92,6 +103,8 @@ def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets:
 
 def importances(model: PipelineModel, features: Sequence[str], name: str, spark: SparkSession) -> DataFrame:
     """Feature importances (one row per feature column)."""
+    if isinstance(model, X.ExtraTrees):
+        return model.importances(name)
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else None
     if values is None:
@@ -164,16 +177,19 @@ def filled_features(df: DataFrame, features: Sequence[str], label: str, keys: Se
 
 def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str], label: str, train: int = K.CV_TRAIN,
                    test: int = K.CV_TEST, step: int = K.CV_STEP, keys: Sequence[str] = KEY, ts: str = "ts",
-                   presets: Mapping | None = None) -> DataFrame:
+                   presets: Mapping | None = None, ensembles: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Predictions of every model on every sliding fold, as one long table with ``split``.
 
     Linear models are fitted on all folds at once from block moments; leading gaps then take the fold's training
-    means. For the others the fold-assigned rows are written once, and each fit reads its fold from there.
+    means. Extra trees are grown for ``FOLDS_AT_ONCE`` folds together. For the others the fold-assigned rows are written
+    once, and each fit reads its fold from there. ``ensembles`` average at least two of their members on the test rows.
     """
     filled = checkpointed(filled_features(df, features, label, keys, ts))
     lines = [name for name in models if (presets or PRESETS)[name]["kind"] == "linear"]
     out = [SF.linear_fold_predictions(filled, features, label, train, test, step, keys, ts, name=name) for name in lines]
     models = [name for name in models if name not in lines]
+    forests = {name: trees_of(name, presets) for name in models if trees_of(name, presets)}
+    models = [name for name in models if name not in forests]
     tagged = checkpointed(FO.assign_folds(filled, train, test, step, keys, ts))
     n_folds = tagged.agg(F.max("fold").alias("m")).first().m
     if n_folds is None:
@@ -192,7 +208,16 @@ def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str]
                     F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"
                 )
             )
-    return checkpointed(reduce(DataFrame.unionByName, out))
+    for name, settings in forests.items():
+        for start in range(0, n_folds + 1, FOLDS_AT_ONCE):
+            part = tagged.where(F.col("fold").between(start, start + FOLDS_AT_ONCE - 1))
+            grown = X.fit_extra_trees(part.where(F.col("split") == "train"), features, label, settings, group="fold")
+            out.append(grown.transform(part).select(F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"))
+    preds = checkpointed(reduce(DataFrame.unionByName, out))
+    for name, members in (ensembles or {}).items():
+        tests = preds.where(F.col("split") == "test")
+        preds = preds.unionByName(E.ensemble_mean(tests, members, name, ["fold", "split", *keys, ts, "y"], 2).drop("members"))
+    return preds
 
 
 def train_final(df: DataFrame, models: Sequence[str], features: Sequence[str], label: str, keys: Sequence[str] = KEY,
@@ -206,11 +231,15 @@ def train_final(df: DataFrame, models: Sequence[str], features: Sequence[str], l
 
 def save_models(models: Mapping[str, PipelineModel], path: str) -> None:
     for name, model in models.items():
-        model.write().overwrite().save(f"{path}/{name}")
+        if isinstance(model, X.ExtraTrees):
+            model.save(f"{path}/{name}")
+        else:
+            model.write().overwrite().save(f"{path}/{name}")
 
 
-def load_models(path: str, names: Sequence[str]) -> dict[str, PipelineModel]:
-    return {name: PipelineModel.load(f"{path}/{name}") for name in names}
+def load_models(path: str, names: Sequence[str], presets: Mapping | None = None) -> dict[str, PipelineModel | X.ExtraTrees]:
+    spark = SparkSession.getActiveSession()
+    return {name: X.ExtraTrees.load(spark, f"{path}/{name}") if trees_of(name, presets) else PipelineModel.load(f"{path}/{name}") for name in names}
 
 
 def predict_batch(df: DataFrame, models: Mapping[str, PipelineModel], features: Sequence[str], keys: Sequence[str] = KEY,

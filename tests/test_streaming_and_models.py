@@ -90,26 +90,31 @@ def trend(spark):
 
 
 QUICK = {**M.PRESETS, "forest_importance": dict(kind="forest", numTrees=5, maxDepth=4),
-         "gbt_leafy": dict(kind="gbt", maxIter=5, maxDepth=3, early=True)}
+         "extra_trees": dict(kind="extra", trees=4, depth=4, min_leaf=5), "gbt_leafy": dict(kind="gbt", maxIter=5, maxDepth=3, early=True)}
 
 
 def test_validation_covers_every_fold_row(trend):
-    preds = M.fit_eval_folds(trend, ("linear", "gbt_leafy"), ["x", "z"], "y", 120, 60, 40, presets=QUICK)
-    assert preds.count() == 2 * 2 * 3 * 180
+    preds = M.fit_eval_folds(trend, ("linear", "gbt_leafy", "extra_trees"), ["x", "z"], "y", 120, 60, 40, presets=QUICK,
+                             ensembles={"pair": ["gbt_leafy", "extra_trees"], "alone": ["linear", "absent"]})
+    assert preds.count() == 3 * 2 * 3 * 180 + 2 * 3 * 60
+    means = {(r.series_id, r.fold, r.ts): [] for r in preds.where("model = 'pair'").collect()}
+    for r in preds.where("split = 'test' AND model IN ('gbt_leafy', 'extra_trees')").collect():
+        means[r.series_id, r.fold, r.ts].append(r.yhat)
+    assert all(r.yhat == pytest.approx(sum(means[r.series_id, r.fold, r.ts]) / 2) for r in preds.where("model = 'pair'").collect())
     scores = {r.model: r for r in E.generalization(E.regression_metrics(preds, ["model", "fold", "split"])).collect()}
     assert scores["linear"].avg_test_r2 == pytest.approx(1.0, abs=1e-6) and scores["linear"].prediction_quality == "Good"
     assert scores["gbt_leafy"].avg_test_r2 > 0.5
 
 
 def test_training_run_and_reload(spark, trend, tmp_path):
-    row = M.run_training(trend.withColumnRenamed("y", "aqi_24h"), 24, ["x", "z", "aqi_48h"][:2], ("linear", "decision_tree"),
+    row = M.run_training(trend.withColumnRenamed("y", "aqi_24h"), 24, ["x", "z", "aqi_48h"][:2], ("linear", "extra_trees"),
                          train=120, test=60, step=40, presets=QUICK, max_features=2, model_path=str(tmp_path)).first()
     assert row.model == "linear" and row.description == "The best model for 24h is linear" and row.feature_count >= 1
-    models = M.load_models(str(tmp_path), ["linear", "decision_tree"])
+    models = M.load_models(str(tmp_path), ["linear", "extra_trees"], QUICK)
     features = ["x", "z"][: row.feature_count]
     preds = M.predict_batch(trend, models, ["x"] if row.feature_count == 1 else ["x", "z"],
-                            ensembles={"both": ["linear", "decision_tree"], "alone": ["linear", "absent"]})
-    assert features and {r.model for r in preds.select("model").distinct().collect()} == {"linear", "decision_tree", "both"}
+                            ensembles={"both": ["linear", "extra_trees"], "alone": ["linear", "absent"]})
+    assert features and {r.model for r in preds.select("model").distinct().collect()} == {"linear", "extra_trees", "both"}
     assert preds.count() == 3 * trend.count()
 
 
