@@ -1,15 +1,18 @@
 """Language-model scores by online logistic context mixing.
 
 A text is its lower-cased words and one end. Words counted at least ``least`` times in training (so
-many that at most ``VOCABULARY`` remain), the end and one escape have Huffman codes; a token is
+many that the vocabulary fits), the end and one escape have Huffman codes; a token is
 predicted bit by bit along its code. At each node of the code tree three predictors speak: the
 node alone, the node with the last token, the node with the last two. The latter two are counts in
-tables of fixed size; a node owns a stretch of them in proportion to its visits, and the context is
+tables; a node owns a stretch of them in proportion to its visits, and the context is
 hashed into that stretch, so contexts that collide share a node. Counts are shrunk to the
-node's own probability, and what enters the mix is their logit minus the node's.
+node's own probability, and what enters the mix is their logit minus the node's. Vocabulary and tables grow with
+the square root of the training tokens (``VOCABULARY``, ``SLOTS``), since every task holds them: without bound, but
+slower than the corpus.
 
 The mix is a logistic sum with weights gated by the depth of the bit. Weights start alike for every
-document and are learned online along it, block after block, by damped Newton steps; a second
+document and are learned online along it, block after block (4 tokens at first, then ever longer ones up
+to 64, and 512 from token 1024 on), by damped Newton steps; a second
 stage, gated by the confidence of the mix, corrects its calibration in the same way. A block is
 predicted from what precedes it only, so the bits add up to a probability of the text, and a
 document's score does not depend on its neighbours or on the partitioning.
@@ -18,8 +21,8 @@ An escaped word is either drawn by its training count or spelled byte by byte, w
 over the last none to three bytes, again counts in hashed tables, each shrunk to the shorter context.
 Spelling is computed once per distinct word.
 
-Corpus counts: words are summed by shuffle; the tables, a fixed size whatever the corpus, are summed
-part by part. Words outside the vocabulary, however many, are looked up by a join.
+Corpus counts: words are summed by shuffle; the tables are summed part by part. Texts are split twice, for the words and for
+their ids, which are stored; counting and scoring read the ids. Words outside the vocabulary, however many, are looked up by a join.
 
 Defined results: a null text is empty, with the end as its only token; a null id counts as the empty
 string when documents are held out; without training documents every token is unknown.
@@ -39,8 +42,8 @@ from pyspark.sql import functions as F
 
 from hazegrid.llm.common import in_batches, stored, texts
 
-VOCABULARY = 1 << 19
-SLOTS = 1 << 20  # of each context table
+VOCABULARY = 55.0  # words with a code of their own: so many times the root of the training tokens
+SLOTS, LEAST_SLOTS = 110.0, 1 << 18  # of each context table, likewise; and at least
 SHRINK = 16.0
 PARTS = 32  # pieces in which a table is summed
 BATCH_WORDS = 100_000
@@ -121,9 +124,9 @@ class Tree:
     def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each bit of all symbols: position of its symbol, depth, node, bit."""
         n = self.length[symbols]
-        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
-        depth = np.arange(len(owner), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
-        step = self.path[np.repeat(self.start[symbols], n) + depth]
+        owner = np.repeat(np.arange(len(symbols)), n)
+        depth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        step = self.path[np.repeat(self.start[symbols], n) + depth].astype(np.int64)  # also used as an index, so not narrower
         return owner, depth, step >> 1, step & 1
 
 
@@ -135,8 +138,8 @@ def _mix64(x: np.ndarray) -> np.ndarray:
 class Layout:
     """Which stretch of the context tables a node owns."""
 
-    def __init__(self, tree: Tree):
-        width = np.maximum(1, (SLOTS * tree.visits / max(1.0, tree.visits.sum())).astype(np.int64))
+    def __init__(self, tree: Tree, slots: int):
+        width = np.maximum(1, (slots * tree.visits / max(1.0, tree.visits.sum())).astype(np.int64))
         self.width = width.astype(np.uint64)
         self.start = np.cumsum(width) - width
         self.size = int(width.sum())
@@ -151,11 +154,11 @@ class Vocabulary:
 
     ESCAPE, END = 0, 1
 
-    def __init__(self, words: list[bytes], counts: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, slots: int = LEAST_SLOTS):
         self.ids = {w: i + 2 for i, w in enumerate(words)}
         self.counts = counts
         self.tree = Tree(np.maximum(counts, 1))
-        self.layout = Layout(self.tree)
+        self.layout = Layout(self.tree, slots)
 
     def parts(self) -> tuple:
         """Plain values, from which ``whole`` makes the vocabulary again without any work."""
@@ -185,25 +188,30 @@ def _contexts(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h1 >> np.uint64(32), _mix64(h1 ^ (two * np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(32)
 
 
-def _groups(batch: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts with about ``BATCH_WORDS`` tokens."""
     start, n = 0, 0
-    for i, w in enumerate(batch):
-        n += len(w) + 1
-        if n >= BATCH_WORDS or i == len(batch) - 1:
+    for i, size in enumerate(sizes):
+        n += size
+        if n >= BATCH_WORDS or i == len(sizes) - 1:
             yield start, i + 1
             start, n = i + 1, 0
 
 
 def context_counts(vocabulary: Vocabulary, batch: list[list[bytes]], tables: np.ndarray) -> None:
     """Add the bits of all texts to ``tables`` [context, bit, slot]."""
-    for a, b in _groups(batch):
-        ids = [vocabulary.encode(w) for w in batch[a:b]]
+    count_ids(vocabulary, [vocabulary.encode(w) for w in batch], tables)
+
+
+def count_ids(vocabulary: Vocabulary, texts_: list[np.ndarray], tables: np.ndarray) -> None:
+    size = vocabulary.layout.size
+    for a, b in _groups(list(map(len, texts_))):
+        ids = texts_[a:b]
         flat = np.concatenate(ids)
         h = _contexts(flat, np.cumsum([0, *map(len, ids[:-1])]))
         owner, _, node, bit = vocabulary.tree.bits(flat)
         for t in range(2):
-            slot = vocabulary.layout.slots(node, h[t][owner])
-            tables[t] += np.bincount(slot + vocabulary.layout.size * bit, minlength=2 * vocabulary.layout.size).reshape(2, -1)
+            np.add.at(tables[t].reshape(-1), vocabulary.layout.slots(node, h[t][owner]) + size * bit, 1)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -220,6 +228,9 @@ def predictors(vocabulary: Vocabulary, tables: np.ndarray) -> tuple[np.ndarray,
     return logit.astype(np.float32), lift
 
 
+_FIRST_BLOCKS = np.repeat(np.arange(5), [4, 4, 8, 16, 32])  # of the first 64 tokens
+
+
 class Mixer:
     """Bits of whole texts under the model."""
 
@@ -228,18 +239,20 @@ class Mixer:
 
     def score(self, batch: list[list[bytes]]) -> np.ndarray:
         """Bits of each text: codes only, without what is behind escapes."""
-        return np.concatenate([self._score(batch[a:b]) for a, b in _groups(batch)]) if batch else np.zeros(0)
+        return self.score_ids([self.vocabulary.encode(w) for w in batch])
+
+    def score_ids(self, texts_: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([self._score(texts_[a:b]) for a, b in _groups(list(map(len, texts_)))]) if texts_ else np.zeros(0)
 
-    def _score(self, docs: list[list[bytes]]) -> np.ndarray:
-        v = self.vocabulary
-        ids = [v.encode(w) for w in docs]
+    def _score(self, ids: list[np.ndarray]) -> np.ndarray:
+        v, docs = self.vocabulary, ids
         size = np.array(list(map(len, ids)))
         flat = np.concatenate(ids)
         first = np.cumsum(size) - size
         h1, h2 = _contexts(flat, first)
         doc = np.repeat(np.arange(len(docs)), size)
         pos = np.arange(len(flat)) - first[doc]
-        block = np.where(pos < 1024, pos // 64, 14 + pos // 512)
+        block = np.where(pos < 64, _FIRST_BLOCKS[np.minimum(pos, 63)], np.where(pos < 1024, 4 + pos // 64, 18 + pos // 512))
         order = np.argsort(block, kind="stable")
         flat, h1, h2, doc, block = flat[order], h1[order], h2[order], doc[order], block[order]
         owner, depth, node, bit = v.tree.bits(flat)
@@ -257,7 +270,7 @@ class Mixer:
         for a, b in zip(ends[:-1], ends[1:]):
             g, u, v_ = gate[a:b], x[0][a:b], x[1][a:b]
             z = base[a:b] + weight[0][g] * u + weight[1][g] * v_
-            level = lane[a:b] * LEVELS + np.clip((z + 8).astype(np.int64) // 2, 0, LEVELS - 1)
+            level = lane[a:b] * LEVELS + np.clip((z + 8) * 0.5, 0, LEVELS - 1).astype(np.int64)
             against = np.exp(np.clip(-sign[a:b] * (z + shift[level]), -80, 80))  # odds of the other bit
             total += np.bincount(lane[a:b], np.log1p(against), len(docs))
             miss = against / (1 + against)
@@ -354,6 +367,10 @@ def _tokens(b: pa.RecordBatch) -> list[list[bytes]]:
     return [t.lower().split() for t in texts(b.column("text"))]
 
 
+def _ids(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in b.column("ids").to_pylist()]
+
+
 def _pieces(b: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
     """A few texts at a time: their words take several times the memory of the text."""
     for i in range(0, b.num_rows, rows):
@@ -395,19 +412,20 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     types = n_types + (n_train > 0)
     floor = math.log10(n + types + 1)
 
-    # the least count at which the vocabulary is within its bound, from the histogram of counts
+    # the least count at which the vocabulary is within its size, from the histogram of counts
+    room, slots = max(16, int(VOCABULARY * math.sqrt(n))), max(LEAST_SLOTS, int(SLOTS * math.sqrt(n)))
     histogram = words.where("c > 0").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     total, least = histogram.where("c > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 2
     few = {r.c: r.n for r in histogram.orderBy("c").limit(1 << 16).collect()}
-    while total > VOCABULARY:
+    while total > room:
         total, least = total - few.get(least, 0), least + 1
-    common = words.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # at most VOCABULARY rows
+    common = words.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])  # at most ``room`` rows
     # Good-Turing: tokens to expect of words unseen so far, and of those seen less than ``least`` times
     unseen, seen = few.get(1, 0), sum((c + 1) * few.get(c + 1, 0) for c in range(1, least))
     counts = np.r_[float(unseen + seen), float(n_train), common.column("c").to_numpy()]
     new = (unseen + 1) / (unseen + seen + 2)
     kept = sum((c - DISCOUNT) * k for c, k in few.items() if c < least)
-    built = Vocabulary(common.column("word").to_pylist(), counts)
+    built = Vocabulary(common.column("word").to_pylist(), counts, slots)
     del common
     known, size = spark.sparkContext.broadcast(built.parts()), built.layout.size  # loaded once per Python worker
     rare = words.where(F.col("c") < least)
@@ -415,14 +433,40 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def vocabulary() -> Vocabulary:
         return Vocabulary.whole(known.value)
 
+    base_of = np.log10(np.r_[1.0, counts[1:] + 1]) - floor
+
+    def encode(b: pa.RecordBatch) -> pa.RecordBatch:
+        v = vocabulary()
+        batch = _tokens(b)
+        base, held, rare_words, n_rare = [], [], [], []
+        for w in batch:
+            ids = v.encode(w)
+            held.append(ids.astype(np.int32).tobytes())
+            base.append(float(base_of[ids[ids > 0]].sum()))
+            left = Counter(w[i] for i in np.flatnonzero(ids == 0))
+            rare_words.append(list(left))
+            n_rare.append(list(left.values()))
+        size_ = [len(w) + 1 for w in batch]
+        unknown_end = 0 if n_train else 1
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("held_out"), pa.array(size_, pa.int64()), pa.array([s - sum(r) - unknown_end for s, r in zip(size_, n_rare)], pa.int64()),
+             pa.array(base, pa.float64()), pa.array(list(map(len, texts(b.column("text")))), pa.int64()), pa.array(held, pa.binary()),
+             pa.array(rare_words, pa.list_(pa.binary())), pa.array(n_rare, pa.list_(pa.int64()))],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base", "n_bytes", "ids", "words", "times"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    encoded = rows.mapInArrow(lambda batches: (encode(p) for b in batches for p in _pieces(b)),
+                              f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, n_bytes long, ids binary, words array<binary>, times array<long>")
+    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+
     def train(batches: Iterator[pa.RecordBatch]):
         tables, v = None, vocabulary()
-        for b in (p for whole in batches for p in _pieces(whole)):
+        for b in (p for whole in batches for p in _pieces(whole, 1000)):
             tables = np.zeros((2, 2, size), dtype=np.int64) if tables is None else tables
-            context_counts(v, _tokens(b), tables)
+            count_ids(v, _ids(b), tables)
         return None if tables is None else [tables]
 
-    tables = _summed(rows.where(~F.col("held_out")).select("text"), train, [(2, 2, size)])[0]
+    tables = _summed(encoded.where(~F.col("held_out")).select("ids"), train, [(2, 2, size)])[0]
     context = spark.sparkContext.broadcast(predictors(built, tables))
     del built, tables
 
@@ -444,34 +488,17 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     worth = stored(rare.mapInArrow(in_batches(spell), "_word binary, known boolean, base double, score double"), "worth")
 
-    base_of = np.log10(np.r_[1.0, counts[1:] + 1]) - floor
-
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
-        v = vocabulary()
-        batch = _tokens(b)
-        bits = Mixer(v, *context.value).score(batch)
-        base, rare_words, n_rare = [], [], []
-        for w in batch:
-            ids = v.encode(w)
-            base.append(float(base_of[ids[ids > 0]].sum()))
-            left = Counter(w[i] for i in np.flatnonzero(ids == 0))
-            rare_words.append(list(left))
-            n_rare.append(list(left.values()))
-        size_ = [len(w) + 1 for w in batch]
-        unknown_end = 0 if n_train else 1
-        return pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("held_out"), pa.array(size_, pa.int64()), pa.array([s - sum(r) - unknown_end for s, r in zip(size_, n_rare)], pa.int64()),
-             pa.array(base, pa.float64()), pa.array(-bits * LOG10_2, pa.float64()), pa.array(list(map(len, texts(b.column("text")))), pa.int64()),
-             pa.array(rare_words, pa.list_(pa.binary())), pa.array(n_rare, pa.list_(pa.int64()))],
-            ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "words", "times"])
+        bits = Mixer(vocabulary(), *context.value).score_ids(_ids(b))
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "n_bytes"]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(-bits * LOG10_2, pa.float64())], [*names, "score"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(lambda batches: (score(p) for b in batches for p in _pieces(b)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, words array<binary>, times array<long>")
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    pairs = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
+    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "n_bytes", "ids").mapInArrow(
+        lambda batches: (score(p) for b in batches for p in _pieces(b, 500)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, n_bytes long, score double")
+    pairs = encoded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
     looked = pairs.join(worth, F.col("word") == F.col("_word")).groupBy(F.col("row").alias("_row")).agg(
         F.sum(F.when(F.col("known"), F.col("k")).otherwise(0)).alias("_known"), F.sum(F.col("k") * F.col("base")).alias("_base"), F.sum(F.col("k") * F.col("score")).alias("_score"))
-    full = scored.drop("words", "times").join(looked, F.col("row") == F.col("_row"), "left")
+    full = scored.join(looked, F.col("row") == F.col("_row"), "left")
     out = F.col("score") + F.coalesce("_score", F.lit(0.0))
     return full.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -55,6 +55,51 @@ def test_token_probabilities_add_up(model):
         assert len(ids) == 4 and sum(p) == pytest.approx(1.0, abs=1e-6)
 
 
+def plain_bits(v, logit, lift, words):
+    """The mixer written out bit by bit for one text: codes, gates, damped Newton steps after each block."""
+    ids = [v.ids.get(w, 0) for w in words] + [v.END]
+    edges = [0, 4, 8, 16, 32, *range(64, 1024, 64), *range(1024, 1 << 20, 512)]
+    weight, force = [[lm.START_WEIGHT] * lm.GATES for _ in range(2)], [[lm.DAMPING] * lm.GATES for _ in range(2)]
+    shift, grip, total = [0.0] * lm.LEVELS, [lm.DAMPING] * lm.LEVELS, 0.0
+    flat = np.array(ids)
+    h = lm._contexts(flat, np.array([0]))
+    for a, b in zip(edges, edges[1:]):
+        seen = []
+        for i in range(a, min(b, len(ids))):
+            start = v.tree.start[ids[i]]
+            for depth in range(v.tree.length[ids[i]]):
+                node, bit = divmod(int(v.tree.path[start + depth]), 2)
+                g = min(depth, lm.GATES - 1)
+                x = [float(lift[t][int(v.layout.start[node]) + (int(h[t][i]) * int(v.layout.width[node]) >> 32)]) for t in range(2)]
+                z = float(logit[node]) + weight[0][g] * x[0] + weight[1][g] * x[1]
+                level = int(min(max((z + 8) * 0.5, 0), lm.LEVELS - 1))
+                p = 1 / (1 + math.exp(-(z + shift[level])))
+                total -= math.log2(p if bit else 1 - p)
+                seen.append((g, x, level, bit - p, p * (1 - p)))
+        for t in range(2):
+            for g in range(lm.GATES):
+                mine = [(x[t], wrong, sure) for g_, x, _, wrong, sure in seen if g_ == g]
+                force[t][g] += sum(sure * c * c for c, _, sure in mine)
+                weight[t][g] += sum(wrong * c for c, wrong, _ in mine) / force[t][g]
+        for level in range(lm.LEVELS):
+            mine = [(wrong, sure) for _, _, lv, wrong, sure in seen if lv == level]
+            grip[level] += sum(sure for _, sure in mine)
+            shift[level] += sum(wrong for wrong, _ in mine) / grip[level]
+        if b >= len(ids):
+            return total
+
+
+def test_score_equals_a_plain_mixer(model):
+    """Short texts and long ones, alone and among others; weights move from the first tokens on."""
+    v, mixer = model
+    docs = [[], [b"a"], b"a b a b a b c".split(), b"b a ? c".split() * 30, b"a b".split() * 700, [b"c"] * 9]
+    want = [plain_bits(v, mixer.logit, mixer.lift, d) for d in docs]
+    assert mixer.score(docs) == pytest.approx(want, rel=2e-4, abs=1e-4)
+    assert [float(mixer.score([d])[0]) for d in docs] == pytest.approx(want, rel=2e-4, abs=1e-4)
+    still = sum(plain_bits(v, mixer.logit, mixer.lift, [w]) for w in (b"a",))
+    assert mixer.score([[b"a"] * 40])[0] < 40 * still
+
+
 def test_spelling_is_a_distribution():
     tables = [np.zeros((2, s), dtype=np.int64) for s in lm._SPELL_SIZES]
     lm.spell_counts([b"ab", b"abc", b"b"], tables)
@@ -74,7 +119,7 @@ def brute_base(rows):
 
 
 def test_rows(edge_docs, edge_rows, monkeypatch):
-    monkeypatch.setattr(lm, "VOCABULARY", 20)  # most words are looked up by the join
+    monkeypatch.setattr(lm, "VOCABULARY", 0.2)  # most words are looked up by the join
     got = lm.score_documents(edge_docs).collect()
     assert sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=str) == brute_base([r[:2] for r in edge_rows])
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
