@@ -11,6 +11,9 @@ then stream back to the blocks they came from, and each run adds them up for its
 
 A hot id or pair has one entry per run in the merge, however many documents hold it. A run ends between documents.
 
+A byte-level tokenizer whose ids follow the order of its merges is run by the faster of the two libraries that read such
+vocabularies (``ranks_of``); tests hold both against each other over every code point and over texts.
+
 Defined results: null and empty texts, and texts whose bytes one of the tokenizers does not give back, have no tokens,
 zeros and an empty ``groups_sha256``; one row per row of the input, whatever its id; special strings are plain text.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.llm.common import stored, texts
+from hazegrid.llm.tokcount import PATTERN
 
 RUN_LINKS = 1 << 21  # links buffered before a run is spilled
 RUN_DOCS = 1 << 19  # and documents; the last batch may add as many again
@@ -50,6 +55,32 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ranks_of(tokenizer) -> dict[bytes, int] | None:
+    """Token bytes with their ids, if merging by least id is what the tokenizer does: plain byte-level BPE
+    without a normalizer, that splits by the usual pattern, and whose merges give ids in ascending order."""
+    spec = json.loads(tokenizer.to_str())
+    model, split, alphabet = spec["model"], spec["pre_tokenizer"] or {}, byte_alphabet()
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not (plain and usual and spec["normalizer"] is None):
+        return None
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    merged = [model["vocab"].get("".join(p), -1) for p in pairs]
+    ordered = all(a < b for a, b in zip(merged, merged[1:])) and set(alphabet) <= set(model["vocab"]) and (not merged or merged[0] > max(model["vocab"][c] for c in alphabet))
+    ids = {bytes([b]): model["vocab"].get(c, -1) for c, b in alphabet.items()}
+    known = {i: t for t, i in model["vocab"].items()}
+    return ids | {bytes(alphabet[c] for c in known[i]): i for i in merged} if ordered else None
+
+
+def _by_ranks(tokenizer):
+    ranks = ranks_of(tokenizer)
+    if ranks is None:
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
     """Ids of texts from both sides, and the bytes of every id."""
 
@@ -62,6 +93,7 @@ class Tokenizers:
         self.left.no_truncation()
         self.left.no_padding()
         self.left.encode_special_tokens = True
+        self.fast = _by_ranks(self.left)
         self.right = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         alphabet, n = byte_alphabet(), self.left.get_vocab_size()
         names = (self.left.id_to_token(i) or "" for i in range(n))
@@ -77,7 +109,7 @@ class Tokenizers:
         self.written = [f"{i}{end}".encode() for ends in (",|", ",;") for i in range(max(n, len(self.right_bytes))) for end in ends]
         self.second = 2 * max(n, len(self.right_bytes))
 
-    def encode(self, raw: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
+    def encode(self, raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides, None where the bytes do not come back."""
         out: list = [None] * len(raw)
         some = [i for i, t in enumerate(raw) if t]
@@ -85,10 +117,14 @@ class Tokenizers:
             return out
         right = self.right.encode([raw[i].decode() for i in some], num_threads=1)
         same = [(i, r) for i, r in zip(some, right) if b"".join(map(self.right_bytes.__getitem__, r)) == b" " + raw[i]]
-        left = self.left.encode_batch_fast([" " + raw[i].decode() for i, _ in same], add_special_tokens=False)
-        for (i, r), e in zip(same, left):
-            if b"".join(map(self.left_bytes.__getitem__, e.ids)) == b" " + raw[i]:
-                out[i] = e.ids, r
+        whole = [" " + raw[i].decode() for i, _ in same]
+        if self.fast is not None:  # its tokens are a partition of the bytes
+            left = [self.fast.encode_to_numpy(t, disallowed_special=()).astype(np.int64) for t in whole]
+        else:
+            left = [np.array(e.ids, dtype=np.int64) for e in self.left.encode_batch_fast(whole, add_special_tokens=False)]
+        for (i, r), ids in zip(same, left):
+            if self.fast is not None or b"".join(map(self.left_bytes.__getitem__, ids.tolist())) == b" " + raw[i]:
+                out[i] = ids, np.array(r, dtype=np.int64)
         return out
 
 
@@ -135,39 +171,35 @@ class Codes:
 
 
 class Run:
-    """Records of the documents since the last spill."""
+    """Records of the documents since the last spill: pair code << DOC_BITS | document, with occurrences."""
 
     def __init__(self):
-        self.fresh: list[np.ndarray] = []
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_fresh, self.docs = 0, []
         self.key, self.times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def add(self, key: np.ndarray, times: np.ndarray | None = None) -> None:
-        """Links as pair code << DOC_BITS | document."""
-        if times is not None:
-            self._merge(np.r_[self.key, key], np.r_[self.times, times])
-            return
-        self.fresh.append(key)
+    def add(self, key: np.ndarray) -> None:
+        """Links, each counting once."""
+        key = np.sort(key)
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+        self.add_counted(key[edge], np.diff(np.r_[edge, len(key)]))
+
+    def add_counted(self, key: np.ndarray, times: np.ndarray) -> None:
+        self.fresh.append((key, times))
         self.n_fresh += len(key)
         if self.n_fresh >= RUN_LINKS:
             self.settle()
 
     def settle(self) -> None:
-        if self.fresh:
-            key = np.sort(np.concatenate(self.fresh))
-            self.fresh, self.n_fresh = [], 0
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            times = np.diff(np.r_[edge, len(key)])
-            if len(self.key):
-                self._merge(np.r_[self.key, key[edge]], np.r_[self.times, times])
-            else:
-                self.key, self.times = key[edge], times
-
-    def _merge(self, key: np.ndarray, times: np.ndarray) -> None:
+        if not self.fresh:
+            return
+        key = np.concatenate([self.key, *(k for k, _ in self.fresh)])
+        times = np.concatenate([self.times, *(t for _, t in self.fresh)])
         order = np.argsort(key, kind="stable")
         key = key[order]
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
         self.key, self.times = key[edge], np.add.reduceat(times[order], edge) if len(edge) else times
+        self.fresh, self.n_fresh = [], 0
 
     def full(self) -> bool:
         return self.n_fresh + len(self.key) >= RUN_LINKS or len(self.docs) >= RUN_DOCS
@@ -203,7 +235,7 @@ def _link(run: Run, codes: Codes, a: np.ndarray, b: np.ndarray, na: np.ndarray,
             step = max(1, SLICE // len(ub))
             for i in range(0, len(ua), step):
                 code = codes.of(np.repeat(ua[i:i + step], len(ub)), np.tile(ub, len(ua[i:i + step])))
-                run.add(code << DOC_BITS | doc[g], np.outer(ca[i:i + step], cb).ravel())
+                run.add_counted(code << DOC_BITS | doc[g], np.outer(ca[i:i + step], cb).ravel())
             g += 1
             continue
         end = max(g + 1, int(np.searchsorted(upto, upto[g] - n[g] + SLICE, side="right")))
@@ -223,7 +255,7 @@ def align(both: Tokenizers, codes: Codes, raw: list[bytes], run: Run) -> list[tu
     if not good:
         return out
     size_a, size_b = (np.array([len(ids[i][s]) for i in good]) for s in (0, 1))
-    a, b = (np.fromiter((t for i in good for t in ids[i][s]), dtype=np.int64, count=int(n.sum())) for s, n in ((0, size_a), (1, size_b)))
+    a, b = (np.concatenate([ids[i][s] for i in good]) for s in (0, 1))
     ends_a, ends_b = np.cumsum(both.left_size[a]), np.cumsum(both.right_size[b])
     shut_a = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a
     shut_b = ends_a[np.searchsorted(ends_a, ends_b)] == ends_b

@@ -88,6 +88,21 @@ def test_equals_brute_force(spark, sides, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_both_libraries_cut_alike(sides):
+    """The vocabulary by ranks, over every code point between letters, digits and spaces, and over odd texts."""
+    fast = align._by_ranks(sides[0])
+    assert fast is not None
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    probes = ["".join(f"a{chr(c)}1 {chr(c)}" for c in points[i:i + 2048]) for i in range(0, len(points), 2048)]
+    probes += [t for t in ODD if t] + ["it's we'll 's ' S 12 345 a1b2 --x-- (y) \u00a0z \x1fq \u2028r  ", "a\u0301 e\u0300 \u0301x", "x" * 20_000 + " y", " \n\n \t x\n"]
+    for e, p in zip(sides[0].encode_batch_fast(probes, add_special_tokens=False), probes):
+        assert e.ids == fast.encode_ordinary(p)
+
+
+def test_other_tokenizers_are_left_to_their_library():
+    assert align.ranks_of(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))) is None
+
+
 def test_merge_holds_no_pair_back():
     """Blocks of many runs in order of their first pairs give the counts of all records."""
     rng = np.random.default_rng(4)
