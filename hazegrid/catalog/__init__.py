@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("intake", "scalars", "cleaning", "panel", "profiling", "serving", "learning", "streams")
+AREAS = ("intake", "scalars", "cleaning", "panel", "profiling", "serving", "learning", "streams", "nullkeys")
 
 
 def load_all():

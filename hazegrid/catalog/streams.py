@@ -135,3 +135,70 @@ def _(spark, d):
     alerts = spark.read.parquet(f"{_polled(spark, d)}/alerts")
     return alerts.select("city", "ts", F.when(F.col("type") == "warning", F.when(~F.col("is_hazardous"), F.col("title"))).alias("t"), "is_hazardous").select(
         "city", "ts", F.coalesce("t", F.lit("hazard")).alias("kind"))
+
+
+_HOURS = "SELECT event_type, date_trunc('hour', ts) AS hour, arg_max(event_id, (event_id % 97, ts, event_id)) AS event_id FROM events GROUP BY 1, 2"
+
+
+def _revised(df):
+    """Events as revisions of the value of their hour; the newest revision is not the latest arrival."""
+    return df.select("event_type", F.date_trunc("hour", "ts").alias("hour"), (F.col("event_id") % 97).alias("revision"), "ts", "event_id")
+
+
+@query("dedup_keep_last", _HOURS)
+def _(spark, d):
+    return S.keep_last(_revised(_timed(spark, d)), ["event_type", "hour"], ["revision"]).select("event_type", "hour", "event_id")
+
+
+@query("stream_keep_last", f"""WITH h AS ({_HOURS}) SELECT * FROM h
+WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def _(spark, d):
+    """The last revision of every hour that the watermark has closed."""
+    return _run(spark, S.keep_last(_revised(_stream(spark, d)), ["event_type", "hour"], ["revision"])).select("event_type", "hour", "event_id")
+
+
+def _timed(spark, d):
+    return table(spark, d, "events", "ts", "event_type", "event_id", "value").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_SHOWN = """levels AS (SELECT event_id, event_type AS city, ts, CASE WHEN value >= 301 THEN 30 WHEN value >= 300 THEN 20 WHEN value >= 200 THEN 15 ELSE 10 END AS m
+  FROM events WHERE value >= 150),
+shown AS (SELECT city, ts, event_id, CASE event_id % 3 WHEN 0 THEN least(ts + m * INTERVAL 1 MINUTE, ts + INTERVAL 7 MINUTE)
+  ELSE ts + m * INTERVAL 1 MINUTE END AS shown_until FROM levels)"""
+
+
+def _alerts_of(df):
+    """Alerts of events, and dismissals: of every third after 7 minutes, twice; of others after 45 minutes, too late."""
+    raised = S.hazard_alerts(df.select(F.col("event_type").alias("city"), "ts", F.col("value").alias("aqi"), "event_id").where("value >= 150"), extra=["event_id"])
+    alerts = raised.withColumn("id", F.concat_ws("#", "id", "event_id"))
+    minutes = F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(7), F.lit(7))).when(F.col("event_id") % 3 == 1, F.array(F.lit(45))))
+    dismissals = alerts.select("id", "ts", minutes.alias("m")).select("id", (F.col("ts") + F.make_dt_interval(mins=F.col("m"))).alias("dismissed_ts"))
+    return alerts, dismissals
+
+
+@query("alerts_shown", f"WITH {_SHOWN} SELECT * FROM shown")
+def _(spark, d):
+    return S.shown_alerts(*_alerts_of(_timed(spark, d))).select("city", "ts", "event_id", "shown_until")
+
+
+def _shown_stream(spark, d):
+    alerts, dismissals = _alerts_of(_stream(spark, d))
+    shown = _run(spark, S.shown_alerts(alerts, dismissals)).select("city", "ts", "event_id", "shown_until")
+    return shown, spark.read.parquet(f"{d}/events.parquet").agg(F.max("ts")).first()[0]
+
+
+@query("stream_shown", f"WITH {_SHOWN} SELECT * FROM shown WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR")
+def _(spark, d):
+    """Alerts joined with their dismissals as both streams go on; those of the last hours may still wait for one."""
+    shown, newest = _shown_stream(spark, d)
+    return shown.where(F.col("ts") <= F.lit(newest) - F.expr("INTERVAL 3 HOURS"))
+
+
+@query("stream_active", f"""WITH {_SHOWN}, t AS (SELECT max(ts) AS now FROM shown WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR)
+SELECT shown.* FROM shown, t WHERE ts <= now AND now < shown_until""")
+def _(spark, d):
+    """What is on display when the last alert that is settled is raised."""
+    shown, newest = _shown_stream(spark, d)
+    settled = shown.where(F.col("ts") <= F.lit(newest) - F.expr("INTERVAL 3 HOURS"))
+    now = settled.agg(F.max("ts")).first()[0]
+    return S.active_at(settled, F.lit(now))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazegrid.plans.attach import attach
+from hazegrid.plans.attach import attach, join_null_safe, keeps_names
 from hazegrid.plans.blocks import DEFAULT_BLOCK_ROWS, POS, dense_axis, halo_window, neighbours
 from hazegrid.plans.quantiles import exact_quantiles
 
@@ -32,12 +32,14 @@ def dedup_rows(df: DataFrame, cols: Sequence[str] | None = None, by_values: bool
     return df.dropDuplicates(list(cols) if cols else None)
 
 
+@keeps_names
 def ffill(df: DataFrame, cols: Sequence[str], limit: int | None = None, keys: Sequence[str] = KEY,
           ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """Carry the last value forward, at most ``limit`` rows."""
     return _carry(df, cols, limit, keys, ts, gap_free, forward=True)
 
 
+@keeps_names
 def bfill(df: DataFrame, cols: Sequence[str], limit: int | None = None, keys: Sequence[str] = KEY,
           ts: str = "ts", gap_free: bool = False) -> DataFrame:
     return _carry(df, cols, limit, keys, ts, gap_free, forward=False)
@@ -69,6 +71,7 @@ def fill_both(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEY, ts:
     )
 
 
+@keeps_names
 def interpolate_time(df: DataFrame, cols: Sequence[str], limit: int = 6, keys: Sequence[str] = KEY,
                      ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """Time-weighted linear interpolation of the first ``limit`` nulls of each gap. A trailing
@@ -89,6 +92,7 @@ def interpolate_time(df: DataFrame, cols: Sequence[str], limit: int = 6, keys: S
     return near.select(*[value(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+@keeps_names
 def interpolate_both(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEY, ts: str = "ts",
                      gap_free: bool = False) -> DataFrame:
     """Linear in row number, no limit, edges repeat the nearest value."""
@@ -110,6 +114,7 @@ def interpolate_both(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = K
 # --- nearest donors --------------------------------------------------------------------
 
 
+@keeps_names
 def impute_knn(df: DataFrame, cols: Sequence[str], k: int = 5, keys: Sequence[str] = KEY, ts: str = "ts",
                gap_free: bool = False, chunk: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Mean of the ``k`` nearest rows of the same series that have the missing column.
@@ -153,7 +158,7 @@ def impute_knn(df: DataFrame, cols: Sequence[str], k: int = 5, keys: Sequence[st
         .agg(*[F.avg(F.when(F.col("name") == c, F.col("v"))).alias(f"_k_{c}") for c in cols])
     )
     means = slim.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    joined = attach(placed.join(best, [*keys, POS], "left"), means, keys)
+    joined = attach(join_null_safe(placed, best, [*keys, POS]), means, keys)
     return joined.select(
         *[F.coalesce(F.col(c), F.col(f"_k_{c}"), F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c)
           for c in df.columns]
@@ -200,6 +205,7 @@ def _nearest(keys: list[str], cols: list[str], k: int):
 # --- constants per series ----------------------------------------------------------------
 
 
+@keeps_names
 def impute_mode(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     """Most frequent value, the smallest on ties. Counted per value first, so no task holds
     the values of a group."""
@@ -208,11 +214,13 @@ def impute_mode(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     return attach(df, mode, keys).withColumn(col, F.coalesce(col, "_mode")).drop("_mode")
 
 
+@keeps_names
 def impute_mean(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
     return _fill_from(df, attach(df, means, keys), cols)
 
 
+@keeps_names
 def impute_median(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
     q = exact_quantiles(df, keys, cols, [0.5])
     medians = q.select(*keys, *[F.col(c)[0].alias(f"_m_{c}") for c in cols])
@@ -237,6 +245,7 @@ def fences(df: DataFrame, cols: Sequence[str], low: float, high: float, k: float
     return q.select(*keys, *out)
 
 
+@keeps_names
 def outliers_to_null(df: DataFrame, cols: Sequence[str], target: str | None = None, k: float = 3.0,
                      keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """Values outside the 3-range fences become null, then backward and forward fill. Fences
@@ -270,11 +279,13 @@ def clip_to(df: DataFrame, bounds: DataFrame, cols: Sequence[str], keys: Sequenc
     )
 
 
+@keeps_names
 def clip_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5, keys: Sequence[str] = KEY,
              flags: bool = False) -> DataFrame:
     return clip_to(df, fences(df, cols, 0.25, 0.75, k, keys), cols, keys, flags)
 
 
+@keeps_names
 def winsorize(df: DataFrame, cols: Sequence[str], p: float = 0.01, keys: Sequence[str] = KEY,
               flags: bool = False) -> DataFrame:
     return clip_to(df, fences(df, cols, p, 1 - p, 0.0, keys), cols, keys, flags)
@@ -286,6 +297,7 @@ def clipped_counts(flagged: DataFrame, cols: Sequence[str]) -> DataFrame:
     return sums.unpivot([], list(cols), "feature", "clipped").where(F.col("clipped") > 0)
 
 
+@keeps_names
 def iqr_anomalies(df: DataFrame, col: str, k: float = 1.5, keys: Sequence[str] = KEY) -> DataFrame:
     """Rows outside the fences."""
     joined = attach(df, fences(df, [col], 0.25, 0.75, k, keys), keys)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid.functions.names import model_format, parse_best_model
-from hazegrid.plans.attach import attach
+from hazegrid.plans.attach import attach, join_null_safe
 from hazegrid.plans.quantiles import exact_quantiles
 
 METRICS = ("rmse", "mae", "r2", "mse", "mape")
@@ -83,7 +83,7 @@ def prediction_summary(preds: DataFrame, ensembles: Sequence[str] = ()) -> DataF
         F.col("yhat")[2].alias("q75_prediction"),
     )
     kind = F.when(F.col("model").isin(list(ensembles)), "ensemble").otherwise("individual")
-    return stats.join(q, "model").withColumn("model_type", kind).orderBy(F.col("mean_prediction").desc(), "model")
+    return join_null_safe(stats, q, ["model"], "inner").withColumn("model_type", kind).orderBy(F.col("mean_prediction").desc(), "model")
 
 
 def ensemble_mean(preds: DataFrame, members: Sequence[str], name: str, by: Sequence[str], at_least: int = 1) -> DataFrame:

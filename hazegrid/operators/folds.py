@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazegrid import constants as K
 from hazegrid.operators.windows import row_index
-from hazegrid.plans.attach import attach
+from hazegrid.plans.attach import attach, keeps_names
 
 KEY = ("series_id",)
 
@@ -18,6 +18,7 @@ def _sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
 
 
+@keeps_names
 def indexed(df: DataFrame, keys: Sequence[str] = KEY, ts: str = "ts") -> DataFrame:
     """Rows with ``row_idx`` and the series length ``_n``."""
     return attach(row_index(df, keys, ts), _sizes(df, keys), keys)
@@ -36,6 +37,7 @@ def sliding_folds(df: DataFrame, train: int = K.CV_TRAIN, test: int = K.CV_TEST,
     )
 
 
+@keeps_names
 def assign_folds(df: DataFrame, train: int = K.CV_TRAIN, test: int = K.CV_TEST, step: int = K.CV_STEP,
                  keys: Sequence[str] = KEY, ts: str = "ts") -> DataFrame:
     """Each row once per fold it takes part in, with ``split`` = train / test."""
@@ -70,6 +72,7 @@ def expanding_folds(df: DataFrame, splits: int = 3, keys: Sequence[str] = KEY) -
     )
 
 
+@keeps_names
 def assign_expanding(df: DataFrame, splits: int = 3, keys: Sequence[str] = KEY, ts: str = "ts") -> DataFrame:
     placed = indexed(df, keys, ts)
     size = F.floor(F.col("_n") / (splits + 1))
@@ -83,6 +86,7 @@ def assign_expanding(df: DataFrame, splits: int = 3, keys: Sequence[str] = KEY,
     )
 
 
+@keeps_names
 def holdout_tail(df: DataFrame, fraction: float = 0.15, minimum: int = 50, above: int = 100,
                  keys: Sequence[str] = KEY, ts: str = "ts", out: str = "is_validation") -> DataFrame:
     """Flag the last max(int(fraction * n), minimum) rows of each series longer than ``above``."""
@@ -91,6 +95,7 @@ def holdout_tail(df: DataFrame, fraction: float = 0.15, minimum: int = 50, above
     return placed.withColumn(out, (F.col("_n") > above) & (F.col("row_idx") >= F.col("_n") - size)).drop("_n")
 
 
+@keeps_names
 def chrono_split(df: DataFrame, fraction: float = 0.8, keys: Sequence[str] = KEY, ts: str = "ts") -> DataFrame:
     placed = indexed(df, keys, ts)
     return placed.withColumn(

@@ -12,7 +12,7 @@ from hazegrid.functions import aqi as A
 from hazegrid.functions.timefeat import format_minutes
 from hazegrid.operators.clean import fill_both
 from hazegrid.operators.windows import diff1
-from hazegrid.plans.attach import attach
+from hazegrid.plans.attach import attach, join_null_safe, keeps_names
 from hazegrid.plans.blocks import global_positions
 from hazegrid.sources.stores import require_columns
 
@@ -86,6 +86,7 @@ def overview(df: DataFrame, as_of: Column | None = None, city: str = "city", ts:
     )
 
 
+@keeps_names
 def city_stats(df: DataFrame, city: str = "city", ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """Summary per city. The "days" of the dashboard count rows, i.e. hours; the true-day
     counts (days whose mean exceeds the limit) stand beside them."""
@@ -101,7 +102,7 @@ def city_stats(df: DataFrame, city: str = "city", ts: str = "ts", gap_free: bool
         F.count_if(F.col("daily_aqi") > 100).alias("days_over_100"),
         F.count_if(F.col("daily_aqi") > 150).alias("days_over_150"),
     )
-    return hourly.join(days, city)
+    return join_null_safe(hourly, days, [city], "inner")
 
 
 def daily_mean(df: DataFrame, city: str = "city", ts: str = "ts") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hazegrid import constants as K
 from hazegrid.functions.names import max_window_of
 from hazegrid.functions.timefeat import calendar_features, cyclic_features, interaction_features
-from hazegrid.plans.attach import attach
+from hazegrid.plans.attach import attach, keeps_names
 from hazegrid.plans.blocks import grid_index, halo_window, row_positions
 
 KEY = ("series_id",)
@@ -25,6 +25,7 @@ def rolling(w, fn, col: Column, n: int, lag: int = 0, min_periods: int | None =
     return value if need <= 1 else F.when(F.count(col).over(frame) >= need, value)
 
 
+@keeps_names
 def rolling_mean(df: DataFrame, windows: Mapping[str, tuple[str, int]], min_periods: int = 1,
                  keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     """``windows``: output name -> (column, rows)."""
@@ -71,6 +72,7 @@ def lag_columns(w, cols: Sequence[str], min_lag: int) -> list[Column]:
     ]
 
 
+@keeps_names
 def lag_features(df: DataFrame, cols: Sequence[str], min_lag: int = 72, keys: Sequence[str] = KEY,
                  ts: str = "ts", gap_free: bool = False) -> DataFrame:
     return halo_window(df, keys, lambda w: lag_columns(w, cols, min_lag), before=min_lag + max(K.LAG_OFFSETS),
@@ -81,6 +83,7 @@ def target_columns(w, target: str, horizons: Sequence[int], prefix: str = "aqi")
     return [F.lead(target, h).over(w).alias(f"{prefix}_{h}h") for h in horizons]
 
 
+@keeps_names
 def future_targets(df: DataFrame, target: str = "aqi", horizons: Sequence[int] = K.HORIZONS,
                    keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     return halo_window(df, keys, lambda w: target_columns(w, target, horizons), after=max(horizons),
@@ -94,12 +97,14 @@ def change_columns(w, target: str, lag: int, spans: Sequence[int]) -> list[Colum
     ]
 
 
+@keeps_names
 def rate_change(df: DataFrame, target: str, lag: int, spans: Sequence[int] = K.RATE_CHANGES,
                 keys: Sequence[str] = KEY, ts: str = "ts", gap_free: bool = False) -> DataFrame:
     return halo_window(df, keys, lambda w: change_columns(w, target, lag, spans), before=lag + max(spans),
                        ts=ts, gap_free=gap_free)
 
 
+@keeps_names
 def diff1(df: DataFrame, cols: Mapping[str, str], keys: Sequence[str] = KEY, ts: str = "ts",
           gap_free: bool = False) -> DataFrame:
     """``cols``: output name -> column; difference to the row before."""
@@ -107,11 +112,13 @@ def diff1(df: DataFrame, cols: Mapping[str, str], keys: Sequence[str] = KEY, ts:
                        before=1, ts=ts, gap_free=gap_free)
 
 
+@keeps_names
 def row_index(df: DataFrame, keys: Sequence[str] = KEY, ts: str = "ts", out: str = "row_idx") -> DataFrame:
     """0-based position per series in time order."""
     return row_positions(df, keys, [F.col(ts)], F.floor(grid_index(ts) / 2048), out)
 
 
+@keeps_names
 def drop_warmup(df: DataFrame, n: int | None = None, keys: Sequence[str] = KEY, ts: str = "ts") -> DataFrame:
     """Drop the first ``n`` rows of each series (default: largest window in the column names),
     but keep at least the last one."""

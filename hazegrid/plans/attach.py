@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,33 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SPREAD = 64
 
 
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Operators name their own columns with a leading underscore. Columns of the caller that begin so are
+    called otherwise inside and get their names back in the result, as do the arguments that name them."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **named) -> DataFrame:
+        odd: dict[str, str] = {}
+        for c in df.columns:
+            if c.startswith("_"):
+                odd[c] = next(n for i in range(len(df.columns) + 1) if (n := f"own{i}{c}") not in df.columns)
+        if not odd:
+            return operator(df, *args, **named)
+
+        def swap(v):
+            if isinstance(v, str):
+                return odd.get(v, v)
+            if isinstance(v, Mapping):
+                return {swap(k): swap(x) for k, x in v.items()}
+            return type(v)(map(swap, v)) if isinstance(v, (list, tuple)) else v
+
+        out = operator(df.withColumnsRenamed(odd), *map(swap, args), **{k: swap(v) for k, v in named.items()})
+        back = {c: reduce(lambda name, pair: name.replace(pair[1], pair[0]), odd.items(), c) for c in out.columns}
+        return out.toDF(*[back[c] for c in out.columns])
+
+    return run
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equal keys, null being equal to null; the key columns are the left ones."""
     renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.plans.attach import attach
+from hazegrid.plans.attach import attach, join_null_safe, keeps_names
 from hazegrid.session import checkpointed
 
 
@@ -39,10 +39,11 @@ def _span(df: DataFrame, key: str, ts: str, per_series: bool) -> DataFrame:
     return attach(series.select(key), series.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")), [])
 
 
+@keeps_names
 def hourly_grid(df: DataFrame, key: str = "series_id", ts: str = "ts", per_series: bool = False) -> DataFrame:
     """Gap-free hourly axis per series with the given rows left-joined to it.
 
-    The axis spans the whole table, or each series' own range. Days are unfolded first and
+    The axis spans the whole table, or each series' own range; rows without a series are a series. Days are unfolded first and
     hours second, so no row ever holds more than one entry per day.
     """
     span = _span(df, key, ts, per_series)
@@ -54,14 +55,15 @@ def hourly_grid(df: DataFrame, key: str = "series_id", ts: str = "ts", per_serie
         .where(F.col(ts).between(F.col("_lo"), F.col("_hi")))
         .select(key, ts)
     )
-    return axis.join(df, [key, ts], "left")
+    return join_null_safe(axis, df, [key, ts])
 
 
+@keeps_names
 def daily_grid(df: DataFrame, key: str = "series_id", ts: str = "ts") -> DataFrame:
     """Gap-free daily axis over the whole table's date range."""
     span = _span(df, key, ts, False)
     days = F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.expr("INTERVAL 1 DAY")))
-    return span.select(key, days.alias(ts)).join(df, [key, ts], "left")
+    return join_null_safe(span.select(key, days.alias(ts)), df, [key, ts])
 
 
 def lookback_range(as_of: dt.date, days: int = 92) -> tuple[dt.date, dt.date]:

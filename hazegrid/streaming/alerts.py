@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ def _level(aqi: Column, field: int) -> Column:
     return out
 
 
-def hazard_alerts(df: DataFrame, place: str = "city", ts: str = "ts", aqi: str = "aqi") -> DataFrame:
+def hazard_alerts(df: DataFrame, place: str = "city", ts: str = "ts", aqi: str = "aqi", extra: Sequence[str] = ()) -> DataFrame:
     """One alert per reading at or above the lowest threshold; stateless, so it runs in append
-    mode on a stream. The id is the place and the instant."""
+    mode on a stream. The id is the place and the instant; ``extra`` columns are kept."""
     a = F.col(aqi)
     return df.where(a >= K.ALERT_LEVELS[-1][0]).select(
         F.concat_ws("@", F.col(place), F.date_format(ts, "yyyyMMddHHmmss")).alias("id"),
@@ -30,6 +32,7 @@ def hazard_alerts(df: DataFrame, place: str = "city", ts: str = "ts", aqi: str =
         _level(a, 4).alias("duration_minutes"),
         F.lit(False).alias("dismissed"),
         F.lit(True).alias("is_hazardous"),
+        *extra,
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from hazegrid import constants as K
 from hazegrid.sources.stores import pick_by_key, pick_latest, upsert_parquet
 from hazegrid.streaming.alerts import hazard_alerts, last_check, unavailable_alerts
 
@@ -24,6 +25,47 @@ def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str = "ts", late: str =
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str = "ts", every: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Last row per key and stretch of ``every`` (per key and instant if ``ts`` is a key): greatest in ``order``, equal ones
+    by their other columns, nulls least.
+
+    On a stream a stretch is given out once, when the watermark has closed it, so a repeated delivery within ``late``
+    replaces an earlier one whatever the order of arrival; state holds one row per key and open stretch."""
+    base = df.withWatermark(ts, late) if df.isStreaming else df
+    rest = [c for c in df.columns if c not in keys]
+    ranked = F.struct(*[F.col(f"`{c}`") for c in (*order, *(c for c in rest if c not in order))])
+    stretch = [] if ts in keys else [F.window(F.col(ts), every).alias("_w")]
+    last = base.groupBy(*[F.col(f"`{k}`") for k in keys], *stretch).agg(F.max(ranked).alias("_r"))
+    return last.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_r.`{c}`") for c in df.columns])
+
+
+def shown_alerts(alerts: DataFrame, dismissals: DataFrame, ts: str = "ts", dismissed_ts: str = "dismissed_ts", late: str = "1 hour",
+                 longest: str | None = None) -> DataFrame:
+    """Alerts with ``shown_until``: the end of their minutes, or their first dismissal before it.
+
+    On streams a left outer join in time: a dismissal (id, ``dismissed_ts``) meets its alert only within ``longest`` (by default
+    the longest time any alert is shown), so state is kept no longer than that and the allowed lateness. An alert comes out when it
+    is dismissed, or when the watermark has passed its time. Dismissals before the alert or behind its time do nothing."""
+    longest = longest or f"{max(row[4] for row in K.ALERT_LEVELS)} minutes"
+    gone = dismissals.select(F.col("id").alias("_id"), F.col(dismissed_ts).alias("_at"))
+    raised = alerts
+    if alerts.isStreaming:
+        # a dismissal sent twice counts once; an alert joins at most one
+        gone = gone.withWatermark("_at", late).dropDuplicatesWithinWatermark(["_id"])
+        raised = alerts.withWatermark(ts, late)
+    else:
+        first = alerts.join(gone, (F.col("id") == F.col("_id")) & (F.col("_at") >= F.col(ts))).groupBy("_id").agg(F.min("_at").alias("_at"))
+        gone = first
+    near = (F.col("id") == F.col("_id")) & (F.col("_at") >= F.col(ts)) & (F.col("_at") <= F.col(ts) + F.expr(f"INTERVAL {longest}"))
+    end = F.col(ts) + F.make_dt_interval(mins=F.col("duration_minutes"))
+    return raised.join(gone, near, "left").select(*[F.col(f"`{c}`") for c in alerts.columns], F.least(end, F.col("_at")).alias("shown_until"))
+
+
+def active_at(shown: DataFrame, as_of, ts: str = "ts") -> DataFrame:
+    """Alerts on display at an instant."""
+    return shown.where((F.col(ts) <= as_of) & (as_of < F.col("shown_until")))
+
+
 def hourly_means(df: DataFrame, by: Sequence[str], value: str, ts: str = "ts", late: str = "2 hours") -> DataFrame:
     """Tumbling one-hour mean per series; on a stream, rows later than the watermark are dropped."""
     base = df.withWatermark(ts, late) if df.isStreaming else df

@@ -233,3 +233,38 @@ def test_no_plain_series_window(spark, hourly):
     for out in (C.ffill(df, ["x"], 2), W.rolling_mean(df, {"m": ("x", 24)}), W.lag_features(df, ["x"], 24)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "_to#" in plan and "Exchange SinglePartition" not in plan
+
+
+def test_columns_of_the_caller_keep_their_names(spark):
+    """Columns called as operators call theirs come back unharmed, and can be worked on themselves."""
+    rows = [(name, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), None if i % 3 == 0 else float(i), 1.0 * i, 2.0, 3, 4, "k") for name in ("a", None) for i in range(12)]
+    schema = "series_id string, ts timestamp, x double, _m_x double, _lo_x double, _n int, _idx int, _k_ string"
+    df = spark.createDataFrame(rows, schema)
+    kept = ["_m_x", "_lo_x", "_n", "_idx", "_k_"]
+    before = sorted(map(str, df.select("series_id", "ts", *kept).collect()))
+    for out in (C.impute_mean(df, ["x"]), C.impute_median(df, ["x"]), C.impute_mode(df, "x", ["series_id"]), C.clip_iqr(df, ["x"]), C.winsorize(df, ["x"]), C.ffill(df, ["x"], 2),
+                C.interpolate_both(df, ["x"]), C.impute_knn(df, ["x", "_m_x"]), C.outliers_to_null(df, ["x"]), W.row_index(df)):
+        assert out.columns[:len(df.columns)] == df.columns
+        assert sorted(map(str, out.select("series_id", "ts", *kept).collect())) == before
+    filled = C.impute_mean(df.withColumn("_m_x", F.when(F.col("_m_x") > 3, F.col("_m_x"))), ["_m_x"])
+    assert filled.where("_m_x IS NULL").count() == 0 and filled.select(F.max("_m_x")).first()[0] == 11
+    assert W.drop_warmup(df, 10).count() == 4
+    assert "_m_x_clipped" in C.clip_iqr(df, ["_m_x"], flags=True).columns
+
+
+def test_series_without_a_name(spark):
+    from hazegrid.operators.evaluate import prediction_summary
+    from hazegrid.operators.serve import city_stats
+    from hazegrid.sources.hourly import hourly_grid
+
+    hours = [(pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime() for i in range(8)]
+    rows = [(n, h, float(i), None if i == 3 else 2.0 * i) for n in ("a", None) for i, h in enumerate(hours) if i != 5]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp, x double, y double")
+    grid = hourly_grid(df)
+    assert grid.count() == 16 and grid.where("x IS NULL").count() == 2
+    full = C.impute_knn(grid, ["x", "y"], k=2).where("hour(ts) = 3").collect()
+    assert len(full) == 2 and {r.y for r in full} == {6.0}
+    stats = city_stats(df.select(F.col("series_id").alias("city"), "ts", F.col("x").alias("aqi")))
+    assert stats.count() == 2 and len({(r.mean_aqi, r.days_over_100) for r in stats.collect()}) == 1
+    preds = df.select(F.col("series_id").alias("model"), F.col("x").alias("yhat"))
+    assert sorted(r.prediction_count for r in prediction_summary(preds).collect()) == [7, 7]

@@ -64,6 +64,62 @@ def test_upsert_stream_resumes(spark, tmp_path):
     assert sorted((r.ts.day, r.aqi) for r in got) == [(1, 2.0), (2, 3.0)]
 
 
+def test_keep_last_equals_a_union_and_resumes(spark, tmp_path):
+    """Deliveries of the same hours in several files, restarted after each: the newest version of each key stays."""
+    r = random.Random(3)
+    schema, sent = "city string, ts timestamp, version long, aqi double", []
+    for part in range(4):
+        rows = [(r.choice(["a", "b", None]), T0 + dt.timedelta(minutes=60 * r.randrange(30) + 7), part * 1000 + i, float(r.randrange(400)) if i % 7 else None) for i in range(60)]
+        if part == 3:  # an older version that arrives last, and far-off times that close all hours
+            rows += [(c, t, v - 5000, -1.0) for c, t, v, _ in sent[:20]] + [("end", T0 + dt.timedelta(days=9), 9999, 0.0)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sent += rows
+        stream = S.stream_ingest(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+        S.start_append(S.keep_last(stream, ["city", "ts"], ["version"], late="60 hours"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    ordered = spark.createDataFrame(sorted(sent, key=lambda x: x[2]), schema)
+    want = S.keep_last(ordered, ["city", "ts"], ["version"]).where("version != 9999")
+    assert as_set(got) == as_set(want) and got.count() == want.count()
+    best = {}
+    for c, t, v, a in sent:
+        best[c, t] = max(best.get((c, t), (-1e9, None)), (v, a), key=lambda x: x[0])
+    assert {(x.city, x.ts): (x.version, x.aqi) for x in got.collect()} == {k: v for k, v in best.items() if k[0] != "end"}
+
+
+def test_shown_alerts_on_streams(spark, tmp_path):
+    """Early, late, double and missing dismissals, sent in a later batch than their alerts; equal to the batch result."""
+    readings = [("c%d" % i, T0 + dt.timedelta(minutes=20 * i), 310.0 if i % 2 else 160.0) for i in range(40)]
+    alerts = AL.hazard_alerts(spark.createDataFrame(readings, SCHEMA))
+    ids = [(a.id, a.ts) for a in alerts.collect()]
+    after = {0: [3], 1: [5, 9], 2: [45], 3: [-5], 4: [12]}  # minutes behind the alert; those of 10 minutes do not see the 12
+    sent = [(i, t + dt.timedelta(minutes=m)) for k, (i, t) in enumerate(ids) for m in after.get(k % 6, [])]
+    land(spark, tmp_path / "alerts", readings[:20], "a")
+    kind = "id string, dismissed_ts timestamp"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def go():
+        left = AL.hazard_alerts(S.stream_ingest(spark, str(tmp_path / "alerts"), SCHEMA))
+        right = S.stream_ingest(spark, str(tmp_path / "gone"), kind, ts="dismissed_ts")
+        S.start_append(S.shown_alerts(left, right), out, state).awaitTermination()
+
+    spark.createDataFrame(sent[:1], kind).write.parquet(str(tmp_path / "gone"))
+    go()
+    land(spark, tmp_path / "alerts", [*readings[20:], ("far", T0 + dt.timedelta(days=3), 200.0)], "b")
+    spark.createDataFrame([*sent[1:], ("nobody", T0 + dt.timedelta(days=3))], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "gone"))
+    go()
+    got = {r.id: r.shown_until for r in spark.read.parquet(out).where("city != 'far'").collect()}
+    want = {r.id: r.shown_until for r in S.shown_alerts(alerts, spark.createDataFrame(sent, kind)).collect()}
+    assert got == want and len(got) == 40
+    plain = {}
+    for i, t in ids:
+        stop = next(a.duration_minutes for a in alerts.where(F.col("id") == i).collect())
+        times = sorted(x for j, x in sent if j == i and x >= t)
+        plain[i] = min([t + dt.timedelta(minutes=stop), *times[:1]])
+    assert want == plain
+    now = T0 + dt.timedelta(minutes=200)
+    assert {r.id for r in S.active_at(spark.read.parquet(out), F.lit(now)).collect()} == {i for i, t in ids if t <= now < plain[i]}
+
+
 def test_alert_levels_and_expiry(spark):
     rows = [("A", T0 + dt.timedelta(minutes=m), v) for m, v in ((0, 301.0), (1, 300.5), (2, 200.0), (3, 150.0), (4, 149.9))]
     alerts = AL.hazard_alerts(spark.createDataFrame(rows, SCHEMA)).orderBy("ts")
