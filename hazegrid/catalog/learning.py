@@ -142,6 +142,9 @@ _model_query("model_gbt_earlystop", "gbt_leafy")
 
 
 _model_query("model_extra_trees", "extra_trees")
+_model_query("model_boost_level", "boost_level")
+_model_query("model_boost_leafy", "boost_leafy")
+_model_query("model_boost_symmetric", "boost_symmetric")
 
 
 ROOTS = X.Settings(trees=60, depth=1)

@@ -1,8 +1,7 @@
 """Model selection, validation and scoring with Spark ML.
 
-The boosted-tree libraries of the single-machine pipeline have no Spark ML twin; their roles are played by
-presets of ``GBTRegressor``, under names that say so. Extra trees are grown by ``extratrees``. Fits run on the
-pooled rows of all series.
+Extra trees are grown by ``extratrees``, the three kinds of boosted trees of the single-machine pipeline by ``boost``;
+``gbt_*`` are presets of Spark ML's ``GBTRegressor``. Fits run on the pooled rows of all series.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid import constants as K
+from hazegrid.operators import boost as B
 from hazegrid.operators import evaluate as E
 from hazegrid.operators import extratrees as X
 from hazegrid.operators import folds as FO
@@ -44,6 +44,11 @@ PRESETS = {
     "forest_nobootstrap": dict(kind="forest", numTrees=251, maxDepth=9, minInstancesPerNode=20, bootstrap=False,
                                featureSubsetStrategy="0.6449383229836702"),
     "extra_trees": dict(kind="extra", trees=251, depth=9, min_leaf=20, min_split=10, share=0.6449383229836702),
+    "boost_symmetric": dict(kind="boost", way="symmetric", rounds=672, depth=7, rate=0.018212208878911028, l2=1.8344212761367933,
+                            rows=0.6076978090537759),
+    "boost_level": dict(kind="boost", way="level", rounds=738, depth=6, rate=0.050902082752918125, l1=3.623661367173843,
+                        l2=2.3632955886312637, rows=0.728994202987864, features=0.7490071788934142),
+    "boost_leafy": dict(kind="boost", way="leafy", rounds=500, depth=6, rate=0.05, l1=0.1, l2=0.1, rows=0.8, features=0.8, least=20),
     "gradient_boosting": dict(kind="gbt", maxIter=115, maxDepth=3, stepSize=0.1436659003499937, minInstancesPerNode=2),
     "gbt_deep_slow": dict(kind="gbt", maxIter=672, maxDepth=7, stepSize=0.018212208878911028,
                           subsamplingRate=0.6076978090537759, early=True),
@@ -52,7 +57,7 @@ PRESETS = {
     "gbt_leafy": dict(kind="gbt", maxIter=500, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
                       minInstancesPerNode=20, early=True),
 }
-ENSEMBLES = {"ensemble_mean3": ["gbt_deep_slow", "gbt_deep", "extra_trees"]}
+ENSEMBLES = {"ensemble_mean3": ["boost_symmetric", "boost_level", "extra_trees"]}
 SEED = 42
 
 
@@ -83,7 +88,8 @@ def as_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def needs_validation(name: str, presets: Mapping | None = None) -> bool:
-    return bool((presets or PRESETS)[name].get("early"))
+    spec = (presets or PRESETS)[name]
+    return bool(spec.get("early")) or spec["kind"] == "boost"
 
 
 def trees_of(name: str, presets: Mapping | None = None) -> X.Settings | None:
@@ -92,8 +98,15 @@ def trees_of(name: str, presets: Mapping | None = None) -> X.Settings | None:
     return X.Settings(**spec, seed=SEED) if spec.pop("kind") == "extra" else None
 
 
-def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets: Mapping | None = None) -> PipelineModel | X.ExtraTrees:
+def boosting_of(name: str, presets: Mapping | None = None) -> B.Boosting | None:
+    spec = dict((presets or PRESETS)[name])
+    return B.Boosting(**spec, seed=SEED) if spec.pop("kind") == "boost" else None
+
+
+def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets: Mapping | None = None) -> PipelineModel | X.ExtraTrees | B.Boosted:
     """Fit on rows with a label; early-stopped models read ``is_validation``."""
+    if boosting_of(name, presets):
+        return B.fit_boosted(df, features, label, boosting_of(name, presets), validation="is_validation" if "is_validation" in df.columns else None)
     if trees_of(name, presets):
         return X.fit_extra_trees(df, features, label, trees_of(name, presets))
     extra = [F.col("is_validation")] if "is_validation" in df.columns else []
@@ -103,7 +116,7 @@ def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets:
 
 def importances(model: PipelineModel, features: Sequence[str], name: str, spark: SparkSession) -> DataFrame:
     """Feature importances (one row per feature column)."""
-    if isinstance(model, X.ExtraTrees):
+    if isinstance(model, (X.ExtraTrees, B.Boosted)):
         return model.importances(name)
     last = model.stages[-1]
     values = last.featureImportances if hasattr(last, "featureImportances") else None
@@ -181,7 +194,7 @@ def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str]
     """Predictions of every model on every sliding fold, as one long table with ``split``.
 
     Linear models are fitted on all folds at once from block moments; leading gaps then take the fold's training
-    means. Extra trees are grown for ``FOLDS_AT_ONCE`` folds together. For the others the fold-assigned rows are written
+    means. Extra trees and boosted trees are grown for ``FOLDS_AT_ONCE`` folds together. For the others the fold-assigned rows are written
     once, and each fit reads its fold from there. ``ensembles`` average at least two of their members on the test rows.
     """
     filled = checkpointed(filled_features(df, features, label, keys, ts))
@@ -189,7 +202,8 @@ def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str]
     out = [SF.linear_fold_predictions(filled, features, label, train, test, step, keys, ts, name=name) for name in lines]
     models = [name for name in models if name not in lines]
     forests = {name: trees_of(name, presets) for name in models if trees_of(name, presets)}
-    models = [name for name in models if name not in forests]
+    boosted = {name: boosting_of(name, presets) for name in models if boosting_of(name, presets)}
+    models = [name for name in models if name not in forests and name not in boosted]
     tagged = checkpointed(FO.assign_folds(filled, train, test, step, keys, ts))
     n_folds = tagged.agg(F.max("fold").alias("m")).first().m
     if n_folds is None:
@@ -213,6 +227,11 @@ def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str]
             part = tagged.where(F.col("fold").between(start, start + FOLDS_AT_ONCE - 1))
             grown = X.fit_extra_trees(part.where(F.col("split") == "train"), features, label, settings, group="fold")
             out.append(grown.transform(part).select(F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"))
+    for name, settings in boosted.items():
+        for start in range(0, n_folds + 1, FOLDS_AT_ONCE):
+            part = flagged.where(F.col("fold").between(start, start + FOLDS_AT_ONCE - 1))
+            grown = B.fit_boosted(part.where(F.col("split") == "train"), features, label, settings, "fold", "is_validation")
+            out.append(grown.transform(part).select(F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"))
     preds = checkpointed(reduce(DataFrame.unionByName, out))
     for name, members in (ensembles or {}).items():
         tests = preds.where(F.col("split") == "test")
@@ -231,15 +250,21 @@ def train_final(df: DataFrame, models: Sequence[str], features: Sequence[str], l
 
 def save_models(models: Mapping[str, PipelineModel], path: str) -> None:
     for name, model in models.items():
-        if isinstance(model, X.ExtraTrees):
+        if isinstance(model, (X.ExtraTrees, B.Boosted)):
             model.save(f"{path}/{name}")
         else:
             model.write().overwrite().save(f"{path}/{name}")
 
 
-def load_models(path: str, names: Sequence[str], presets: Mapping | None = None) -> dict[str, PipelineModel | X.ExtraTrees]:
+def load_models(path: str, names: Sequence[str], presets: Mapping | None = None) -> dict[str, PipelineModel | X.ExtraTrees | B.Boosted]:
     spark = SparkSession.getActiveSession()
-    return {name: X.ExtraTrees.load(spark, f"{path}/{name}") if trees_of(name, presets) else PipelineModel.load(f"{path}/{name}") for name in names}
+
+    def one(name: str):
+        if trees_of(name, presets):
+            return X.ExtraTrees.load(spark, f"{path}/{name}")
+        return B.Boosted.load(spark, f"{path}/{name}") if boosting_of(name, presets) else PipelineModel.load(f"{path}/{name}")
+
+    return {name: one(name) for name in names}
 
 
 def predict_batch(df: DataFrame, models: Mapping[str, PipelineModel], features: Sequence[str], keys: Sequence[str] = KEY,

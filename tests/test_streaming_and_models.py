@@ -146,13 +146,14 @@ def trend(spark):
 
 
 QUICK = {**M.PRESETS, "forest_importance": dict(kind="forest", numTrees=5, maxDepth=4),
+         "boost_level": dict(kind="boost", way="level", rounds=4, depth=3, rate=0.3), "boost_leafy": dict(kind="boost", way="leafy", rounds=4, depth=3, rate=0.3),
          "extra_trees": dict(kind="extra", trees=4, depth=4, min_leaf=5), "gbt_leafy": dict(kind="gbt", maxIter=5, maxDepth=3, early=True)}
 
 
 def test_validation_covers_every_fold_row(trend):
-    preds = M.fit_eval_folds(trend, ("linear", "gbt_leafy", "extra_trees"), ["x", "z"], "y", 120, 60, 40, presets=QUICK,
+    preds = M.fit_eval_folds(trend, ("linear", "gbt_leafy", "extra_trees", "boost_level"), ["x", "z"], "y", 120, 60, 40, presets=QUICK,
                              ensembles={"pair": ["gbt_leafy", "extra_trees"], "alone": ["linear", "absent"]})
-    assert preds.count() == 3 * 2 * 3 * 180 + 2 * 3 * 60
+    assert preds.count() == 4 * 2 * 3 * 180 + 2 * 3 * 60
     means = {(r.series_id, r.fold, r.ts): [] for r in preds.where("model = 'pair'").collect()}
     for r in preds.where("split = 'test' AND model IN ('gbt_leafy', 'extra_trees')").collect():
         means[r.series_id, r.fold, r.ts].append(r.yhat)
@@ -163,15 +164,15 @@ def test_validation_covers_every_fold_row(trend):
 
 
 def test_training_run_and_reload(spark, trend, tmp_path):
-    row = M.run_training(trend.withColumnRenamed("y", "aqi_24h"), 24, ["x", "z", "aqi_48h"][:2], ("linear", "extra_trees"),
+    row = M.run_training(trend.withColumnRenamed("y", "aqi_24h"), 24, ["x", "z", "aqi_48h"][:2], ("linear", "extra_trees", "boost_leafy"),
                          train=120, test=60, step=40, presets=QUICK, max_features=2, model_path=str(tmp_path)).first()
     assert row.model == "linear" and row.description == "The best model for 24h is linear" and row.feature_count >= 1
-    models = M.load_models(str(tmp_path), ["linear", "extra_trees"], QUICK)
+    models = M.load_models(str(tmp_path), ["linear", "extra_trees", "boost_leafy"], QUICK)
     features = ["x", "z"][: row.feature_count]
     preds = M.predict_batch(trend, models, ["x"] if row.feature_count == 1 else ["x", "z"],
                             ensembles={"both": ["linear", "extra_trees"], "alone": ["linear", "absent"]})
-    assert features and {r.model for r in preds.select("model").distinct().collect()} == {"linear", "extra_trees", "both"}
-    assert preds.count() == 3 * trend.count()
+    assert features and {r.model for r in preds.select("model").distinct().collect()} == {"linear", "extra_trees", "boost_leafy", "both"}
+    assert preds.count() == 4 * trend.count()
 
 
 def test_hybrid_selection_finds_the_signal(trend):
