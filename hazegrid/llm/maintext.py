@@ -367,8 +367,11 @@ def training_pages(pages: DataFrame, page_id: str, html: str) -> list[str]:
     """At most ``TRAIN_PAGES`` pages that mark an article: a fixed, bounded sample by the hash of the id."""
     source = F.col(f"`{html}`")
     fits = (F.length(source) <= TRAIN_CHARS) & F.lower(source).rlike("<(article|main)[ >]")
-    rows = pages.where(fits).select(F.xxhash64(F.col(f"`{page_id}`").cast("string")).alias("h"), F.md5(source.cast("binary")).alias("m"), source.alias("s"))
-    return [r.s for r in rows.orderBy("h", "m").limit(TRAIN_PAGES).collect()]
+    name = F.xxhash64(F.col(f"`{page_id}`").cast("string"))
+    # first only the names, so that tasks send no pages that are not taken
+    chosen = [r.h for r in pages.where(fits).select(name.alias("h")).orderBy("h").limit(TRAIN_PAGES).collect()]
+    rows = pages.where(name.isin(chosen) & fits).select(name.alias("h"), F.md5(source.cast("binary")).alias("m"), source.alias("s"))
+    return [r.s for r in rows.dropDuplicates(["h", "m"]).orderBy("h", "m").limit(TRAIN_PAGES).collect()] if chosen else []
 
 
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", extractor: Extractor | None = None) -> DataFrame:

@@ -27,8 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.llm.common import in_batches, texts
+from hazegrid.llm.common import in_batches, stored, texts
 
+HELD_WORDS = 300_000  # distinct words that a task holds before it passes them on
 COMMON_SHARE = 0.003
 LANG_SHARE = 0.001
 MIN_WORDS = 50
@@ -129,14 +130,19 @@ def own_languages(docs: DataFrame, lang: str = "lang") -> set[str]:
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """Per language: class histogram, bin of each common word, word histogram (last bin: other words).
 
-    A word with a share of the language has at least that share in some task's rows. So the first
-    pass sends on what is common in its own task, at most 1 / COMMON_SHARE words for a language, and
-    the second counts exactly those words everywhere.
+    Words are counted in the tasks and summed by shuffle; of these sums only the words that have ``COMMON_SHARE`` of
+    their language, at most 1 / COMMON_SHARE of them, and a few totals reach the driver.
     """
     own = own_languages(docs, lang)
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
 
-    def task_counts(batches: Iterator[pa.RecordBatch], only: dict[str, set[bytes]] | None):
+    def give(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for name, c in words.items():
+            keys, n = list(c), list(c.values())
+            for i in range(0, len(keys), 50_000):
+                yield _counted(name, "word", keys[i:i + 50_000], n[i:i + 50_000])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         totals: Counter = Counter()
         kinds: dict[str, np.ndarray] = {}
@@ -144,42 +150,39 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
             for name, t in _by_lang(b, "text", "lang", own):
                 found = t.lower().split()
                 totals[name] += len(found)
-                if only is not None:
-                    kinds[name] = kinds.get(name, np.zeros(CLASSES, dtype=np.int64)) + class_counts(t)
-                    found = filter(only.get(name, set()).__contains__, found)
+                kinds[name] = kinds.get(name, np.zeros(CLASSES, dtype=np.int64)) + class_counts(t)
                 words.setdefault(name, Counter()).update(found)
-        return words, totals, kinds
-
-    def common_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, totals, _ = task_counts(batches, None)
-        out = [(name, w) for name, c in words.items() for w, n in c.items() if n >= COMMON_SHARE * totals[name]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "word"])
-
-    maybe: dict[str, set[bytes]] = {}
-    for r in rows.mapInArrow(common_here, "lang string, word binary").distinct().collect():
-        maybe.setdefault(r.lang, set()).add(bytes(r.word))
-
-    def count_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, totals, kinds = task_counts(batches, maybe)
-        out = [(name, "word", w, n) for name, c in words.items() for w, n in c.items()]
-        out += [(name, "total", b"", n) for name, n in totals.items()]
-        out += [(name, "class", str(i).encode(), int(n)) for name, h in kinds.items() for i, n in enumerate(h)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.int64()))], ["lang", "what", "word", "n"])
-
-    counted = rows.mapInArrow(count_them, "lang string, what string, word binary, n long")
-    got: dict[str, dict[str, dict[bytes, int]]] = {}
-    for r in counted.groupBy("lang", "what", "word").agg(F.sum("n").alias("n")).collect():
-        got.setdefault(r.lang, {}).setdefault(r.what, {})[bytes(r.word)] = r.n
+            if sum(map(len, words.values())) > HELD_WORDS:
+                yield from give(words)
+                words = {}
+        yield from give(words)
+        for name, n in totals.items():
+            yield _counted(name, "total", [b"", *(str(i).encode() for i in range(CLASSES))], [n, *kinds[name].tolist()])
+
+    counted = rows.mapInArrow(count, "lang string, what string, word binary, n long")
+    counted = stored(counted.groupBy("lang", "what", "word").agg(F.sum("n").alias("n")), "words")
+    got: dict[str, dict[bytes, int]] = {}
+    for r in counted.where("what = 'total'").collect():
+        got.setdefault(r.lang, {})[bytes(r.word)] = r.n
+    least = F.create_map(*[F.lit(x) for name, g in got.items() for x in (name, float(COMMON_SHARE * g[b""]))]) if got else None
+    common: dict[str, dict[bytes, int]] = {name: {} for name in got}
+    if got:
+        for r in counted.where((F.col("what") == "word") & (F.col("n") >= least[F.col("lang")])).collect():
+            common[r.lang][bytes(r.word)] = r.n
     out = {}
     for name, g in got.items():
-        total = g["total"][b""]
-        common = sorted(w for w, n in g.get("word", {}).items() if n >= COMMON_SHARE * total)
-        hist = np.array([g["word"][w] for w in common] + [0], dtype=np.float64)
-        hist[-1] = total - hist.sum()
-        out[name] = (np.array([g["class"][str(i).encode()] for i in range(CLASSES)], dtype=np.float64), {w: i for i, w in enumerate(common)}, hist)
+        words = sorted(common[name])
+        hist = np.array([common[name][w] for w in words] + [0], dtype=np.float64)
+        hist[-1] = g[b""] - hist.sum()
+        out[name] = (np.array([g[str(i).encode()] for i in range(CLASSES)], dtype=np.float64), {w: i for i, w in enumerate(words)}, hist)
     return out
 
 
+def _counted(name: str, what: str, words: list[bytes], n: list[int]) -> pa.RecordBatch:
+    size = len(words)
+    return pa.RecordBatch.from_arrays([pa.array([name] * size, pa.string()), pa.array([what] * size, pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["lang", "what", "word", "n"])
+
+
 def _distances(text: bytes, ref) -> tuple[float, float, float]:
     """Distance of classes, distance of words, limit for the latter."""
     kinds, bins, hist = ref

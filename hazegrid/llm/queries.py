@@ -188,7 +188,14 @@ hits AS (
     CASE WHEN len(i.words) < 13 THEN {' + '.join(_EQUAL[1:17])} ELSE greatest({_WINDOWS}) END::BIGINT AS matched
   FROM d JOIN i USING (seed))
 SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(window_tokens)::BIGINT AS window_tokens, count(*)::BIGINT AS n_hits
-FROM hits WHERE matched >= CASE WHEN window_tokens < 13 THEN window_tokens ELSE 11 END GROUP BY doc_id, item_id"""
+FROM (
+  SELECT * FROM hits WHERE matched >= CASE WHEN window_tokens < 13 THEN window_tokens ELSE 11 END
+  UNION ALL
+  SELECT doc_id, item_id, k AS matched, k AS window_tokens FROM (
+    SELECT doc_id, item_id, d.words AS dw, i.words AS iw, len(i.words) AS k, unnest(range(0, len(d.words) - len(i.words) + 1)) AS p
+    FROM docs d, (SELECT min(item_id) AS item_id, words FROM (SELECT item_id, {_TOKENS} AS words FROM benchmark) WHERE len(words) BETWEEN 1 AND 7 GROUP BY words) i)
+  WHERE dw[p + 1:p + k] = iw)
+GROUP BY doc_id, item_id"""
 
 
 def _fits(host: str, path: str) -> str:

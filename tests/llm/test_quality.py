@@ -48,3 +48,16 @@ def test_empty_table_and_columns(no_docs, edge_docs):
     assert quality.judge(no_docs).count() == 0
     assert quality.keep_good(no_docs).columns == no_docs.columns and quality.keep_good(no_docs).count() == 0
     assert quality.keep_good(edge_docs).schema == edge_docs.schema
+
+
+def test_many_small_parts_give_the_same_references(spark, monkeypatch):
+    """A few words to a task, or one task for all: the same common words and counts, and no word list beyond the common ones."""
+    rows = [(i, prose(40 + i % 30, i), ("en", "fr", None)[i % 3]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = quality.references(docs.coalesce(1))
+    monkeypatch.setattr(quality, "HELD_WORDS", 20)
+    many = quality.references(docs.repartition(200))
+    assert one.keys() == many.keys() and len(one) >= 2
+    for name in one:
+        assert one[name][1] == many[name][1] and 0 < len(one[name][1]) <= 1 / quality.COMMON_SHARE
+        assert (one[name][0] == many[name][0]).all() and (one[name][2] == many[name][2]).all()
