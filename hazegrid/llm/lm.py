@@ -46,7 +46,7 @@ VOCABULARY = 55.0  # words with a code of their own: so many times the root of t
 SLOTS, LEAST_SLOTS = 110.0, 1 << 18  # of each context table, likewise; and at least
 SHRINK = 16.0
 PARTS = 32  # pieces in which a table is summed
-BATCH_WORDS = 100_000
+BATCH_WORDS = 25_000  # tokens scored together: their bits should stay in the processor's caches
 GATES, LEVELS = 8, 8
 START_WEIGHT = 0.6
 DAMPING = 8.0
@@ -268,16 +268,28 @@ class Mixer:
         sign = (2 * bit - 1).astype(np.float32)
         total = np.zeros(len(docs))
         for a, b in zip(ends[:-1], ends[1:]):
-            g, u, v_ = gate[a:b], x[0][a:b], x[1][a:b]
-            z = base[a:b] + weight[0][g] * u + weight[1][g] * v_
-            level = lane[a:b] * LEVELS + np.clip((z + 8) * 0.5, 0, LEVELS - 1).astype(np.int64)
-            against = np.exp(np.clip(-sign[a:b] * (z + shift[level]), -80, 80))  # odds of the other bit
-            total += np.bincount(lane[a:b], np.log1p(against), len(docs))
-            miss = against / (1 + against)
-            wrong, sure = sign[a:b] * miss, miss * (1 - miss)
+            g, u, v_, side, own = gate[a:b], x[0][a:b], x[1][a:b], sign[a:b], lane[a:b]
+            z = weight[0][g]
+            z *= u
+            part = weight[1][g]
+            part *= v_
+            z += part
+            z += base[a:b]
+            level = np.clip((z + 8) * 0.5, 0, LEVELS - 1).astype(np.int64)
+            level += own * LEVELS
+            z += shift[level]
+            z *= side
+            against = np.exp(np.clip(np.negative(z, out=z), -80, 80, out=z), out=z)  # odds of the other bit
+            whole = against + 1
+            total += np.bincount(own, np.log(whole), len(docs))
+            miss = np.divide(against, whole, out=whole)
+            wrong = side * miss
+            sure = np.multiply(miss, 1 - miss, out=miss)
             for t, c in enumerate((u, v_)):
-                force[t] += np.bincount(g, sure * c * c, n_gates)
-                weight[t] += np.bincount(g, wrong * c, n_gates) / force[t]
+                pull = sure * c
+                pull *= c
+                force[t] += np.bincount(g, pull, n_gates)
+                weight[t] += np.bincount(g, np.multiply(wrong, c, out=pull), n_gates) / force[t]
             grip += np.bincount(level, sure, n_levels)
             shift += np.bincount(level, wrong, n_levels) / grip
         return total / math.log(2)
@@ -443,7 +455,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             ids = v.encode(w)
             held.append(ids.astype(np.int32).tobytes())
             base.append(float(base_of[ids[ids > 0]].sum()))
-            left = Counter(w[i] for i in np.flatnonzero(ids == 0))
+            left = Counter(map(w.__getitem__, np.flatnonzero(ids == 0).tolist()))
             rare_words.append(list(left))
             n_rare.append(list(left.values()))
         size_ = [len(w) + 1 for w in batch]
