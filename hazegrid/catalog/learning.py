@@ -54,7 +54,7 @@ def _(spark, d):
 
 @query("cv_predictions")
 def _(spark, d):
-    return M.fit_eval_folds(training_table(spark, d), ("linear", "decision_tree"), CORE, LABEL, TRAIN, TEST, STEP)
+    return M.fit_eval_folds(training_table(spark, d), ("linear", "decision_tree"), FEATURES, LABEL, TRAIN, TEST, STEP)
 
 
 @query("cv_ensemble")
@@ -203,8 +203,8 @@ def _(spark, d):
 @query("predict_batch")
 def _(spark, d):
     t = training_table(spark, d)
-    models = M.train_final(t, ("linear", "decision_tree"), CORE, LABEL)
-    return M.predict_batch(t, models, CORE, ensembles={"blend": ["linear", "decision_tree"]})
+    models = M.train_final(t, ("linear", "decision_tree", "extra_trees"), FEATURES, LABEL)
+    return M.predict_batch(t, models, FEATURES, ensembles={"blend": ["linear", "decision_tree", "extra_trees"]})
 
 
 @query("predict_batch_rows", f"""WITH {aqi_grid_sql()}
@@ -220,24 +220,32 @@ def _(spark, d):
 @query("model_importance")
 def _(spark, d):
     t = training_table(spark, d)
-    models = M.train_final(t, ("decision_tree", "forest_baseline"), CORE, LABEL)
-    parts = [M.importances(m, CORE, name, spark) for name, m in models.items()]
+    models = M.train_final(t, ("decision_tree", "extra_trees"), FEATURES, LABEL)
+    parts = [M.importances(m, FEATURES, name, spark) for name, m in models.items()]
     return E.top_k_features(parts[0].unionByName(parts[1]), 5)
 
 
 @query("train_run")
 def _(spark, d):
     """Whole training run of one horizon, models saved and a registry row returned."""
-    return M.run_training(training_table(spark, d), 24, CORE, ("linear", "decision_tree"), train=TRAIN, test=TEST,
+    return M.run_training(training_table(spark, d), 24, FEATURES, ("linear", "decision_tree", "extra_trees"), train=TRAIN, test=TEST,
                           step=STEP, model_path=f"{scratch_dir(spark)}/models_24h").drop("description")
 
 
 @query("forecast_horizons")
 def _(spark, d):
-    """Latest row per city -> one forecast per horizon."""
+    """Latest row per city -> one forecast per horizon, each by the model that does best on the last fifth."""
     from hazegrid.sources.stores import snapshot_tail
 
     t = training_table(spark, d)
-    models = {h: M.train_final(t, ("linear",), CORE, f"aqi_{h}h")["linear"] for h in K.HORIZONS}
-    latest = snapshot_tail(t, ["series_id"], CORE, 1)
-    return M.forecast(latest, models, {h: CORE for h in K.HORIZONS})
+    models = {}
+    for h in K.HORIZONS:
+        label, names = f"aqi_{h}h", ("linear", "decision_tree")
+        split = checkpointed(FO.chrono_split(M.filled_features(t.where(F.col(label).isNotNull()), FEATURES, label), 0.8))
+        fitted = {n: M.fit(split.where("split = 'train'"), n, FEATURES, label) for n in names}
+        preds = [m.transform(M.as_double(split, [*FEATURES, label])).select(F.lit(n).alias("model"), F.lit(0).alias("fold"), "split", F.col(label).alias("y"), "yhat") for n, m in fitted.items()]
+        scores = E.generalization(E.regression_metrics(preds[0].unionByName(preds[1]), ["model", "fold", "split"]))
+        best = E.best_model(scores, order=names).first().best_model
+        models[h] = M.train_final(t, (best,), FEATURES, label)[best]
+    latest = snapshot_tail(t, ["series_id"], FEATURES, 1)
+    return M.forecast(latest, models, {h: FEATURES for h in K.HORIZONS})
