@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hazegrid.catalog.base import (
+    REGISTRY,
     MODELS, aqi_grid, aqi_grid_sql, grid_sql, gridded, hourly_panel, panel_sql, persistence, persistence_sql,
     query, readings, readings_sql, table,
 )
@@ -251,6 +252,17 @@ def _(spark, d):
 
 
 
+@query("join_bucketed", REGISTRY["join_weather_air"].sql)
+def _(spark, d):
+    """The same join of two sources that are stored in buckets of (series, hour)."""
+    base = f"{scratch_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    p = hourly_panel(spark, d)
+    for name, rows in (("air", p.where(F.col("so2").isNotNull()).select("series_id", "ts", "pm2_5", "so2")),
+                       ("weather", p.where(F.col("temperature") > 12).select("series_id", "ts", "temperature", "humidity"))):
+        S.write_bucketed(rows, f"hazegrid_{name}", f"{base}/{name}", buckets=8)
+    return H.join_sources(spark.table("hazegrid_weather"), spark.table("hazegrid_air"))
+
+
 @query("schema_aligned", f"WITH {panel_sql()} SELECT series_id, ts, pm2_5, so2 FROM panel", ["pm2_5", "so2"])
 def _(spark, d):
     """Columns under other spellings, brought to the names and the columns a store knows."""

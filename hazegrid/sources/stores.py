@@ -75,6 +75,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str] = ("series_id", "ts"), buckets: int = 64) -> None:
+    """Store as a table of ``buckets`` files, hashed and sorted by ``keys``. Stores with the same keys and number of buckets
+    are joined on those keys, and aggregated by them, without a shuffle or a sort; a delivery goes into its own table or a rewrite.
+
+    One file per bucket: rows are hashed once here as the table hashes them. A hot series spreads, since the time is a key too."""
+    parted = df.repartition(buckets, *keys)
+    parted.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").format("parquet").saveAsTable(table)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import column
+from conftest import T0, column
 from pyspark.sql import functions as F
 
 from hazegrid.operators import clean as C
@@ -268,3 +268,26 @@ def test_series_without_a_name(spark):
     assert stats.count() == 2 and len({(r.mean_aqi, r.days_over_100) for r in stats.collect()}) == 1
     preds = df.select(F.col("series_id").alias("model"), F.col("x").alias("yhat"))
     assert sorted(r.prediction_count for r in prediction_summary(preds).collect()) == [7, 7]
+
+
+def test_bucketed_stores_join_without_exchange(spark, tmp_path):
+    from hazegrid.sources.hourly import join_sources
+    from hazegrid.sources.stores import write_bucketed
+
+    rows = [(f"s{i % 5}" if i % 11 else None, T0 + pd.Timedelta(hours=i // 5).to_pytimedelta(), float(i)) for i in range(400)]
+    left = spark.createDataFrame(rows, "series_id string, ts timestamp, a double")
+    right = spark.createDataFrame(rows[100:], "series_id string, ts timestamp, b double")
+    write_bucketed(left, "test_left", str(tmp_path / "left"), buckets=4)
+    write_bucketed(right, "test_right", str(tmp_path / "right"), buckets=4)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        joined = join_sources(spark.table("test_left"), spark.table("test_right"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert sorted(map(str, joined.collect())) == sorted(map(str, join_sources(left, right).collect()))
+        sums = spark.table("test_left").groupBy("series_id", "ts").count()
+        assert "Exchange" not in sums._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE test_left")
+        spark.sql("DROP TABLE test_right")
