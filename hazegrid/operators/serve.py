@@ -164,7 +164,8 @@ def forecast_hourly(current: DataFrame, points: Mapping[int, str], max_hours: in
                     ts: str = "ts", value: str = "aqi") -> DataFrame:
     """Hourly curve through (0, current) and the horizon forecasts, flat beyond the last one.
 
-    ``points``: horizon hours -> column of its forecast. Null forecasts leave their point out.
+    ``points``: horizon hours -> column of its forecast. Null forecasts leave their point out; the hours before the
+    first point, or all of them without any point, have a null forecast.
     """
     if not 1 <= max_hours <= 72:
         raise ValueError("Maximum horizon is 72 hours.")
@@ -179,7 +180,7 @@ def forecast_hourly(current: DataFrame, points: Mapping[int, str], max_hours: in
         city, ts, "_k", F.explode(F.sequence(F.lit(1), F.lit(max_hours))).alias("horizon_hours")
     )
     h = F.col("horizon_hours")
-    left = F.element_at(F.filter("_k", lambda p: p["x"] <= h), -1)
+    left = F.try_element_at(F.filter("_k", lambda p: p["x"] <= h), F.lit(-1))
     right = F.try_element_at(F.filter("_k", lambda p: p["x"] >= h), F.lit(1))
     seg = hours.select(city, ts, "horizon_hours", left.alias("a"), right.alias("b"))
     a, b = F.col("a"), F.col("b")

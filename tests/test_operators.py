@@ -221,6 +221,21 @@ def test_hourly_curve(spark):
     assert (worst.horizon_hours, worst.label) == (24, "Excellent")
 
 
+def curves_with_gaps(spark):
+    """A city without a current value, one without any point, and one whose only point is the current value."""
+    df = spark.createDataFrame([("late", dt.datetime(2024, 1, 1), None, 10.0, None, 40.0), ("none", dt.datetime(2024, 1, 1), None, None, None, None),
+                                ("flat", dt.datetime(2024, 1, 1), 7.0, None, None, None)], "city string, ts timestamp, aqi double, p24 double, p48 double, p72 double")
+    return V.forecast_hourly(df, {24: "p24", 48: "p48", 72: "p72"})
+
+
+def test_forecast_hourly_without_a_current_value(spark):
+    got = {(r.city, r.horizon_hours): r for r in curves_with_gaps(spark).collect()}
+    assert len(got) == 3 * 72
+    assert [got["late", h].predicted_aqi for h in (1, 23, 24, 48, 72)] == [None, None, 10, 25, 40]
+    assert {got["none", h].predicted_aqi for h in range(1, 73)} == {None} and {got["flat", h].predicted_aqi for h in range(1, 73)} == {7}
+    assert got["late", 1].risk_level == "Hazardous"  # as every null index
+
+
 def test_minmax_inverse(spark):
     df = spark.createDataFrame([(2.0,), (4.0,), (None,)], "x double")
     got = V.minmax_scale(df, ["x"]).withColumn("back", V.minmax_inverse(F.col("x"), F.lit(2.0), F.lit(4.0))).collect()
