@@ -236,6 +236,11 @@ def test_forecast_hourly_without_a_current_value(spark):
     assert got["late", 1].risk_level == "Hazardous"  # as every null index
 
 
+def test_next_hours_without_a_current_value(spark):
+    got = sorted((r.city, r.horizon_hours, r.aqi_shown, r.label) for r in V.next_hours(curves_with_gaps(spark)).collect())
+    assert got == sorted([(c, h, *v) for c, v in (("late", (None, None)), ("none", (None, None)), ("flat", (7, "Excellent"))) for h in range(1, 7)])
+
+
 def test_minmax_inverse(spark):
     df = spark.createDataFrame([(2.0,), (4.0,), (None,)], "x double")
     got = V.minmax_scale(df, ["x"]).withColumn("back", V.minmax_inverse(F.col("x"), F.lit(2.0), F.lit(4.0))).collect()
