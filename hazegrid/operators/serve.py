@@ -203,8 +203,8 @@ def next_hours(forecast: DataFrame, n: int = 6, city: str = "city") -> DataFrame
 
 
 def worst_hour(forecast: DataFrame, city: str = "city") -> DataFrame:
-    """Hour with the highest forecast per city, the earliest on ties."""
-    best = F.min(F.struct((-F.col("predicted_aqi")).alias("v"), "horizon_hours", "forecast_ts"))
+    """Hour with the highest forecast per city, the earliest on ties; a null forecast only where there is no other."""
+    best = F.min(F.struct(F.col("predicted_aqi").isNull(), (-F.col("predicted_aqi")).alias("v"), "horizon_hours", "forecast_ts"))
     return forecast.groupBy(city).agg(best.alias("b")).select(
         city, (-F.col("b.v")).alias("predicted_aqi"), F.col("b.horizon_hours").alias("horizon_hours"),
         F.col("b.forecast_ts").alias("forecast_ts"),

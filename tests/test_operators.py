@@ -241,6 +241,11 @@ def test_next_hours_without_a_current_value(spark):
     assert got == sorted([(c, h, *v) for c, v in (("late", (None, None)), ("none", (None, None)), ("flat", (7, "Excellent"))) for h in range(1, 7)])
 
 
+def test_worst_hour_counts_known_hours_first(spark):
+    got = {r.city: (r.predicted_aqi, r.horizon_hours) for r in V.worst_hour(curves_with_gaps(spark)).collect()}
+    assert got == {"late": (40, 72), "none": (None, 1), "flat": (7, 1)}
+
+
 def test_minmax_inverse(spark):
     df = spark.createDataFrame([(2.0,), (4.0,), (None,)], "x double")
     got = V.minmax_scale(df, ["x"]).withColumn("back", V.minmax_inverse(F.col("x"), F.lit(2.0), F.lit(4.0))).collect()
