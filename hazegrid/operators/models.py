@@ -72,6 +72,8 @@ def estimator(name: str, features: Sequence[str], label: str, presets: Mapping |
         cls = {"tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "gbt": GBTRegressor}[kind]
         if early:
             spec["validationIndicatorCol"] = "is_validation"
+        if kind == "forest":  # else every pass walks all rows through all trees and sends the trees with it
+            spec["cacheNodeIds"] = True
         model = cls(**io, seed=SEED, **spec)
     filled = [f"_x{i}" for i in range(len(features))]
     return Pipeline(
@@ -111,6 +113,8 @@ def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets:
         return X.fit_extra_trees(df, features, label, trees_of(name, presets))
     extra = [F.col("is_validation")] if "is_validation" in df.columns else []
     rows = as_double(df.select(*features, label, *extra), [*features, label]).where(F.col(label).isNotNull())
+    if (presets or PRESETS)[name]["kind"] == "forest":  # every part of the rows sends numbers for every open node
+        rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return estimator(name, features, label, presets).fit(rows)
 
 

@@ -194,3 +194,18 @@ def test_missing_feature_columns(trend):
     assert M.predict_batch(trend.drop("z"), models, ["x", "z"]).where("yhat is not null").count() == trend.count()
     with pytest.raises(ValueError):
         M.predict_batch(trend.drop("x", "z"), models, ["x", "z"])
+
+
+def test_forests_keep_node_ids_and_cut_the_rows_by_cores(spark, monkeypatch):
+    assert M.estimator("random_forest", ["a"], "y").getStages()[-1].getCacheNodeIds()
+    seen = []
+
+    class Stub:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+
+    monkeypatch.setattr(M, "estimator", lambda *a, **k: Stub())
+    df = spark.range(300).selectExpr("cast(id as double) AS a", "cast(id % 7 as double) AS y")
+    for parts in (1, 60):
+        M.fit(df.repartition(parts), "forest_importance", ["a"], "y")
+    assert seen == [(spark.sparkContext.defaultParallelism, 300)] * 2
