@@ -197,7 +197,7 @@ def test_missing_feature_columns(trend):
 
 
 def test_forests_keep_node_ids_and_cut_the_rows_by_cores(spark, monkeypatch):
-    assert M.estimator("random_forest", ["a"], "y").getStages()[-1].getCacheNodeIds()
+    assert all(M.estimator(name, ["a"], "y").getStages()[-1].getCacheNodeIds() for name in ("random_forest", "forest_importance"))
     seen = []
 
     class Stub:
