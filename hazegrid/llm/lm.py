@@ -33,7 +33,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -121,13 +122,18 @@ class Tree:
             self.visits += np.bincount(node, counts[w], self.nodes)
             self.ones += np.bincount(node, counts[w] * bit, self.nodes)
 
+    def steps(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each symbol its number of bits and where they begin; for each bit of all symbols 2 * node + bit."""
+        n = self.length[symbols]
+        first = np.cumsum(n) - n
+        at = np.repeat(self.start[symbols] - first, n)
+        at += np.arange(len(at))
+        return n, first, self.path[at].astype(np.int64)  # also used as an index, so not narrower
+
     def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each bit of all symbols: position of its symbol, depth, node, bit."""
-        n = self.length[symbols]
-        owner = np.repeat(np.arange(len(symbols)), n)
-        depth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        step = self.path[np.repeat(self.start[symbols], n) + depth].astype(np.int64)  # also used as an index, so not narrower
-        return owner, depth, step >> 1, step & 1
+        n, first, step = self.steps(symbols)
+        return np.repeat(np.arange(len(symbols)), n), np.arange(len(step)) - np.repeat(first, n), step >> 1, step & 1
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -144,9 +150,15 @@ class Layout:
         self.start = np.cumsum(width) - width
         self.size = int(width.sum())
 
-    def slots(self, node: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """``context``: 32 hashed bits each."""
-        return self.start[node] + ((context * self.width[node]) >> np.uint64(32)).astype(np.int64)
+    def slots(self, node: np.ndarray, contexts: Sequence[np.ndarray]) -> Iterator[np.ndarray]:
+        """Slots for each of ``contexts``: 32 hashed bits each."""
+        start, width = self.start[node], self.width[node]
+        for c in contexts:
+            slot = c * width
+            slot >>= np.uint64(32)
+            slot = slot.view(np.int64)  # below the size of a table
+            slot += start
+            yield slot
 
 
 class Vocabulary:
@@ -173,8 +185,10 @@ class Vocabulary:
         return out
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.ids.get
-        return np.array([get(w, 0) for w in words] + [self.END], dtype=np.int64)
+        out = np.empty(len(words) + 1, dtype=np.int64)
+        out[:-1] = np.fromiter(map(self.ids.get, words, repeat(self.ESCAPE)), np.int64, len(words))
+        out[-1] = self.END
+        return out
 
 
 def _contexts(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,9 +223,11 @@ def count_ids(vocabulary: Vocabulary, texts_: list[np.ndarray], tables: np.ndarr
         ids = texts_[a:b]
         flat = np.concatenate(ids)
         h = _contexts(flat, np.cumsum([0, *map(len, ids[:-1])]))
-        owner, _, node, bit = vocabulary.tree.bits(flat)
-        for t in range(2):
-            np.add.at(tables[t].reshape(-1), vocabulary.layout.slots(node, h[t][owner]) + size * bit, 1)
+        n, _, step = vocabulary.tree.steps(flat)
+        side = (step & 1) * size
+        for t, slot in enumerate(vocabulary.layout.slots(step >> 1, [np.repeat(x, n) for x in h])):
+            slot += side
+            np.add.at(tables[t].reshape(-1), slot, 1)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -255,11 +271,14 @@ class Mixer:
         block = np.where(pos < 64, _FIRST_BLOCKS[np.minimum(pos, 63)], np.where(pos < 1024, 4 + pos // 64, 18 + pos // 512))
         order = np.argsort(block, kind="stable")
         flat, h1, h2, doc, block = flat[order], h1[order], h2[order], doc[order], block[order]
-        owner, depth, node, bit = v.tree.bits(flat)
-        x = [self.lift[0][v.layout.slots(node, h1[owner])], self.lift[1][v.layout.slots(node, h2[owner])]]
+        n, start, step = v.tree.steps(flat)
+        node, bit = step >> 1, step & 1
+        x = [lift[slot] for lift, slot in zip(self.lift, v.layout.slots(node, [np.repeat(h, n) for h in (h1, h2)]))]
         base = self.logit[node]
-        lane = doc[owner]
-        gate = lane * GATES + np.minimum(depth, GATES - 1)
+        lane = np.repeat(doc, n)
+        gate = np.arange(len(step)) - np.repeat(start, n)  # the depth
+        np.minimum(gate, GATES - 1, out=gate)
+        gate += lane * GATES
         edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, dtype=np.int64)
         ends = np.r_[0, np.cumsum(v.tree.length[flat])][edges]
         n_gates, n_levels = len(docs) * GATES, len(docs) * LEVELS

@@ -141,3 +141,19 @@ def test_no_training_documents(spark, no_docs):
     out = lm.score_documents(spark.createDataFrame([(held[0], "a b"), (held[1], None)], "doc_id long, text string")).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and math.isfinite(r.score) for r in out)
     assert lm.score_documents(no_docs).count() == 0
+
+
+def test_bits_are_expanded_once_for_both_contexts():
+    """Steps, slots and ids against their definitions, token by token; the context hashes stay as they are."""
+    v = lm.Vocabulary([b"a", b"b", b"c"], np.array([3.0, 2.0, 9.0, 5.0, 1.0]), 64)
+    ids = v.encode([b"b", b"x", b"a", b"c"])
+    assert ids.tolist() == [3, 0, 2, 4, 1]
+    n, first, step = v.tree.steps(ids)
+    assert n.tolist() == [int(v.tree.length[i]) for i in ids] and first.tolist() == np.r_[0, np.cumsum(n)[:-1]].tolist()
+    assert step.tolist() == [int(v.tree.path[v.tree.start[i] + d]) for i in ids for d in range(v.tree.length[i])]
+    node = step >> 1
+    contexts = [np.arange(len(node), dtype=np.uint64) * np.uint64(f) for f in (0x07000001, 0x0B000003)]
+    kept = [c.copy() for c in contexts]
+    for c, k, got in zip(contexts, kept, v.layout.slots(node, contexts)):
+        assert c.tolist() == k.tolist()
+        assert got.tolist() == [int(v.layout.start[b]) + (int(x) * int(v.layout.width[b]) >> 32) for b, x in zip(node, c)]
