@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from hazegrid.session import checkpointed
 
 UNIT = 1 << 20  # labels count in parts of this
-SLICE = 2048  # rows that a task looks at together
+SLICE = 8192  # rows of a group that a task looks at together
 _NODES = "grp int, tree int, node int, n long, total long, feature int, cut double, gain double"
 
 
@@ -59,13 +59,15 @@ class Forest:
 
     def descend(self, group: int, x: np.ndarray, levels: int) -> np.ndarray:
         """Node of each row (first axis) in each tree after at most ``levels`` steps."""
-        node = np.ones((len(x), self.settings.trees), dtype=np.int64)
-        tree, row = np.arange(self.settings.trees), np.arange(len(x))[:, None]
-        for _ in range(levels):
-            f = self.feature[group, tree, node]
-            right = x[row, np.maximum(f, 0)] > self.cut[group, tree, node]
-            node = np.where(f >= 0, 2 * node + right, node)
-        return node
+        out = np.ones((self.settings.trees, len(x)), dtype=np.int64)
+        values, start, number = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1], np.arange(self.feature.shape[2])
+        for node, feature, cut in zip(out, self.feature[group], self.cut[group]):
+            inner = feature >= 0  # at a leaf no value is beyond the cut, and the next node is the leaf itself
+            column, beyond, below = np.maximum(feature, 0).astype(np.int64), np.where(inner, cut, np.inf), np.where(inner, 2 * number, number)
+            for _ in range(levels):
+                right = values.take(start + column.take(node)) > beyond.take(node)
+                node[:] = below.take(node) + right
+        return out.T
 
     def predict(self, group: int, x: np.ndarray) -> np.ndarray:
         node = self.descend(group, x, self.settings.depth)
@@ -86,36 +88,43 @@ class Forest:
         return out
 
 
+def _by_node(node: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one tree that are in a node from ``first`` on, node after node; where each node's rows begin, and its place."""
+    place = node - first
+    small = place.astype(np.int16) if first <= 1 << 14 else place  # 16 bits are sorted by radix
+    order = np.argsort(small, kind="stable")
+    order = order[np.searchsorted(small, 0, sorter=order):]
+    sorted_ = place[order]
+    edge = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.zeros(0, dtype=np.int64)
+    return order, edge, sorted_[edge]
+
+
 def _ranges(x: np.ndarray, y: np.ndarray, node: np.ndarray, first: int, low: np.ndarray, high: np.ndarray, cuts) -> None:
     """Fold rows into least and greatest values [tree, node, feature] of the nodes from ``first`` on."""
-    width = low.shape[1]
-    trees = np.arange(node.shape[1])
-    key = np.where(node >= first, trees * width + node - first, -1)
-    for t in trees:  # rows of one tree, node after node
-        order = np.argsort(key[:, t], kind="stable")
-        k = key[order, t]
-        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        edge = edge[k[edge] >= 0]
+    columns = np.ascontiguousarray(x.T)
+    for t in range(node.shape[1]):
+        order, edge, at = _by_node(node[:, t], first)
         if len(edge):
-            part = x[order]
-            at = k[edge] - t * width
-            low[t, at] = np.minimum(low[t, at], np.minimum.reduceat(part, edge, axis=0))
-            high[t, at] = np.maximum(high[t, at], np.maximum.reduceat(part, edge, axis=0))
+            part = columns.take(order, axis=1)
+            low[t, at] = np.minimum(low[t, at], np.minimum.reduceat(part, edge, axis=1).T)
+            high[t, at] = np.maximum(high[t, at], np.maximum.reduceat(part, edge, axis=1).T)
 
 
 def _sides(x: np.ndarray, y: np.ndarray, node: np.ndarray, first: int, count: np.ndarray, total: np.ndarray, cuts: np.ndarray) -> None:
     """Fold rows into rows and labels left of each cut [tree, node, feature], the last feature being all rows."""
-    width, p = cuts.shape[1], cuts.shape[2]
+    columns, p = np.ascontiguousarray(x.T), x.shape[1]
     for t in range(node.shape[1]):
-        here = np.flatnonzero(node[:, t] >= first)
-        at = node[here, t] - first
-        left = np.column_stack([x[here] <= cuts[t, at], np.ones(len(here), dtype=bool)])
-        key = (at[:, None] * (p + 1) + np.arange(p + 1))[left]
-        size = width * (p + 1)
-        count[t] += np.bincount(key, minlength=size).reshape(width, -1)
-        sums = np.zeros(size, dtype=np.int64)
-        np.add.at(sums, key, np.broadcast_to(y[here][:, None], left.shape)[left])
-        total[t] += sums.reshape(width, -1)
+        order, edge, at = _by_node(node[:, t], first)
+        if not len(edge):
+            continue
+        left = np.ones((p + 1, len(order)), dtype=bool)
+        sizes = np.diff(np.r_[edge, len(order)])
+        np.less_equal(columns.take(order, axis=1), np.repeat(cuts[t, at].T, sizes, axis=1), out=left[:p])
+        ends = edge + sizes - 1
+        for sums, part in ((count, left), (total, left * y[order])):
+            upto = np.cumsum(part, axis=1, dtype=np.int64).take(ends, axis=1)
+            upto[:, 1:] -= upto[:, :-1].copy()
+            sums[t, at] += upto.T
 
 
 def _pass(rows: DataFrame, forest: Forest, level: int, cuts: np.ndarray | None, features: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
@@ -123,49 +132,68 @@ def _pass(rows: DataFrame, forest: Forest, level: int, cuts: np.ndarray | None,
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((forest, cuts))
     first, width, trees = 1 << level, 1 << level, forest.settings.trees
-    numbers = (float, float) if cuts is None else (np.int64, np.int64)
+    columns, kind = (features, float) if cuts is None else (features + 1, np.int64)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grown, cut = shared.value
         place = {g: i for i, g in enumerate(grown.groups)}
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def add(g: int) -> None:
+            x, y = (np.concatenate(v) for v in zip(*waiting.pop(g)))
+            if g not in held:
+                if cut is None:
+                    held[g] = np.full((trees, width, features), np.inf), np.full((trees, width, features), -np.inf)
+                else:
+                    held[g] = np.zeros((trees, width, features + 1), dtype=np.int64), np.zeros((trees, width, features + 1), dtype=np.int64)
+            for i in range(0, len(x), SLICE):
+                some = slice(i, i + SLICE)
+                node = grown.descend(place[g], x[some], level)
+                (_ranges if cut is None else _sides)(x[some], y[some], node, first, *held[g], None if cut is None else cut[place[g]])
+
         for b in batches:
             group = b.column("grp").to_numpy()
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
             y = b.column("y").to_numpy()
             for g in np.unique(group):
-                if g not in held:
-                    if cut is None:
-                        held[g] = np.full((trees, width, features), np.inf), np.full((trees, width, features), -np.inf)
-                    else:
-                        held[g] = np.zeros((trees, width, features + 1), dtype=np.int64), np.zeros((trees, width, features + 1), dtype=np.int64)
-                mine = np.flatnonzero(group == g)
-                for i in range(0, len(mine), SLICE):
-                    some = mine[i:i + SLICE]
-                    node = grown.descend(place[g], x[some], level)
-                    (_ranges if cut is None else _sides)(x[some], y[some], node, first, *held[g], None if cut is None else cut[place[g]])
+                mine = group == g
+                waiting.setdefault(g, []).append((x[mine], y[mine]))
+                if sum(len(v) for _, v in waiting[g]) >= SLICE:
+                    add(g)
+        for g in list(waiting):
+            add(g)
         for g, (a, c) in held.items():
+            some = a[:, :, 0] <= c[:, :, 0] if cut is None else a[:, :, -1] > 0
+            at = [np.flatnonzero(s).astype(np.int32) for s in some]  # nodes without rows are not sent
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g] * trees, pa.int32()), pa.array(range(trees), pa.int32()), pa.array([v.tobytes() for v in a], pa.binary()), pa.array([v.tobytes() for v in c], pa.binary())],
-                ["grp", "tree", "a", "b"])
+                [pa.array([g] * trees, pa.int32()), pa.array(range(trees), pa.int32()), *[pa.array([v.tobytes() for v in part], pa.binary()) for part in (
+                    at, [v[k] for v, k in zip(a, at)], [v[k] for v, k in zip(c, at)])]],
+                ["grp", "tree", "at", "a", "b"])
+
+    def dense(parts: Sequence[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes with rows, and both arrays [node, feature] over all parts."""
+        if cuts is None:
+            (one, other), (low, high) = (np.minimum, np.maximum), (np.inf, -np.inf)
+        else:
+            (one, other), (low, high) = (np.add, np.add), (0, 0)
+        a, b = np.full((width, columns), low, dtype=kind), np.full((width, columns), high, dtype=kind)
+        met = np.zeros(width, dtype=bool)
+        for at, x, y in parts:
+            k = np.frombuffer(at, dtype=np.int32)
+            a[k] = one(a[k], np.frombuffer(x, dtype=kind).reshape(-1, columns))
+            b[k] = other(b[k], np.frombuffer(y, dtype=kind).reshape(-1, columns))
+            met[k] = True
+        return np.flatnonzero(met).astype(np.int32), a, b
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        sides = []
-        for name, kind, ufunc in (("a", numbers[0], np.minimum if cuts is None else np.add), ("b", numbers[1], np.maximum if cuts is None else np.add)):
-            parts = [np.frombuffer(v, dtype=kind) for v in table.column(name).to_pylist()]
-            whole = parts[0].copy()
-            for part in parts[1:]:
-                ufunc(whole, part, out=whole)
-            sides.append(whole.tobytes())
-        return pa.table({"grp": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([key[1].as_py()], pa.int32()), "a": pa.array([sides[0]], pa.binary()), "b": pa.array([sides[1]], pa.binary())})
-
-    schema = "grp int, tree int, a binary, b binary"
+        at, a, b = dense(list(zip(*[table.column(c).to_pylist() for c in ("at", "a", "b")])))
+        return pa.table({"grp": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([key[1].as_py()], pa.int32()),
+                         **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("at", at), ("a", a[at]), ("b", b[at]))}})
+
+    schema = "grp int, tree int, at binary, a binary, b binary"
     merged = rows.mapInArrow(fold, schema).groupBy("grp", "tree").applyInArrow(merge, schema)
-    columns = features + (cuts is not None)
-    out = {}
-    for r in merged.toArrow().to_pylist():
-        out[r["grp"], r["tree"]] = tuple(np.frombuffer(r[c], dtype=k).reshape(width, columns) for c, k in zip(("a", "b"), numbers))
-    return out
+    return {(r["grp"], r["tree"]): dense([(r["at"], r["a"], r["b"])])[1:] for r in merged.toArrow().to_pylist()}
 
 
 def grow(rows: DataFrame, features: int, settings: Settings, groups: Sequence[int]) -> Forest:
@@ -291,5 +319,6 @@ def fit_extra_trees(df: DataFrame, features: Sequence[str], label: str, settings
         raise ValueError("no rows to fit on")
     table = spark.createDataFrame([(g, *m) for g, m in medians.items()], "_g int, " + ", ".join(f"_m{i} double" for i in range(len(features))))
     x = _vector([f"_f{i}" for i in range(len(features))], [f"_m{i}" for i in range(len(features))])
-    ready = checkpointed(rows.join(F.broadcast(table), F.col("grp") == F.col("_g")).select("grp", F.floor(F.col("_y") * UNIT + 0.5).cast("bigint").alias("y"), x.alias("x")))
+    ready = checkpointed(rows.join(F.broadcast(table), F.col("grp") == F.col("_g")).select("grp", F.floor(F.col("_y") * UNIT + 0.5).cast("bigint").alias("y"), x.alias("x"))
+                         .repartition(spark.sparkContext.defaultParallelism))  # every part of the rows sends numbers for every open node
     return ExtraTrees(spark, features, grow(ready, len(features), settings, sorted(medians)), medians, group)

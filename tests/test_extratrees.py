@@ -95,3 +95,17 @@ def test_learns_saves_and_ranks(spark, table, tmp_path):
 def test_no_rows(table):
     with pytest.raises(ValueError):
         X.fit_extra_trees(table[0].where("y > 1e9"), FEATURES, "y", SMALL)
+
+
+def test_parts_are_bounded_and_send_only_nodes_with_rows(spark, monkeypatch):
+    df = spark.range(400).selectExpr("cast(id % 2 as int) AS g", "cast(id as double) AS a", "cast(id % 13 as double) AS b", "cast(id * id % 31 as double) AS y")
+    settings = X.Settings(trees=3, depth=4, min_leaf=40, min_split=2)
+    grow, seen = X.grow, []
+    monkeypatch.setattr(X, "grow", lambda rows, *a: (seen.append(rows), grow(rows, *a))[1])
+    nodes = [sorted(map(tuple, X.fit_extra_trees(df.repartition(60), ["a", "b"], "y", settings, "g").nodes().collect()))]
+    assert seen[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(X, "SLICE", 7)
+    nodes.append(sorted(map(tuple, X.fit_extra_trees(df.repartition(1), ["a", "b"], "y", settings, "g").nodes().collect())))
+    assert nodes[0] == nodes[1]
+    order, edge, at = X._by_node(np.array([3, 9, 8, 9, 1]), 8)
+    assert (order.tolist(), edge.tolist(), at.tolist()) == ([2, 1, 3], [0, 1], [0, 1])
