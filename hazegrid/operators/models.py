@@ -6,9 +6,11 @@ Extra trees are grown by ``extratrees``, the three kinds of boosted trees of the
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import (
@@ -32,6 +34,7 @@ from hazegrid.plans.attach import attach
 from hazegrid.session import checkpointed
 
 KEY = ("series_id",)
+FITS_AT_ONCE = 4  # single trees of several folds are fitted side by side, since each has many short jobs
 FOLDS_AT_ONCE = 16  # forests of so many folds are grown together (about 9 MB each at full settings)
 
 # Tuned settings per model. A depth of 30 is the most that Spark ML grows.
@@ -118,6 +121,14 @@ def fit(df: DataFrame, name: str, features: Sequence[str], label: str, presets:
     return estimator(name, features, label, presets).fit(rows)
 
 
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable], at_once: int = FITS_AT_ONCE) -> list:
+    """Results of the jobs in their order; up to ``at_once`` of them run at a time."""
+    if at_once < 2 or len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPool(min(at_once, len(jobs))) as pool:
+        return pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs, chunksize=1)
+
+
 def importances(model: PipelineModel, features: Sequence[str], name: str, spark: SparkSession) -> DataFrame:
     """Feature importances (one row per feature column)."""
     if isinstance(model, (X.ExtraTrees, B.Boosted)):
@@ -217,15 +228,16 @@ def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str]
     flagged = attach(tagged, first, [*keys, "fold"]).withColumn(
         "is_validation", (F.col("split") == "train") & (F.col("row_idx") > F.col("_top") - size)
     )
-    for fold in range(n_folds + 1 if models else 0):
-        part = flagged.where(F.col("fold") == fold)
-        for name in models:
-            model = fit(part.where(F.col("split") == "train"), name, features, label, presets)
-            out.append(
-                model.transform(as_double(part, [*features, label])).select(
-                    F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"
-                )
+    each = [(flagged.where(F.col("fold") == fold), name) for fold in range(n_folds + 1) for name in models]
+    fitted = side_by_side(df.sparkSession, [
+        lambda part=part, name=name: fit(part.where(F.col("split") == "train"), name, features, label, presets) for part, name in each
+    ], FITS_AT_ONCE if all((presets or PRESETS)[name]["kind"] == "tree" for name in models) else 1)  # of forests the driver holds one at a time
+    for (part, name), model in zip(each, fitted):
+        out.append(
+            model.transform(as_double(part, [*features, label])).select(
+                F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"
             )
+        )
     for name, settings in forests.items():
         for start in range(0, n_folds + 1, FOLDS_AT_ONCE):
             part = tagged.where(F.col("fold").between(start, start + FOLDS_AT_ONCE - 1))

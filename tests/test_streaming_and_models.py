@@ -209,3 +209,16 @@ def test_forests_keep_node_ids_and_cut_the_rows_by_cores(spark, monkeypatch):
     for parts in (1, 60):
         M.fit(df.repartition(parts), "forest_importance", ["a"], "y")
     assert seen == [(spark.sparkContext.defaultParallelism, 300)] * 2
+
+
+def test_fits_run_side_by_side_in_order(spark, monkeypatch):
+    import threading
+
+    together = threading.Barrier(3, timeout=60)
+    assert M.side_by_side(spark, [lambda i=i: (together.wait(), spark.range(i).count())[1] for i in range(3)]) == [0, 1, 2]
+    met, seen = threading.Barrier(2, timeout=60), []
+    fit = M.fit
+    monkeypatch.setattr(M, "fit", lambda *a: (met.wait(), seen.append(a[1]), fit(*a))[2])
+    rows = spark.range(80).selectExpr("'s' AS series_id", "timestamp_seconds(3600 * id) AS ts", "cast(id as double) AS x", "cast(id as double) AS y")
+    preds = M.fit_eval_folds(rows, ["decision_tree"], ["x"], "y", 40, 20, 20)
+    assert seen == ["decision_tree"] * 2 and {(r.fold, r["count"]) for r in preds.groupBy("fold").count().collect()} == {(0, 60), (1, 60)}
