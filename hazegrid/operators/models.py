@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazegrid import constants as K
+from hazegrid.operators import bagging as G
 from hazegrid.operators import boost as B
 from hazegrid.operators import evaluate as E
 from hazegrid.operators import extratrees as X
@@ -34,7 +35,7 @@ from hazegrid.plans.attach import attach
 from hazegrid.session import checkpointed
 
 KEY = ("series_id",)
-FITS_AT_ONCE = 4  # single trees of several folds are fitted side by side, since each has many short jobs
+FITS_AT_ONCE = 4  # single trees of several folds, and importances, are worked out side by side, since each has many short jobs
 FOLDS_AT_ONCE = 16  # forests of so many folds are grown together (about 9 MB each at full settings)
 
 # Tuned settings per model. A depth of 30 is the most that Spark ML grows.
@@ -141,10 +142,18 @@ def importances(model: PipelineModel, features: Sequence[str], name: str, spark:
     return spark.createDataFrame(rows, "model string, feature string, score double")
 
 
+def bagging_of(name: str, presets: Mapping | None = None) -> G.Bagging:
+    """Settings of a forest preset as bagged trees whose nodes are not kept."""
+    spec = dict((presets or PRESETS)[name])
+    known = dict(numTrees="trees", maxDepth="depth", minInstancesPerNode="min_leaf", bootstrap="bootstrap")
+    return G.Bagging(**{known[k]: v for k, v in spec.items() if k != "kind"}, seed=SEED)
+
+
 def rf_importance(df: DataFrame, features: Sequence[str], label: str, k: int = 15, presets: Mapping | None = None) -> DataFrame:
-    model = fit(df, "forest_importance", features, label, presets)
-    scored = importances(model, features, "forest_importance", df.sparkSession)
-    return E.top_k_features(scored, k)
+    """Only the importances of the forest are kept; its nodes, about as many as drawn rows, never stand in the driver."""
+    shares = G.importances(df, features, label, bagging_of("forest_importance", presets))
+    rows = [("forest_importance", f, float(v)) for f, v in zip(features, shares)]
+    return E.top_k_features(df.sparkSession.createDataFrame(rows, "model string, feature string, score double"), k)
 
 
 def hybrid_select(df: DataFrame, features: Sequence[str], label: str, k: int, splits: int = 3,
@@ -153,11 +162,11 @@ def hybrid_select(df: DataFrame, features: Sequence[str], label: str, k: int, sp
     placed = checkpointed(FO.assign_expanding(df.where(F.col(label).isNotNull()), splits, keys, ts))
     train = placed.where(F.col("split") == "train")
     mi = E.top_k_features(P.mutual_info(train, features, label, by=["fold"]), k, ["fold"])
-    rf = [
-        rf_importance(train.where(F.col("fold") == fold), features, label, k, presets)
+    rf = side_by_side(df.sparkSession, [
+        lambda fold=fold: rf_importance(train.where(F.col("fold") == fold), features, label, k, presets)
         .select("feature", F.lit(fold).alias("fold"), "score")
         for fold in range(splits)
-    ]
+    ])
     return E.hybrid_scores(mi.select("feature", "fold", "score"), reduce(DataFrame.unionByName, rf), splits, k)
 
 
