@@ -246,6 +246,28 @@ def test_worst_hour_counts_known_hours_first(spark):
     assert got == {"late": (40, 72), "none": (None, 1), "flat": (7, 1)}
 
 
+def test_forecast_next6_of_silent_stations(spark, tmp_path):
+    """The registered query on events of a station that goes on, one silent for its last 30 hours, and one heard once."""
+    import duckdb
+    from check_queries import rows_of
+
+    from hazegrid.catalog import load_all
+
+    heard = [(5, h) for h in range(100)] + [(25, h) for h in range(70)] + [(45, 0)]
+    rows = [(i, T0 + dt.timedelta(hours=h), user, "view", 10.0 + h % 20) for i, (user, h) in enumerate(heard)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    q = load_all()["forecast_next6"]
+    got = q.run(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(q.sql)
+    names = [c[0] for c in want.description]
+    shown = sorted((r.city, r.horizon_hours, r.aqi_shown is None, r.label is None) for r in got.collect())
+    assert shown == [(c, h, c != "st0", c != "st0") for c in ("st0", "st1", "st2") for h in range(1, 7)]
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, want.fetchall())
+
+
 def test_minmax_inverse(spark):
     df = spark.createDataFrame([(2.0,), (4.0,), (None,)], "x double")
     got = V.minmax_scale(df, ["x"]).withColumn("back", V.minmax_inverse(F.col("x"), F.lit(2.0), F.lit(4.0))).collect()
