@@ -20,6 +20,7 @@ TRAIN, TEST, STEP = 336, 168, 48
 LABEL = "aqi_24h"
 FEATURES = ["aqi", *BASE, "aqi_lag_24h", "aqi_lag_48h", "aqi_rolling_std_24h", "hour_sin", "hour_cos", "day_sin", "day_cos",
             "temp_humidity_interaction", "wind_u", "wind_v", "pm25_pm10_ratio"]
+RUN_MODELS = ("linear", "boost_symmetric", "boost_level", "boost_leafy", "random_forest", "extra_trees", "gradient_boosting", "decision_tree")
 CORE = ["aqi", "pm2_5", "pm10", "temperature", "aqi_lag_24h", "hour_sin", "hour_cos"]
 
 def training_table(spark, d, kind="city"):
@@ -228,7 +229,7 @@ def _(spark, d):
 @query("train_run")
 def _(spark, d):
     """Whole training run of one horizon, models saved and a registry row returned."""
-    return M.run_training(training_table(spark, d), 24, FEATURES, ("linear", "decision_tree", "extra_trees"), train=TRAIN, test=TEST,
+    return M.run_training(training_table(spark, d), 24, FEATURES, RUN_MODELS, train=TRAIN, test=TEST,
                           step=STEP, model_path=f"{scratch_dir(spark)}/models_24h").drop("description")
 
 

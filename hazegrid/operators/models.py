@@ -35,7 +35,7 @@ from hazegrid.plans.attach import attach
 from hazegrid.session import checkpointed
 
 KEY = ("series_id",)
-FITS_AT_ONCE = 4  # single trees of several folds, and importances, are worked out side by side, since each has many short jobs
+FITS_AT_ONCE = 4  # single trees of several folds, importances, and kinds of models are worked out side by side, since each has many short jobs
 FOLDS_AT_ONCE = 16  # forests of so many folds are grown together (about 9 MB each at full settings)
 
 # Tuned settings per model. A depth of 30 is the most that Spark ML grows.
@@ -237,26 +237,30 @@ def fit_eval_folds(df: DataFrame, models: Sequence[str], features: Sequence[str]
     flagged = attach(tagged, first, [*keys, "fold"]).withColumn(
         "is_validation", (F.col("split") == "train") & (F.col("row_idx") > F.col("_top") - size)
     )
-    each = [(flagged.where(F.col("fold") == fold), name) for fold in range(n_folds + 1) for name in models]
-    fitted = side_by_side(df.sparkSession, [
-        lambda part=part, name=name: fit(part.where(F.col("split") == "train"), name, features, label, presets) for part, name in each
-    ], FITS_AT_ONCE if all((presets or PRESETS)[name]["kind"] == "tree" for name in models) else 1)  # of forests the driver holds one at a time
-    for (part, name), model in zip(each, fitted):
-        out.append(
-            model.transform(as_double(part, [*features, label])).select(
-                F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"
-            )
-        )
-    for name, settings in forests.items():
-        for start in range(0, n_folds + 1, FOLDS_AT_ONCE):
-            part = tagged.where(F.col("fold").between(start, start + FOLDS_AT_ONCE - 1))
-            grown = X.fit_extra_trees(part.where(F.col("split") == "train"), features, label, settings, group="fold")
-            out.append(grown.transform(part).select(F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"))
-    for name, settings in boosted.items():
+    spark, folds = df.sparkSession, [flagged.where(F.col("fold") == fold) for fold in range(n_folds + 1)]
+
+    def predicted(model, part: DataFrame, name: str) -> DataFrame:
+        return model.transform(part).select(F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat")
+
+    def one(part: DataFrame, name: str) -> DataFrame:
+        return predicted(fit(part.where(F.col("split") == "train"), name, features, label, presets), as_double(part, [*features, label]), name)
+
+    def grown(name: str) -> list[DataFrame]:
+        parts = []
         for start in range(0, n_folds + 1, FOLDS_AT_ONCE):
             part = flagged.where(F.col("fold").between(start, start + FOLDS_AT_ONCE - 1))
-            grown = B.fit_boosted(part.where(F.col("split") == "train"), features, label, settings, "fold", "is_validation")
-            out.append(grown.transform(part).select(F.lit(name).alias("model"), "fold", "split", *keys, ts, F.col(label).alias("y"), "yhat"))
+            rows = part.where(F.col("split") == "train")
+            model = X.fit_extra_trees(rows, features, label, forests[name], group="fold") if name in forests else B.fit_boosted(
+                rows, features, label, boosted[name], "fold", "is_validation")
+            parts.append(predicted(model, part, name))
+        return parts
+
+    bagged = [name for name in models if (presets or PRESETS)[name]["kind"] == "forest"]  # of these the driver holds one at a time
+    lanes = [lambda: side_by_side(spark, [lambda part=part, name=name: one(part, name) for part in folds for name in models if name not in bagged])]
+    lanes += [lambda: [checkpointed(one(part, name)) for part in folds for name in bagged]]
+    lanes += [lambda name=name: grown(name) for name in [*boosted, *forests]]
+    for parts in side_by_side(spark, lanes):
+        out += parts
     preds = checkpointed(reduce(DataFrame.unionByName, out))
     for name, members in (ensembles or {}).items():
         tests = preds.where(F.col("split") == "test")
@@ -270,7 +274,11 @@ def train_final(df: DataFrame, models: Sequence[str], features: Sequence[str], l
     base = filled_features(df, features, label, keys, ts) if fill else as_double(
         df.select(*keys, ts, *features, label), [*features, label])
     flagged = checkpointed(FO.holdout_tail(base, 0.2, 100, 0, keys, ts))
-    return {name: fit(flagged, name, features, label, presets) for name in models}
+    bagged = [name for name in models if (presets or PRESETS)[name]["kind"] == "forest"]
+    lanes = [[name] for name in models if name not in bagged] + [bagged]
+    fitted = side_by_side(df.sparkSession, [lambda lane=lane: {name: fit(flagged, name, features, label, presets) for name in lane} for lane in lanes])
+    by_name = {name: model for lane in fitted for name, model in lane.items()}
+    return {name: by_name[name] for name in models}
 
 
 def save_models(models: Mapping[str, PipelineModel], path: str) -> None:
@@ -340,15 +348,31 @@ def naive_predictions(split: DataFrame, label: str) -> DataFrame:
     return attach(split.where(F.col("split") == "test").select(F.lit("naive_mean").alias("model"), F.col(label).alias("y")), mean, [])
 
 
+def baseline_row(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = KEY, ts: str = "ts",
+                 presets: Mapping | None = None) -> DataFrame:
+    """The baseline report as one row of ``baseline_*``; too few complete rows give nulls and stop no run."""
+    named = {"linear": "linear", "forest_baseline": "forest", "naive_mean": "naive"}
+    try:
+        report = baseline_report(df, features, label, keys, ts, presets={**PRESETS, **(presets or {})})
+    except ValueError:
+        report = df.sparkSession.createDataFrame([], "model string, r2 double, rmse double, target_mean double, target_std double, train_size long, test_size long")
+    return report.agg(
+        *[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"baseline_{short}_{c}") for m, short in named.items() for c in ("r2", "rmse")],
+        *[F.max(c).alias(f"baseline_{c}") for c in ("target_mean", "target_std", "train_size", "test_size")],
+    )
+
+
 def run_training(df: DataFrame, horizon: int, features: Sequence[str], models: Sequence[str], label: str | None = None,
                  train: int = K.CV_TRAIN, test: int = K.CV_TEST, step: int = K.CV_STEP, keys: Sequence[str] = KEY,
                  ts: str = "ts", presets: Mapping | None = None, max_features: int | None = None,
-                 model_path: str | None = None) -> DataFrame:
-    """Quality -> selection -> leakage -> folds -> final fit -> one registry row for the best model.
+                 model_path: str | None = None, ensembles: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Quality -> selection -> leakage -> baseline -> folds -> final fit -> one registry row for the best model.
 
-    Targets of the other horizons never become features.
+    Targets of the other horizons never become features. ``ensembles`` (by default ``ENSEMBLES``) are scored on the folds
+    beside the models and may be the best; they have no scores on training rows. The row holds the baselines' scores too.
     """
     label = label or f"aqi_{horizon}h"
+    ensembles = ENSEMBLES if ensembles is None else ensembles
     spark = df.sparkSession
     usable = [f for f in features if not f.startswith("aqi_") or not f[4:].rstrip("h").isdigit()]
     base = checkpointed(df.select(*keys, ts, *usable, label))
@@ -357,13 +381,16 @@ def run_training(df: DataFrame, horizon: int, features: Sequence[str], models: S
     if not chosen:
         raise ValueError("no feature passed the selection")
     suspects = P.leakage_check(base, chosen, label).where(F.col("high_corr") | F.col("suspicious_name")).count()
-    preds = fit_eval_folds(base, models, chosen, label, train, test, step, keys, ts, presets)
-    scores = E.generalization(E.regression_metrics(preds, ["model", "fold", "split"]))
-    best = E.best_model(scores, order=models)
+    baseline = baseline_row(base, chosen, label, keys, ts, presets)
+    preds = fit_eval_folds(base, models, chosen, label, train, test, step, keys, ts, presets, ensembles)
+    scores = checkpointed(E.generalization(E.regression_metrics(preds, ["model", "fold", "split"])))
+    best = E.best_model(scores, order=[*models, *ensembles])
     finals = train_final(base, models, chosen, label, keys, ts, presets)
     if model_path:
         save_models(finals, model_path)
-    joined = best.join(scores, F.col("best_model") == F.col("model"))
+    sizes = ("avg_train_size", "final_train_size")  # the same for all models; an ensemble has its members'
+    joined = attach(best.join(scores, F.col("best_model") == F.col("model")).drop(*sizes), scores.agg(*[F.max(c).alias(c) for c in sizes]), [])
+    joined = attach(joined, baseline, [])
     return joined.select(
         F.lit(f"aqi_forecast_model_{horizon}h").alias("name"),
         F.concat(F.lit(f"The best model for {horizon}h is "), F.col("model")).alias("description"),
@@ -371,6 +398,7 @@ def run_training(df: DataFrame, horizon: int, features: Sequence[str], models: S
         *[c for c in scores.columns if c not in ("model", "prediction_quality", "std_check_passed")],
         F.lit(train).alias("train_size"), F.lit(test).alias("test_size"), F.lit(step).alias("step_size"),
         F.lit(len(chosen)).alias("feature_count"), F.lit(issues).alias("quality_issues"), F.lit(suspects).alias("leakage_suspects"),
+        *baseline.columns,
     )
 
 

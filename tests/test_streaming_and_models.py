@@ -175,6 +175,56 @@ def test_training_run_and_reload(spark, trend, tmp_path):
     assert preds.count() == 4 * trend.count()
 
 
+def test_training_run_scores_baselines_and_ensembles(spark, trend, monkeypatch):
+    """The run compares with a line, a forest and the mean on the last fifth; ensembles are candidates, here made the best."""
+    seen = []
+
+    def pair_wins(scores, order):
+        seen.append(({r.model for r in scores.collect()}, list(order)))
+        return spark.createDataFrame([("pair",)], "best_model string")
+
+    monkeypatch.setattr(M.E, "best_model", pair_wins)
+    row = M.run_training(trend.withColumnRenamed("y", "aqi_24h"), 24, ["x"], ("extra_trees", "boost_leafy"), train=120, test=60, step=40, presets=QUICK,
+                         max_features=1, ensembles={"pair": ["extra_trees", "boost_leafy"], "alone": ["extra_trees", "absent"]}).first()
+    assert seen == [({"extra_trees", "boost_leafy", "pair"}, ["extra_trees", "boost_leafy", "pair", "alone"])]
+    assert row.model == "pair" and row.avg_test_rmse > 0 and row.avg_train_rmse is None and (row.avg_train_size, row.final_train_size) == (240.0, 240)
+    assert row.baseline_linear_r2 == pytest.approx(1.0) and row.baseline_linear_rmse == pytest.approx(0.0, abs=1e-6)
+    assert row.baseline_naive_r2 <= 0 < row.baseline_forest_r2 <= 1 and row.baseline_forest_rmse < row.baseline_naive_rmse
+    assert (row.baseline_train_size, row.baseline_test_size) == (416, 104) and row.baseline_target_std > 0
+
+
+def test_too_few_complete_rows_for_a_baseline_stop_no_run(spark, trend):
+    row = M.baseline_row(trend.where("hour(ts) < 2").withColumn("z", F.lit(None).cast("double")), ["x", "z"], "y").first()
+    assert len(row) == 10 and set(row) == {None}
+
+
+def test_the_registered_run_fits_every_model_of_its_ensembles():
+    from hazegrid.catalog.learning import RUN_MODELS
+
+    kinds = {"boost_symmetric", "boost_level", "boost_leafy", "random_forest", "extra_trees", "gradient_boosting", "decision_tree"}
+    assert kinds <= set(RUN_MODELS) and {m for members in M.ENSEMBLES.values() for m in members} <= set(RUN_MODELS)
+
+
+def test_final_models_are_fitted_side_by_side_forests_one_at_a_time(trend, monkeypatch):
+    import threading
+
+    met, busy, seen = threading.Barrier(2, timeout=60), threading.Lock(), []
+    forests = {**QUICK, "f1": dict(kind="forest", numTrees=2, maxDepth=2), "f2": dict(kind="forest", numTrees=3, maxDepth=2)}
+
+    def fit(rows, name, *a):
+        if name in ("f1", "f2"):
+            assert busy.acquire(blocking=False)
+            seen.append(name)
+            busy.release()
+        else:
+            met.wait()
+        return name
+
+    monkeypatch.setattr(M, "fit", fit)
+    order = ["f2", "linear", "f1", "decision_tree"]
+    assert list(M.train_final(trend, order, ["x"], "y", presets=forests).items()) == [(n, n) for n in order] and seen == ["f2", "f1"]
+
+
 def test_hybrid_selection_finds_the_signal(trend):
     got = M.hybrid_select(trend, ["x", "z"], "y", 1, presets=QUICK).collect()
     assert [r.feature for r in got] == ["x"]
