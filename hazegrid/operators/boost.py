@@ -12,7 +12,7 @@ same passes, each with its own trees and its own early stop. Residuals are summe
 hashes, so the trees depend on rows, seed and settings only.
 
 A missing value has a bin of its own and goes to the side where it helps. Fitted margins are written once in
-``REFRESH`` rounds; in between, tasks add the few trees since.
+``REFRESH`` rounds (``REFRESH_MANY`` beyond ``MANY_ROWS`` rows); in between, tasks add the few trees since. The trees are the same.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from hazegrid.operators.extratrees import draw
 from hazegrid.session import checkpointed
 
 UNIT = 1 << 20
-REFRESH = 24
+REFRESH = 24  # rounds, and for many rows, of which a round's walk costs more than the writing:
+REFRESH_MANY, MANY_ROWS = 4, 100_000
 ROWS_PER_TASK = 200_000
 PREFIXES = 6  # ordered boosting: models on 1/64, 1/32, ... of the rows
 
@@ -147,10 +148,21 @@ def _own_margin(margin: np.ndarray, key: np.ndarray, start: float) -> np.ndarray
     return np.where(first > 0, margin[np.arange(len(key)), np.maximum(first - 1, 0)], start)
 
 
-def _columns(b: pa.RecordBatch, features: int, models: int):
-    x = np.frombuffer(b"".join(b.column("x").to_pylist()), dtype=np.uint8).reshape(-1, features).astype(np.int64)
-    margin = np.frombuffer(b"".join(b.column("m").to_pylist()), dtype="<f8").reshape(-1, models)
-    return b.column("grp").to_numpy(), x, b.column("y").to_numpy(), b.column("key").to_numpy(), b.column("val").to_numpy(zero_copy_only=False), margin
+LAYOUT = {"grp": "<i4", "y": "<f8", "val": "?", "key": "<i8", "x": "u1", "m": "<f8"}
+BLOCKS = ", ".join(f"{c} binary" for c in LAYOUT)
+
+
+def _packed(**columns: np.ndarray) -> pa.RecordBatch:
+    """Rows as one record of six byte strings: reading and handing on a record for each row would take longer than the sums."""
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(columns[c], dtype=kind).tobytes()], pa.binary()) for c, kind in LAYOUT.items()], list(LAYOUT))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], features: int, models: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """grp, x, y, key, val, margin of each packed block."""
+    for b in batches:
+        for r in b.to_pylist():
+            v = {c: np.frombuffer(r[c], dtype=kind) for c, kind in LAYOUT.items()}
+            yield v["grp"], v["x"].reshape(-1, features).astype(np.int64), v["y"], v["key"], v["val"], v["m"].reshape(-1, models)
 
 
 def _pass(rows: DataFrame, groups: dict[int, _Group], s: Boosting, features: int, models: int, round_: int, level: int | None) -> dict[int, tuple[np.ndarray, float, int]]:
@@ -163,9 +175,8 @@ def _pass(rows: DataFrame, groups: dict[int, _Group], s: Boosting, features: int
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for b in batches:
-            grp, x_, y_, key_, val_, margin_ = _columns(b, features, models)
-            for g in np.unique(grp):
+        for grp, x_, y_, key_, val_, margin_ in _blocks(batches, features, models):
+            for g in map(int, np.unique(grp)):
                 if g not in shared.value:
                     continue
                 start, recent, tree, count = shared.value[g]
@@ -364,23 +375,22 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, settings: Bo
         for b in batches:
             x = np.stack([b.column(f"_{i}").fill_null(float("nan")).to_numpy(zero_copy_only=False) for i in range(p)], axis=1).astype(float)
             codes = binned(x, cuts, s.bins).astype(np.uint8)
-            m = [np.full(models, starts.get(g, 0.0)).tobytes() for g in b.column("grp").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("y"), b.column("val"), b.column("key"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(m, pa.binary())],
-                                             ["grp", "y", "val", "key", "x", "m"])
+            grp = b.column("grp").to_numpy()
+            margin = np.repeat(np.array([starts.get(g, 0.0) for g in grp.tolist()]), models)
+            yield _packed(grp=grp, y=b.column("y").to_numpy(), val=b.column("val").to_numpy(zero_copy_only=False), key=b.column("key").to_numpy(), x=codes, m=margin)
 
-    schema = "grp int, y double, val boolean, key long, x binary, m binary"
-    tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
-    table = checkpointed(rows.repartition(tasks, "key").mapInArrow(ready, schema))
+    n_rows = rows.count()
+    tasks, refresh_every = max(1, -(-n_rows // ROWS_PER_TASK)), REFRESH if n_rows <= MANY_ROWS else REFRESH_MANY
+    table = checkpointed(rows.repartition(tasks, "key").mapInArrow(ready, BLOCKS))
 
     def refresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            grp, x, _, _, _, margin = _columns(b, p, models)
+        for grp, x, y, key, val, margin in _blocks(batches, p, models):
             new = margin.copy()
-            for g in np.unique(grp):
+            for g in map(int, np.unique(grp)):
                 if g in recent.value:
                     mine = grp == g
                     new[mine] = _margins(margin[mine], x[mine], recent.value[g], s)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grp", "y", "val", "key", "x")), pa.array([m.tobytes() for m in new], pa.binary())], ["grp", "y", "val", "key", "x", "m"])
+            yield _packed(grp=grp, y=y, val=val, key=key, x=x, m=new)
 
     for round_ in range(s.rounds + 1):  # the last only validates
         live = [v for v in groups.values() if not v.done]
@@ -414,9 +424,9 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, settings: Bo
         for _, v in live:
             v.trees.append(v.tree)
             v.recent.append(v.tree)
-        if (round_ + 1) % REFRESH == 0:
+        if (round_ + 1) % refresh_every == 0:
             recent = spark.sparkContext.broadcast({g: v.recent for g, v in groups.items()})
-            table = checkpointed(table.mapInArrow(refresh, schema))
+            table = checkpointed(table.mapInArrow(refresh, BLOCKS))
             for v in groups.values():
                 v.recent = []
     return Boosted(spark, features, cuts, {g: (v.start, v.trees[:v.best_rounds]) for g, v in groups.items()}, s, group)

@@ -161,3 +161,17 @@ def test_ordered_residuals_do_not_see_their_label(spark):
 def test_no_rows(table):
     with pytest.raises(ValueError):
         B.fit_boosted(table.where("y > 1e9"), FEATURES, "y")
+
+
+def test_rows_are_held_in_blocks_and_many_rows_change_no_tree(spark, monkeypatch):
+    """A task hands on a block of rows as one record; how often margins are written does not matter."""
+    block = B._packed(grp=np.array([0, 3]), y=np.array([1.5, -2.0]), val=np.array([True, False]), key=np.array([-5, 7]), x=np.array([[1, 2], [3, 128]]), m=np.array([[0.5], [0.25]]))
+    assert block.num_rows == 1
+    grp, x, y, key, val, m = next(B._blocks(iter([block]), 2, 1))
+    assert (grp.tolist(), x.tolist(), y.tolist(), key.tolist(), val.tolist(), m.tolist()) == ([0, 3], [[1, 2], [3, 128]], [1.5, -2.0], [-5, 7], [True, False], [[0.5], [0.25]])
+    df = spark.range(400).selectExpr("cast(id % 2 as int) AS f", "cast(id * 37 % 101 as double) AS a", "cast(id * 53 % 89 as double) AS b", "cast(id * 37 % 101 + id * 53 % 89 % 7 as double) AS y")
+    s = B.Boosting(rounds=6, depth=2, rate=0.3, rows=0.8)
+    few = sorted(map(tuple, B.fit_boosted(df, ["a", "b"], "y", s, "f").cut_table().collect()))
+    monkeypatch.setattr(B, "MANY_ROWS", 10)
+    monkeypatch.setattr(B, "REFRESH_MANY", 1)
+    assert few and sorted(map(tuple, B.fit_boosted(df, ["a", "b"], "y", s, "f").cut_table().collect())) == few
